@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from brindle.llm.bpe import op9_bpe
+from brindle.llm.fingerprint import op5_fingerprint
 from brindle.llm.language import op8_language
 from brindle.llm.quality import op4_quality
 from brindle.llm.repetition import op7_repetition
@@ -15,6 +16,7 @@ from brindle.llm.tokens import op2_tokens
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_tokens": op2_tokens,
     "op4_quality": op4_quality,
+    "op5_fingerprint": op5_fingerprint,
     "op7_repetition": op7_repetition,
     "op8_language": op8_language,
     "op9_bpe": op9_bpe,
