@@ -128,7 +128,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     if len(a) > len(b):
         a, b = b, a
     na, nb = bit_count(a), bit_count(b)
-    if not na.sum() or not nb.sum():
+    if min(na.sum(), nb.sum()) <= HASHES:  # one feature: shared whole or not at all
         return 0.0
     score = np.empty(len(a))
     for i, row in enumerate(a):

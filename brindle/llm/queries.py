@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from brindle.llm.bpe import op9_bpe
 from brindle.llm.fingerprint import op5_fingerprint
 from brindle.llm.language import op8_language
+from brindle.llm.mixing import op1_mixing
 from brindle.llm.quality import op4_quality
 from brindle.llm.repetition import op7_repetition
 from brindle.llm.tokens import op2_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
     "op2_tokens": op2_tokens,
     "op4_quality": op4_quality,
     "op5_fingerprint": op5_fingerprint,
