@@ -10,6 +10,7 @@ from brindle.llm.bpe import op9_bpe
 from brindle.llm.fingerprint import op5_fingerprint
 from brindle.llm.language import op8_language
 from brindle.llm.mixing import op1_mixing
+from brindle.llm.pii import op6_pii
 from brindle.llm.quality import op4_quality
 from brindle.llm.repetition import op7_repetition
 from brindle.llm.tokens import op2_tokens
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_tokens": op2_tokens,
     "op4_quality": op4_quality,
     "op5_fingerprint": op5_fingerprint,
+    "op6_pii": op6_pii,
     "op7_repetition": op7_repetition,
     "op8_language": op8_language,
     "op9_bpe": op9_bpe,
