@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from brindle.llm.bpe import op9_bpe
 from brindle.llm.fingerprint import op5_fingerprint
+from brindle.llm.jaccard import op3_jaccard
 from brindle.llm.language import op8_language
 from brindle.llm.mixing import op1_mixing
 from brindle.llm.pii import op6_pii
@@ -18,6 +19,7 @@ from brindle.llm.tokens import op2_tokens
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_tokens": op2_tokens,
+    "op3_jaccard": op3_jaccard,
     "op4_quality": op4_quality,
     "op5_fingerprint": op5_fingerprint,
     "op6_pii": op6_pii,
