@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm.common import byte_list, slices, table, vocabulary_path
+from brindle.llm.common import byte_list, ragged, slices, table, vocabulary_path
 
 VOCABULARY = "word_bpe_49k.json"
 #: Distinct pieces that a worker remembers, and their bytes.
@@ -230,9 +230,10 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, emit: str =
     """Encode and decode ``text`` of each row.
 
     emit="ids": doc_id, ids array<int>, decoded string.
+    emit="training": doc_id, n_tokens, ids, decoded_sha256.
     emit="digest": doc_id, n_tokens, ids_sha256, decoded_sha256 of the same values.
     Other columns, whatever their names, don't pass through."""
-    kinds = {"ids": "doc_id long, ids array<int>, decoded string", "digest": "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"}
+    kinds = {"ids": "doc_id long, ids array<int>, decoded string", "training": "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string", "digest": "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"}
     schema = kinds[emit]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,6 +244,11 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, emit: str =
                 if emit == "digest":
                     cols = [pa.array([len(a) // 4 for a, _ in both], pa.int64()), pa.array([hashlib.sha256(a).hexdigest() for a, _ in both]), pa.array([hashlib.sha256(b).hexdigest() for _, b in both])]
                     names = ["n_tokens", "ids_sha256", "decoded_sha256"]
+                elif emit == "training":
+                    sizes = np.array([len(a) // 4 for a, _ in both], dtype=np.int64)
+                    ids = ragged(np.frombuffer(b"".join([a for a, _ in both]), "<u4").astype(np.int32), sizes, pa.int32())
+                    cols = [pa.array(sizes), ids, pa.array([hashlib.sha256(b).hexdigest() for _, b in both])]
+                    names = ["n_tokens", "ids", "decoded_sha256"]
                 else:
                     cols = [pa.array([np.frombuffer(a, "<u4").astype(np.int32) for a, _ in both], pa.list_(pa.int32())), pa.array([b.decode() for _, b in both], pa.string())]
                     names = ["ids", "decoded"]

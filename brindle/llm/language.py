@@ -209,6 +209,23 @@ def sample(docs: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[bytes], list[s
     return [found[i][1].encode() for i in pick], [found[i][2] for i in pick]
 
 
+def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs``, whole, that the model doesn't reject."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for whole in batches:
+            for part in slices(whole):
+                texts = byte_list(part)
+                kept = np.array([has_letter(t) for t in texts], dtype=bool)
+                if m.languages:
+                    kept &= m.probabilities(texts).max(axis=1) >= m.threshold
+                    yield part.filter(pa.array(kept))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected for each row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -10,6 +10,7 @@ from brindle.llm.bpe import op9_bpe
 from brindle.llm.fingerprint import op5_fingerprint
 from brindle.llm.jaccard import op3_jaccard
 from brindle.llm.language import op8_language
+from brindle.llm.license import license_sql, op10_license
 from brindle.llm.mixing import op1_mixing
 from brindle.llm.pii import op6_pii
 from brindle.llm.quality import op4_quality
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_repetition": op7_repetition,
     "op8_language": op8_language,
     "op9_bpe": op9_bpe,
+    "op10_license": op10_license,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_license": license_sql()}
