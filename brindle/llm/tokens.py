@@ -252,7 +252,7 @@ def write_store(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id
     coded = stage(encode_chunks(docs, vocabulary, end_id), "ids")
     chunks = coded.select(F.explode(F.arrays_zip("hashes", "sizes", "fresh")).alias("c")).where("c.fresh IS NOT NULL")
     chunks = chunks.select(F.col("c.hashes").alias("hash"), F.col("c.sizes").alias("n"), F.col("c.fresh").alias("ids"))
-    chunks.dropDuplicates(["hash"]).write.parquet(f"{path}/chunks")
+    chunks.dropDuplicates(["hash"]).write.option("compression", "zstd").parquet(f"{path}/chunks")
     part, n_parts = id_ranges(coded.select("doc_id"))
     rows = coded.select("doc_id", "n_tokens", "hashes", "root", part.alias("part"))
     totals = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}  # at most MOST_RANGES rows
@@ -263,8 +263,8 @@ def write_store(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id
     rows = rows.repartitionByRange(n_parts, "part")
     order = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_last(), "root")
     start = F.coalesce(F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.get(F.array(*[F.lit(b).cast("long") for b in before]), F.col("part"))
-    rows.select("doc_id", start.cast("long").alias("start"), "n_tokens", "hashes", "root", "part").write.parquet(f"{path}/recipes")
-    manifest(spark.read.parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
+    rows.select("doc_id", start.cast("long").alias("start"), "n_tokens", "hashes", "root", "part").write.option("compression", "zstd").parquet(f"{path}/recipes")
+    manifest(spark.read.parquet(f"{path}/recipes")).write.option("compression", "zstd").parquet(f"{path}/manifest")
     return path
 
 
