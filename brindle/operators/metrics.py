@@ -117,17 +117,19 @@ def bootstrap(values: np.ndarray, size: int, reduce_fn, n: int = 1000, seed: int
     return float(np.mean(found)), float(np.std(found))
 
 
-def _first_majority(votes: np.ndarray, values: np.ndarray) -> float:
-    best, count = None, -1
-    first: dict = {}
-    seen: dict = {}
-    for v, x in zip(votes.tolist(), values.tolist()):
-        first.setdefault(v, x)
-        seen[v] = seen.get(v, 0) + 1
-    for v, c in seen.items():
-        if c > count:
-            best, count = v, c
-    return first[best]
+def drawn_majority(votes: np.ndarray, values: np.ndarray, picks: np.ndarray) -> np.ndarray:
+    """For each draw the value of its first row of the most frequent vote; ties to the
+    vote seen first in the draw."""
+    names, code = np.unique(votes, return_inverse=True)
+    drawn = code[picks]
+    rank = np.full((len(picks), len(names)), -1)
+    first = np.zeros((len(picks), len(names)), dtype=int)
+    for c in range(len(names)):
+        is_c = drawn == c
+        first[:, c] = is_c.argmax(axis=1)
+        rank[:, c] = np.where(is_c.any(axis=1), is_c.sum(axis=1) * (picks.shape[1] + 1) - first[:, c], -1)
+    row = np.arange(len(picks))
+    return values[picks[row, first[row, rank.argmax(axis=1)]]]
 
 
 def validation_metrics(df: DataFrame, vote: str | None = None, seed: int = 42, draws: int = 1000) -> DataFrame:
@@ -153,8 +155,7 @@ def validation_metrics(df: DataFrame, vote: str | None = None, seed: int = 42, d
                     out[f"{name}@{k}/mean"], out[f"{name}@{k}/std"] = bootstrap(x, k, lambda a, fn=fn: fn(a, axis=1), draws, seed)
                 if vote:
                     picks = np.random.RandomState(seed).choice(n, size=(draws, k), replace=True)
-                    v = pdf[vote].to_numpy()
-                    got = np.array([_first_majority(v[p], x[p]) for p in picks])
+                    got = drawn_majority(pdf[vote].to_numpy(), x, picks)
                     out[f"maj@{k}/mean"], out[f"maj@{k}/std"] = got.mean(), got.std()
         return pd.DataFrame({"source": pdf["source"].iloc[0], "uid": pdf["uid"].iloc[0], "metric": list(out), "value": [float(v) for v in out.values()]})
 
