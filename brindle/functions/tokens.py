@@ -61,17 +61,6 @@ def clip_by_value(x: Column, low: Column, high: Column) -> Column:
     return F.greatest(F.least(x, high), low)
 
 
-def running(values: Name, step: Callable[[Column, Column], Column], start: Column, backward: bool = False) -> Column:
-    """A fold that keeps every state: state' = step(state, value). The arrays of a row
-    are short; states are collected in one array."""
-    seq = F.reverse(values) if backward else F.col(values)
-    kind = "array<double>"
-    states = F.aggregate(seq, F.array(start.cast("double")), lambda acc, x: F.concat(acc, F.array(step(F.element_at(acc, -1), x))).cast(kind))
-    states = F.slice(states, 2, F.greatest(F.size(values), F.lit(1)))
-    states = F.when(F.size(values) > 0, states).otherwise(F.array().cast(kind))
-    return F.reverse(states) if backward else states
-
-
 def response_mask(ids: Name, eos: int) -> Column:
     """1 up to the first end token, itself included; all 1 without one."""
     at = F.array_position(ids, F.lit(eos))

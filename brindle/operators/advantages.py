@@ -75,18 +75,18 @@ def grpo_passk(df: DataFrame, by_std: bool = True, eps: float = EPS) -> DataFram
 def rloo(df: DataFrame) -> DataFrame:
     """A group of one keeps its score."""
     n, mean = F.count("score").over(group()), F.avg("score").over(group())
-    return df.withColumn("adv", F.when(n > 1, (F.col("score") - mean) * n / (n - 1)).otherwise(F.col("score")))
+    return df.withColumn("adv", F.when(n > 1, F.try_divide((F.col("score") - mean) * n, n - 1)).otherwise(F.col("score")))
 
 
 def rloo_vectorized(df: DataFrame) -> DataFrame:
     """A group of one gets 0."""
     n, s = F.count("score").over(group()), F.sum("score").over(group())
-    return df.withColumn("adv", F.when(n > 1, (n * F.col("score") - s) / (n - 1)).otherwise(0.0))
+    return df.withColumn("adv", F.when(n > 1, F.try_divide(n * F.col("score") - s, n - 1)).otherwise(0.0))
 
 
 def opo(df: DataFrame) -> DataFrame:
     """Baseline weighted by response length (column length); 0 for a group of one."""
-    base = F.sum(F.col("length") * F.col("score")).over(group()) / F.sum("length").over(group())
+    base = F.try_divide(F.sum(F.col("length") * F.col("score")).over(group()), F.sum("length").over(group()))
     return df.withColumn("adv", F.col("score") - F.when(F.count("score").over(group()) > 1, base).otherwise(0.0))
 
 

@@ -125,7 +125,7 @@ def micro_batches(loads: list[int], lengths: list[int], most_tokens: int, multip
 def imbalance(df: DataFrame, part: str, load: str) -> DataFrame:
     """Least, largest and mean load of the parts, and the largest over the mean."""
     g = df.groupBy(part).agg(F.sum(load).alias("load"))
-    return g.agg(F.min("load").alias("min"), F.max("load").alias("max"), F.avg("load").alias("mean"), (F.max("load") / F.avg("load")).alias("ratio"))
+    return g.agg(F.min("load").alias("min"), F.max("load").alias("max"), F.avg("load").alias("mean"), F.try_divide(F.max("load"), F.avg("load")).alias("ratio"))
 
 
 def inverse(df: DataFrame, pos: str = "pos", row: str = "row_id") -> DataFrame:

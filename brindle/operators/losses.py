@@ -3,7 +3,7 @@
 Inputs are in wide form: olp (old log-probability), lp, a (advantage), m (mask) and, if
 given, w (importance weight) are arrays. A loss is a token array or a row value, reduced
 by one aggregation without a shuffle of tokens; results are one row with ``loss`` and the
-loss's metrics.
+loss's metrics. Without a valid token the loss is null.
 """
 
 from __future__ import annotations
@@ -58,13 +58,13 @@ def agg_loss(values: Column, mode: str, mask: str = "m", scale: float | None = N
     n = T.mask_count(mask)
     some = F.when(n > 0, 1.0).otherwise(0.0)
     if mode == "token-mean":
-        return F.sum(part) / F.sum(n)
+        return F.try_divide(F.sum(part), F.sum(n))
     if mode == "seq-mean-token-sum":
-        return F.sum(part * some) / F.sum(some)
+        return F.try_divide(F.sum(part * some), F.sum(some))
     if mode == "seq-mean-token-sum-norm":
-        return F.sum(part * some) / F.sum(some) / (F.lit(scale) if scale else F.max(F.size(mask)))
+        return F.try_divide(F.try_divide(F.sum(part * some), F.sum(some)), F.lit(scale) if scale else F.max(F.size(mask)))
     if mode == "seq-mean-token-mean":
-        return F.sum(part / (n + 1e-8) * some) / F.sum(some)
+        return F.try_divide(F.sum(part / (n + 1e-8) * some), F.sum(some))
     raise ValueError(f"loss mode {mode}; known: {MODES}")
 
 

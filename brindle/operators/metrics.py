@@ -35,7 +35,7 @@ def data_metrics(df: DataFrame, critic: bool = True) -> DataFrame:
         # Explained variance from sums, shifted by nothing: variances are of samples.
         d = F.transform(F.filter(F.arrays_zip("ret", "values", "m"), lambda s: s["m"] > 0), lambda s: s["ret"] - s["values"])
         square = lambda x: F.transform(x, lambda v: v * v)
-        var = lambda x: (F.sum(T.total(square(x))) - F.sum(T.total(x)) * F.sum(T.total(x)) / F.sum(n)) / (F.sum(n) - 1)
+        var = lambda x: F.try_divide(F.sum(T.total(square(x))) - F.try_divide(F.sum(T.total(x)) * F.sum(T.total(x)), F.sum(n)), F.sum(n) - 1)
         out["explained_var"] = nan(1.0 - var(d) / (var(valid("ret")) + 1e-5))
     return df.agg(*[v.alias(k) for k, v in out.items()], most.alias("longest"))
 
@@ -75,7 +75,7 @@ def aggregate_steps(df: DataFrame) -> DataFrame:
     """step, key, value, weight to a value for each key, by its rule."""
     g = df.groupBy("key").agg(
         F.avg("value").alias("avg"), F.max("value").alias("max"), F.min("value").alias("min"), F.sum("value").alias("sum"), F.max_by("value", "step").alias("last"),
-        (F.sum(F.col("value") * F.col("weight")) / F.sum("weight")).alias("weighted_avg"),
+        F.try_divide(F.sum(F.col("value") * F.col("weight")), F.sum("weight")).alias("weighted_avg"),
     ).withColumn("rule", rule_of(F.col("key")))
     value = F.coalesce(*[F.when(F.col("rule") == k, F.col(k)) for k in ("avg", "max", "min", "sum", "last", "weighted_avg")])
     return g.select("key", "rule", value.alias("value"))
@@ -85,11 +85,11 @@ def timing_per_token(timings: DataFrame, tokens: DataFrame) -> DataFrame:
     """name, seconds and one row (prompt_tokens, response_tokens) to ms a token: "gen"
     by response tokens, others by all."""
     n = F.when(F.col("name") == "gen", F.col("response_tokens")).otherwise(F.col("prompt_tokens") + F.col("response_tokens"))
-    return timings.join(F.broadcast(tokens)).select("name", (F.col("seconds") * 1000 / n).alias("ms_per_token"))
+    return timings.join(F.broadcast(tokens)).select("name", F.try_divide(F.col("seconds") * 1000, n).alias("ms_per_token"))
 
 
 def throughput(tokens: Column, seconds: Column, n_gpus: int) -> Column:
-    return tokens / (seconds * n_gpus)
+    return F.try_divide(tokens, seconds * n_gpus)
 
 
 def processing_stats(df: DataFrame, value: str) -> DataFrame:
@@ -176,7 +176,7 @@ def variance_proxy(df: DataFrame, grad_norm: float | None = None) -> DataFrame:
     rows = df.withColumn("_w", weight).withColumns({"_a": T.masked_mean("a", "m"), "_wsum": T.masked_sum("_w", "m")})
     power = F.avg(F.col("_a") * F.col("_a") * F.greatest(F.col("_wsum"), T.zero()))
     signal = F.lit(float(grad_norm) ** 2) if grad_norm is not None else F.lit(0.0)
-    noise = F.greatest((power - signal) / (F.count("*") - 1), T.zero()) if grad_norm is not None else F.lit(0.0)
+    noise = F.greatest(F.try_divide(power - signal, F.count("*") - 1), T.zero()) if grad_norm is not None else F.lit(0.0)
     return rows.agg(signal.alias("signal_strength"), power.alias("total_power"), noise.alias("pure_noise"), F.avg(F.col("_a") * F.col("_a")).alias("expected_a_squared"), F.avg("_wsum").alias("expected_w"))
 
 
@@ -195,7 +195,7 @@ def probability_diff(df: DataFrame, a: str, b: str, m: str) -> DataFrame:
 
 def eval_by_source(df: DataFrame) -> DataFrame:
     """source, scores (one for each response of a prompt): mean of row means by source."""
-    return df.groupBy("source").agg(F.avg(T.total(F.col("scores")) / F.size("scores")).alias("score"))
+    return df.groupBy("source").agg(F.avg(F.try_divide(T.total(F.col("scores")), F.size("scores"))).alias("score"))
 
 
 def masked_mean_of(df: DataFrame, value: str, mask: str) -> DataFrame:
@@ -219,4 +219,4 @@ def tail_ratio(df: DataFrame, value: str, key: list[str], q: float = 0.9) -> Dat
     """Mean of the values at or above a quantile over the mean of all, for each key."""
     w = Window.partitionBy(*key)
     rows = df.withColumn("_q", F.percentile(value, q).over(w))
-    return rows.groupBy(*key).agg((F.avg(F.when(F.col(value) >= F.col("_q"), F.col(value))) / F.avg(value)).alias("ratio"))
+    return rows.groupBy(*key).agg(F.try_divide(F.avg(F.when(F.col(value) >= F.col("_q"), F.col(value))), F.avg(value)).alias("ratio"))
