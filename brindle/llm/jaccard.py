@@ -14,9 +14,10 @@ counted over all documents in a table of fixed size, so that what many documents
 Documents that share a lane are candidates. Equal sets are one class from the start.
 A member of a bucket is first checked against the one partner it shares most with, and
 links make components. A bucket that still spans several components is compared across
-them: its members meet in blocks of bounded size, where 1024-bit parity sketches (their
+them: its members meet in blocks of bounded size, where parity sketches of whole sets (their
 Hamming distance bounds the symmetric difference too) reject almost all pairs; the rest
-are verified on the whole sets. Pairs inside a component are never made: they can't
+are verified on the whole sets; first a forest of pairs in each bucket, which joins large
+groups of near copies, then all pairs that still cross. Pairs inside a component are never made: they can't
 change it. No partner is dropped and no bucket is capped.
 
 Bands: sizes below SMALL use n-grams themselves as lanes; a band spans a factor of 4,
@@ -37,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import byte_list, hash_words, mix, seeded, slices, stage, table
+from brindle.llm.common import byte_list, hash_words, maybe_broadcast, mix, seeded, slices, stage, table
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 3, 4
 SMALL, SPREAD = 32, 4
@@ -45,6 +46,7 @@ SMALL, SPREAD = 32, 4
 LANES = 0.6
 #: Counters of the table of lane frequencies, and the rows it travels in.
 COUNTERS, COUNTER_ROWS = 1 << 20, 16
+#: Bits of a sketch at least.
 SKETCH_BITS = 1024
 #: Members of a bucket that meet in one task at once.
 BLOCK = 512
@@ -84,10 +86,13 @@ def set_key(grams: np.ndarray) -> int:
         return int(mix(np.array([mix(grams * _GRAM[9]).sum() ^ (_U(len(grams)) * _GRAM[10])], dtype=_U)).view(np.int64)[0])
 
 
-def bit_sketch(grams: np.ndarray) -> bytes:
-    """Parity of the n-grams that fall on each of SKETCH_BITS bits."""
-    at = (mix(grams ^ _GRAM[11]) % _U(SKETCH_BITS)).astype(np.int64)
-    return np.packbits((np.bincount(at, minlength=SKETCH_BITS) & 1).astype(np.uint8)).tobytes()
+def bit_sketch(grams: np.ndarray) -> np.ndarray:
+    """Parity of the n-grams that fall on each bit, as 64-bit words: a power of two of at
+    least two bits for an n-gram, so that long sketches don't saturate. A sketch XORed
+    half on half is the sketch of half its bits."""
+    bits = max(SKETCH_BITS, 1 << int(2 * len(grams) - 1).bit_length())
+    at = (mix(grams ^ _GRAM[11]) & _U(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).view(np.int64)
 
 
 def _low(band: int) -> int:
@@ -154,11 +159,11 @@ def summaries(docs: DataFrame) -> DataFrame:
             for part in slices(whole):
                 sets = gram_sets(byte_list(part))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64()), pa.array([bit_sketch(s) for s in sets], pa.binary())],
+                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64()), pa.array([bit_sketch(s) for s in sets], pa.list_(pa.int64()))],
                     ["doc_id", "n", "key", "sketch"],
                 )
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n long, key long, sketch binary")
+    return _texts(docs).mapInArrow(run, "doc_id long, n long, key long, sketch array<long>")
 
 
 def lane_counts(docs: DataFrame) -> np.ndarray:
@@ -225,28 +230,54 @@ def shown_lanes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
 
 
 def shared_lanes(rows: DataFrame) -> DataFrame:
-    """The rows of lanes that at least two classes show; a class at most once or twice."""
+    """lane, key, hub (the lane's first key): lanes that at least two classes show; a
+    class at most twice in a lane."""
     order = Window.partitionBy("lane").orderBy("key")
-    near = rows.withColumns({"before": F.lag("key").over(order), "after": F.lead("key").over(order)})
-    return near.where((F.col("before") != F.col("key")) | (F.col("after") != F.col("key"))).select("lane", "key")
+    near = rows.withColumns({"before": F.lag("key").over(order), "after": F.lead("key").over(order), "hub": F.first("key").over(order)})
+    return near.where((F.col("before") != F.col("key")) | (F.col("after") != F.col("key"))).select("lane", "key", "hub")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Those pairs of classes (a, b) whose sets meet the threshold. classes: key, doc_id."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes.select("key", "doc_id"), "key")
-    wanted = _texts(docs).join(ids.select("doc_id", "key").withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id"))).select("key", "text")
+def able(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those pairs (a, b) whose sizes and bit sketches allow a link."""
+    left = classes.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    right = classes.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    both = pairs.join(left, "a").join(right, "b")
+    half = lambda x: F.zip_with(F.slice(x, 1, (F.size(x) / 2).cast("int")), F.slice(x, (F.size(x) / 2).cast("int") + 1, (F.size(x) / 2).cast("int")), lambda p, q: p.bitwiseXOR(q))
+    # Sizes that allow a link differ by less than two, and so do their sketches.
+    both = both.where((F.size("sa") <= 2 * F.size("sb")) & (F.size("sb") <= 2 * F.size("sa")))
+    both = both.withColumns({"sa": F.when(F.size("sa") > F.size("sb"), half("sa")).otherwise(F.col("sa")), "sb": F.when(F.size("sb") > F.size("sa"), half("sb")).otherwise(F.col("sb"))})
+    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda t, x: t + x)
+    sizes = DENOMINATOR * F.least("na", "nb") >= NUMERATOR * F.greatest("na", "nb")
+    return both.where(sizes & (apart * (DENOMINATOR + NUMERATOR) <= (F.col("na") + F.col("nb")) * (DENOMINATOR - NUMERATOR))).select("a", "b")
+
+
+def _sets_of(docs: DataFrame, wanted: DataFrame, names: list[str]) -> DataFrame:
+    """``names`` of wanted and grams, for the document of each wanted row. wanted: doc_id,
+    own (its class) and names. Small lists of documents are broadcast, so texts stay."""
+    rows = docs.select(docs["doc_id"].cast("long").alias("_id"), docs["text"])
+    rows = rows.join(maybe_broadcast(wanted), F.col("_id").eqNullSafe(F.col("doc_id"))).select("own", *names, "text")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for part in slices(whole):
+                sets = gram_sets(byte_list(part))
                 # Texts of a repeated doc_id may be of another class; only the class's own set counts.
-                got = [(k, s) for k, s in zip(part.column(0).to_pylist(), gram_sets(byte_list(part))) if set_key(s) == k]
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.int64()), pa.array([s.view(np.int64) for _, s in got], pa.list_(pa.int64()))], ["key", "grams"])
+                mine = [i for i, (k, s) in enumerate(zip(part.column(0).to_pylist(), sets)) if set_key(s) == k]
+                ids = [part.column(1 + i).take(pa.array(mine, pa.int64())) for i in range(len(names))]
+                yield pa.RecordBatch.from_arrays([*ids, pa.array([sets[i].view(np.int64) for i in mine], pa.list_(pa.int64()))], [*names, "grams"])
 
-    grams = stage(wanted.mapInArrow(sets, "key long, grams array<long>").dropDuplicates(["key"]), "grams")
-    left = grams.select(F.col("key").alias("a"), F.col("grams").alias("ga"))
-    right = grams.select(F.col("key").alias("b"), F.col("grams").alias("gb"))
-    both = pairs.join(left, "a").join(right, "b")
+    return rows.mapInArrow(run, ", ".join(f"{n} long" for n in names) + ", grams array<long>")
+
+
+def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those pairs of classes (a, b) whose sets meet the threshold. The sets of b travel
+    with their pairs to the sets of a."""
+    pairs = stage(able(pairs, classes), "able")
+    first = stage(pairs.select("a").distinct().join(classes.select(F.col("key").alias("a"), "doc_id"), "a").select("doc_id", F.col("a").alias("own"), "a"), "first")
+    second = stage(pairs.join(classes.select(F.col("key").alias("b"), "doc_id"), "b").select("doc_id", F.col("b").alias("own"), "a", "b"), "second")
+    left = _sets_of(docs, first, ["a"]).withColumnRenamed("grams", "ga")
+    right = _sets_of(docs, second, ["a", "b"]).withColumnRenamed("grams", "gb")
+    both = right.join(left, "a")
     common = F.size(F.array_intersect("ga", "gb")).cast("long")
     union = F.size("ga") + F.size("gb") - common
     return both.where(common * DENOMINATOR >= union * NUMERATOR).select("a", "b")
@@ -278,12 +309,77 @@ def _with_component(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.withColumn("component", F.coalesce("component", "key"))
 
 
-def across(members: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
+def _apart(x: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    return _ORDER[(rows ^ x).view(np.uint16)].sum(axis=1, dtype=np.int64)
+
+
+def _halved(rows: np.ndarray) -> np.ndarray:
+    half = rows.shape[-1] // 2
+    return np.ascontiguousarray(rows[..., :half] ^ rows[..., half:])
+
+
+class _Meeting:
+    """The members of a bucket that meet in a task."""
+
+    def __init__(self, key: np.ndarray, component: np.ndarray, n: np.ndarray, mine: np.ndarray | None, sketches: list[np.ndarray]):
+        self.key, self.component, self.n, self.mine = key, component, n, mine
+        self.words = np.array([len(s) for s in sketches])
+        self.rows = {w: np.stack([sketches[i] for i in np.flatnonzero(self.words == w)]) for w in np.unique(self.words).tolist()}
+        self.where = np.zeros(len(key), dtype=np.int64)
+        for w in self.rows:
+            at = np.flatnonzero(self.words == w)
+            self.where[at] = np.arange(len(at))
+        self.halves: dict[int, np.ndarray] = {}
+
+    def near(self, x: int, y: np.ndarray) -> np.ndarray:
+        """Those of y whose sizes and sketches allow a link with x."""
+        n, key = self.n, self.key
+        y = y[DENOMINATOR * np.minimum(n[y], n[x]) >= NUMERATOR * np.maximum(n[y], n[x])]
+        out = []
+        w = int(self.words[x])
+        mine = self.rows[w][self.where[x]]
+        for v in (w // 2, w, 2 * w):
+            part = y[self.words[y] == v]
+            if len(part):
+                if v == 2 * w and v not in self.halves:
+                    self.halves[v] = _halved(self.rows[v])
+                rows = (self.halves[v] if v == 2 * w else self.rows[v])[self.where[part]]
+                far = _apart(_halved(mine) if v < w else mine, rows)
+                out.append(part[far * (DENOMINATOR + NUMERATOR) <= (n[part] + n[x]) * (DENOMINATOR - NUMERATOR)])
+        return np.sort(np.concatenate(out)) if out else y[:0]
+
+    def pairs(self, forest: bool) -> list[tuple[int, int]]:
+        """Pairs across components; of a forest only such as join what no other pair of
+        the meeting has joined."""
+        group = self.component.copy()
+        out = []
+        for x in range(len(self.key) - 1):
+            y = np.arange(x + 1, len(self.key))
+            if self.mine is not None:
+                y = y[self.mine[y] != self.mine[x]]
+            y = y[(group if forest else self.component)[y] != (group if forest else self.component)[x]]
+            if not len(y):
+                continue
+            y = self.near(x, y)
+            if forest:
+                for i in y.tolist():
+                    if group[i] != group[x]:
+                        out.append((x, i))
+                        group[group == group[i]] = group[x]
+            else:
+                out += [(x, i) for i in y.tolist()]
+        return [(min(self.key[a], self.key[b]), max(self.key[a], self.key[b])) for a, b in out]
+
+
+def across(members: DataFrame, classes: DataFrame, found: DataFrame, forest: bool) -> DataFrame:
     """Pairs (a, b) of classes in different components that share a lane and whose
-    sizes and bit sketches allow a link. members: lane, key."""
-    rows = _with_component(members, found)
-    open_lanes = rows.groupBy("lane").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi")
-    rows = rows.join(open_lanes.select("lane", "size"), "lane").join(classes.select("key", "n", "sketch"), "key")
+    sizes and bit sketches allow a link. members: lane, key. With ``forest`` a meeting
+    gives no more pairs than it has components, enough to join all that sketches take
+    for linked; without, all pairs."""
+    lane = Window.partitionBy("lane")
+    rows = _with_component(members.select("lane", "key"), found)
+    rows = rows.withColumns({"lo": F.min("component").over(lane), "hi": F.max("component").over(lane), "size": F.count("*").over(lane)})
+    rows = rows.where("lo < hi").join(classes.select("key", "n", "sketch"), "key")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("key"), blocks).cast("int")
     # A member goes to the meetings of its block with every block, its own included.
@@ -291,33 +387,22 @@ def across(members: DataFrame, classes: DataFrame, found: DataFrame) -> DataFram
     rows = rows.withColumn("mine", mine).withColumn("meet", F.explode(meets)).select("lane", F.col("meet.i").alias("i"), F.col("meet.j").alias("j"), "mine", "key", "component", "n", "sketch")
     rows = rows.repartition("lane", "i", "j").sortWithinPartitions("lane", "i", "j")
 
-    def meeting(lane, i, j, mine, key, component, n, sketch) -> Iterator[np.ndarray]:
-        bits = np.frombuffer(b"".join(sketch), dtype=np.uint16).reshape(len(key), -1)
-        for x in range(len(key) - 1):
-            y = np.arange(x + 1, len(key))
-            if i != j:
-                y = y[mine[y] != mine[x]]
-            y = y[(component[y] != component[x]) & (DENOMINATOR * np.minimum(n[y], n[x]) >= NUMERATOR * np.maximum(n[y], n[x]))]
-            if len(y):
-                apart = _ORDER[bits[y] ^ bits[x]].sum(axis=1, dtype=np.int64)
-                y = y[apart * (DENOMINATOR + NUMERATOR) <= (n[y] + n[x]) * (DENOMINATOR - NUMERATOR)]
-                if len(y):
-                    yield np.stack((np.minimum(key[y], key[x]), np.maximum(key[y], key[x])), axis=1)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def flush(whole: pa.Table) -> Iterator[pa.RecordBatch]:
             ids = [whole.column(c).to_numpy() for c in ("lane", "i", "j")]
             edge = np.flatnonzero(np.any([c[1:] != c[:-1] for c in ids], axis=0)) + 1 if len(whole) > 1 else np.zeros(0, int)
-            cols = [whole.column(c).to_numpy() for c in ("mine", "key", "component", "n")]
-            sketch = whole.column("sketch").to_pylist()
+            mine, key, component, n = (whole.column(c).to_numpy() for c in ("mine", "key", "component", "n"))
+            lists = whole.column("sketch").combine_chunks()
+            flat, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())
             found = []
             for a, b in zip([0, *edge.tolist()], [*edge.tolist(), len(whole)]):
                 if b - a > 1:
-                    found += meeting(*(c[a] for c in ids), *(c[a:b] for c in cols), sketch[a:b])
+                    sketches = [flat[e - w : e] for e, w in zip(ends[a:b].tolist(), lists.value_lengths().to_numpy()[a:b].tolist())]
+                    found += _Meeting(key[a:b], component[a:b], n[a:b], mine[a:b] if ids[1][a] != ids[2][a] else None, sketches).pairs(forest)
             if found:
-                both = np.unique(np.concatenate(found), axis=0)
+                both = np.unique(np.array(found, dtype=np.int64), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
         for batch in batches:
@@ -340,16 +425,17 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     that are linked with another."""
     rows = stage(summaries(docs), "summaries")
     classes = stage(rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
-    members = stage(shared_lanes(shown_lanes(docs, lane_counts(docs))).distinct(), "members")
+    members = stage(shared_lanes(shown_lanes(docs, lane_counts(docs))), "members")
     # The partner that a class shares most lanes with, among the first of its buckets.
-    hubs = members.groupBy("lane").agg(F.min("key").alias("hub"))
-    ties = members.join(hubs, "lane").where("key != hub").groupBy("key", "hub").count()
+    ties = members.where("key != hub").groupBy("key", "hub").count()
     best = ties.groupBy("key").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub"))
     links = stage(verify(best.select(F.col("hub").alias("a"), F.col("key").alias("b")), docs, classes), "links")
     found = components(links)
-    more = stage(across(members, classes, found), "pairs")
-    links = stage(links.unionByName(verify(more, docs, classes)), "links")
-    return rows.select("doc_id", "n", "key"), stage(components(links), "components")
+    for forest in (True, False):
+        more = stage(across(members, classes, found, forest), "pairs")
+        links = stage(links.unionByName(verify(more, docs, classes)), "links")
+        found = components(links)
+    return rows.select("doc_id", "n", "key"), stage(found, "components")
 
 
 def join_documents(docs: DataFrame) -> DataFrame:
