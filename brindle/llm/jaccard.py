@@ -50,6 +50,8 @@ COUNTERS, COUNTER_ROWS = 1 << 20, 16
 SKETCH_BITS = 1024
 #: Members of a bucket that meet in one task at once.
 BLOCK = 512
+#: One lane in so many takes part in the forest round.
+FOREST_SHARE = 8
 FALLBACK = 99
 
 _U = np.uint64
@@ -373,11 +375,15 @@ class _Meeting:
 
 def across(members: DataFrame, classes: DataFrame, found: DataFrame, forest: bool) -> DataFrame:
     """Pairs (a, b) of classes in different components that share a lane and whose
-    sizes and bit sketches allow a link. members: lane, key. With ``forest`` a meeting
+    sizes and bit sketches allow a link. members: lane, key. With ``forest`` a share of the lanes meets, and a meeting
     gives no more pairs than it has components, enough to join all that sketches take
     for linked; without, all pairs."""
     lane = Window.partitionBy("lane")
-    rows = _with_component(members.select("lane", "key"), found)
+    rows = members.select("lane", "key")
+    if forest:
+        # A fixed share of the lanes, the same for all, joins what is alike already.
+        rows = rows.where(F.pmod(F.xxhash64("lane"), F.lit(FOREST_SHARE)) == 0)
+    rows = _with_component(rows, found)
     rows = rows.withColumns({"lo": F.min("component").over(lane), "hi": F.max("component").over(lane), "size": F.count("*").over(lane)})
     rows = rows.where("lo < hi").join(classes.select("key", "n", "sketch"), "key")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
@@ -433,8 +439,10 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = components(links)
     for forest in (True, False):
         more = stage(across(members, classes, found, forest), "pairs")
-        links = stage(links.unionByName(verify(more, docs, classes)), "links")
-        found = components(links)
+        fresh = stage(verify(more, docs, classes), "links")
+        if not fresh.isEmpty():
+            links = stage(links.unionByName(fresh), "links")
+            found = components(links)
     return rows.select("doc_id", "n", "key"), stage(found, "components")
 
 
