@@ -1,10 +1,14 @@
 """Operator 10: licences recognised by sentences and ordered rules. DataFrame code only.
 
-A text is cut into sentences twice: at sentence marks and line ends, for notices on lines
-of their own, and at sentence marks alone, for licence texts wrapped over lines. Each
-sentence is normalised (lower case, no punctuation but version dots, single spaces) and
-looked up in a fixed table of known licence sentences; what is left is the sequence of
-their identifiers. Licence rules are sequences of identifiers, tried in order, the
+A text is cut into sentences three times: at sentence marks and line ends, for notices on
+lines of their own; at sentence marks alone, for licence texts wrapped over lines; and at
+sentence marks and lines without a letter or digit, for wrapped paragraphs that end
+without a mark, as copyright lines do. Each sentence is normalised (lower case, no
+punctuation but version dots, single spaces) and looked up in a fixed table of known
+licence sentences; what is left is the sequence of their identifiers. Known sentences
+with marks inside (ACROSS) are met by the third reading, which also looks up two and
+three sentences on end. The SQL twin has the first two readings only: where the third
+finds more, the query has licences that the SQL lacks. Licence rules are sequences of identifiers, tried in order, the
 longest first: a rule matches where its identifiers follow each other, and a shorter
 rule whose identifiers are all part of a matched longer one isn't reported beside it.
 
@@ -79,6 +83,9 @@ RULES = [
 #: What a text of known sentences must have in it somewhere (checked before cutting).
 NEEDLE = r"licen[cs]e|redistribution|permission|warrant|rights reserved|free software|creative commons|public domain|obtain a copy|endorse|cc0"
 MARK, MARK_OR_LINE = r"[.;:!?]+(?:\s+|$)", r"[.;:!?]*\s*\n\s*|[.;:!?]+(?:\s+|$)"
+MARK_OR_PARAGRAPH = r"[.;:!?]+(?:\s+|$)|\n[^A-Za-z0-9\n]*+\n"
+#: Sentences whose own wording has sentence marks inside, and the most pieces these make.
+ACROSS, MOST_PIECES = ("gpl_free", "gpl_hope", "mpl_terms"), 3
 
 
 def normalise(sentence: Column) -> Column:
@@ -94,6 +101,21 @@ def identifiers(text: Column, border: str) -> Column:
     return F.filter(found, lambda s: s.isNotNull())
 
 
+def paragraph_identifiers(text: Column) -> Column:
+    """The same by sentences and paragraphs, with the known sentences of several pieces."""
+    known = F.create_map(*[F.lit(x) for name, texts in SENTENCES.items() for t in texts for x in (t, name)])
+    across = F.create_map(*[F.lit(x) for name in ACROSS for t in SENTENCES[name] for x in (t, name)])
+    heads = "^(?:" + "|".join(sorted({" ".join(t.split()[:2]) for name in ACROSS for t in SENTENCES[name]})) + r")\b"
+
+    def found(pieces: Column) -> Column:
+        joined = lambda i: [F.try_element_at(across, F.array_join(F.slice(pieces, i + 1, k), " ")) for k in range(2, MOST_PIECES + 1)]
+        return F.transform(pieces, lambda s, i: F.coalesce(F.try_element_at(known, s), F.when(s.rlike(heads), F.coalesce(*joined(i)))))
+
+    pieces = F.filter(F.transform(F.split(text, MARK_OR_PARAGRAPH, -1), normalise), lambda s: s != "")
+    # Inside a lambda the pieces are made once, not once for each of them.
+    return F.filter(F.flatten(F.transform(F.array(pieces), found)), lambda s: s.isNotNull())
+
+
 def _matches(sequence: str) -> Column:
     """Licences of the rules that a sequence meets, in rule order."""
     joined = F.concat(F.lit(","), F.array_join(sequence, ","), F.lit(","))
@@ -112,10 +134,12 @@ def scan(docs: DataFrame) -> DataFrame:
     text = F.coalesce(docs["text"], F.lit(""))
     needed = F.lower(text).rlike(NEEDLE)
     none = F.array().cast("array<string>")
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.when(needed, identifiers(text, MARK_OR_LINE)).otherwise(none).alias("_lines"), F.when(needed, identifiers(text, MARK)).otherwise(none).alias("_marks"))
-    # The reading that knows more sentences counts; of equal ones that by lines.
-    rows = rows.withColumn("sentences", F.when(F.size("_marks") > F.size("_lines"), F.col("_marks")).otherwise(F.col("_lines")))
-    found = F.array_sort(F.array_union(_matches("_lines"), _matches("_marks")))
+    readings = {"_lines": identifiers(text, MARK_OR_LINE), "_marks": identifiers(text, MARK), "_parts": paragraph_identifiers(text)}
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), *[F.when(needed, r).otherwise(none).alias(c) for c, r in readings.items()])
+    # The reading that knows more sentences counts; of equal ones that by lines, then that by marks.
+    best = F.when(F.size("_marks") > F.size("_lines"), F.col("_marks")).otherwise(F.col("_lines"))
+    rows = rows.withColumn("sentences", F.when(F.size("_parts") > F.greatest(F.size("_lines"), F.size("_marks")), F.col("_parts")).otherwise(best))
+    found = F.array_sort(F.array_union(F.array_union(_matches("_lines"), _matches("_marks")), _matches("_parts")))
     return rows.select("doc_id", "sentences", found.alias("licenses"))
 
 
