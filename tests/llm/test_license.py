@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
+import duckdb
+import pandas as pd
+
 from brindle.llm import license as LI
 
 SCHEMA = "doc_id long, text string"
@@ -84,3 +89,14 @@ def test_published_notices(spark):
         ("This program is free software: you can look at it.", [], []),
     ]
     assert scanned(spark, [t for t, *_ in want]) == [(s, found) for _, s, found in want]
+
+
+def test_wrapped_and_doubly_spaced_notices_and_the_sql(spark):
+    assert all(re.search(LI.NEEDLE, t) for texts in LI.SENTENCES.values() for t in texts) and not re.search(r"\s", LI.NEEDLE)
+    texts = ["Copyright 2020 X. All rights\nreserved.", "All  rights  reserved.", "This is free and unencumbered software released into the public\ndomain.", "ALL RIGHTS-RESERVED", "rights"]
+    got = scanned(spark, texts)
+    assert [licenses for _, licenses in got] == [["all-rights-reserved"], ["all-rights-reserved"], ["unlicense"], ["all-rights-reserved"], []]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame({"doc_id": range(len(texts)), "text": texts}))
+    theirs = con.execute(f"SELECT sentences, licenses FROM ({LI.license_sql()}) ORDER BY doc_id").fetchall()
+    assert theirs == [(",".join(s), ",".join(x)) for s, x in got]
