@@ -15,7 +15,8 @@
 
 All keys are hashes of a seed, so reruns agree. Null text counts 0 words; a document of
 no words is never taken. A null source is a source of its own, the last. Repeated rows
-of a doc_id are documents of the same hash. Without words nothing is taken. Columns of
+of a doc_id are documents of the same hash; those of one doc_id, source and number of
+words get the same draws, and others of the doc_id get their own. Without words nothing is taken. Columns of
 other names don't matter to the plan.
 """
 
@@ -123,7 +124,8 @@ def plan(docs: DataFrame, repeats: int = REPEATS, weights: dict[str, float] | No
     cut = F.element_at(F.filter(F.transform("runs", lambda r: r["cut"]), lambda c: c.isNotNull()), 1)
     dealt = dealt.withColumn("cut", F.when(F.size("runs") > 0, F.when(F.size(F.filter("runs", lambda r: r["cut"].isNotNull())) > 0, cut)))
     block_of = Window.partitionBy("source_id", "block")
-    fine = block_of.orderBy(F.col("size").desc(), _hash(seed + 3, "doc_id")).rowsBetween(Window.unboundedPreceding, 0)
+    # Rows of a doc_id and size are in or out together, so that draws depend on these alone.
+    fine = block_of.orderBy(F.col("size").desc(), _hash(seed + 3, "doc_id")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     split = dealt.where(F.col("cut").isNotNull()).withColumns({"in_cut": F.lit(False), "gap": F.col("cut")})
     for _ in range(FILLS):
         fits = ~F.col("in_cut") & (F.col("size") <= F.col("gap"))
@@ -143,8 +145,10 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that the plan takes, as often as it does, with mix_shard,
     mix_order (blocks in permuted order, shuffled inside) and mix_pass. To write shards in order:
     repartitionByRange("mix_shard", "mix_order") and sortWithinPartitions of the same."""
-    taken = plan(docs, **options).where(F.size("draws") > 0).select(F.col("doc_id").alias("_id"), F.explode(F.array_distinct("draws")).alias("_draw")).distinct()
-    rows = docs.join(taken, docs["doc_id"].cast("long").eqNullSafe(taken["_id"]))
+    taken = plan(docs, **options).where(F.size("draws") > 0)
+    taken = taken.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.explode(F.array_distinct("draws")).alias("_draw")).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(taken["_id"]) & docs["source"].cast("string").eqNullSafe(taken["_source"]) & (word_count(docs["text"]) == taken["_size"])
+    rows = docs.join(taken, same)
     order = F.struct(F.col("_draw.position").alias("block"), F.col("_draw.place").alias("place"))
     return rows.select(*[docs[c] for c in docs.columns], F.col("_draw.shard").alias("mix_shard"), order.alias("mix_order"), F.col("_draw.pass").alias("mix_pass"))
 

@@ -25,10 +25,24 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that five-word n-gram similarity of 0.75 links: the
-    one of the smallest doc_id. A document without words is linked with nothing."""
-    gone = stage(join_documents(docs).where("doc_id != component_id").select("doc_id"), "gone")
-    return docs.join(maybe_broadcast(gone), "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group that five-word n-gram similarity of 0.75 links: the one of
+    the smallest doc_id, nulls last, and of equal ones the one of the smallest row hash.
+    Rows are told apart by a hash of all columns, not by doc_id: repeated and null
+    doc_ids are rows like others, and of rows equal in all columns one stays. A row
+    without words is linked with nothing and stays, repeated or not."""
+    keyed = docs.withColumn("_row", F.xxhash64(*[x for c in docs.columns for x in (F.col(c), F.col(c).isNull())]))
+    twice = stage(keyed.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).groupBy("_row").count().where("count > 1").select("_row"), "twice")
+    if not twice.isEmpty():
+        some = maybe_broadcast(twice)
+        once = keyed.join(some, "_row", "left_semi").dropDuplicates(["_row"])
+        keyed = stage(keyed.join(some, "_row", "left_anti").unionByName(once), "once")
+    linked = join_documents(keyed.select(F.col("_row").alias("doc_id"), "text")).where("n_shingles > 0 AND doc_id != component_id")
+    linked = stage(linked.select(F.col("doc_id").alias("_row"), "component_id"), "linked")
+    members = stage(linked.unionByName(linked.select(F.col("component_id").alias("_row"), "component_id").distinct()), "members")
+    ids = keyed.select("_row", F.col("doc_id").alias("_id")).join(maybe_broadcast(members), "_row")
+    first = ids.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")).alias("first"))
+    gone = stage(members.select("_row").join(first.select("first._row"), "_row", "left_anti"), "gone")
+    return keyed.join(maybe_broadcast(gone), "_row", "left_anti").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
