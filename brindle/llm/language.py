@@ -7,8 +7,9 @@ numpy. As prediction is linear before the softmax, the trained model is a table
 logit for each hashed piece and language, and a worker sums it once for each distinct word.
 
 Training takes a bounded sample of labelled rows: the TRAIN_ROWS with the lowest hash
-of doc_id (documented bound of a model fit); only rows outside held_out and with a
-language are eligible. One part of the sample is kept back to fit the temperature of
+of doc_id, text and language (documented bound of a model fit; Spark takes them, so no
+more reach the driver); only rows outside held_out and with a language are eligible.
+Rows equal in all three count once; null doc_ids are eligible and told apart by text. One part of the sample is kept back to fit the temperature of
 the softmax and the score under which a prediction is rejected: such that at most
 REJECT_SHARE of right predictions fall under it.
 
@@ -195,18 +196,24 @@ def calibrate(model: Model, texts: list[bytes], target: np.ndarray) -> None:
 
 
 def sample(docs: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[bytes], list[str]]:
-    """At most ``rows`` labelled rows that may be learned from, by hash of doc_id."""
-    able = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(~held_out("doc_id"))
-    total = able.select("doc_id").count()
+    """At most ``rows`` distinct labelled rows that may be learned from, by hash of doc_id,
+    text and language."""
+    able = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(~held_out("doc_id")).select("doc_id", "text", "lang")
+    able = able.withColumn("_hash", F.xxhash64("doc_id", "text", "lang", F.lit(8)))
+    total = able.count()
     if not total:
         return [], []
-    scale = 1 << 30
-    cut = int(scale * min(1.0, 1.2 * rows / total + 20 / total))
-    order = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(scale))
-    got = able.where(order < cut).select("doc_id", "text", "lang").toLocalIterator()  # about 1.2 * rows rows
-    found = sorted(((r["doc_id"], r["text"], r["lang"]) for r in got), key=lambda r: (r[0], r[1]))
-    pick = np.random.default_rng(1).permutation(len(found))[:rows]
-    return [found[i][1].encode() for i in pick], [found[i][2] for i in pick]
+    # The lowest hashes are looked for in a share of their range that holds them if rows
+    # don't repeat much, and else in all of it.
+    lowest = []
+    for share in dict.fromkeys((min(1.0, (1.2 * rows + 20) / total), 1.0)):
+        cut = min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))
+        lowest = able.select("_hash").where(F.col("_hash") <= cut).distinct().orderBy("_hash").limit(rows).collect()
+        if len(lowest) == rows:
+            break
+    got = able.where(F.col("_hash") <= lowest[-1][0]).dropDuplicates(["_hash"]).collect()  # ``rows`` at most
+    got.sort(key=lambda r: r["_hash"])
+    return [r["text"].encode() for r in got], [r["lang"] for r in got]
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
