@@ -11,7 +11,8 @@ are added; base spans always stay.
 
 The patterns are written so that Java's engine neither recurses nor backtracks: a run of
 characters is taken possessively and only from its start, which finds the same leftmost
-matches. Places come from the gaps between matches, in code points, end exclusive.
+matches. A credential is taken whole, however long, with parts joined by dots and with
+trailing '='. Places come from the gaps between matches, in code points, end exclusive.
 
 Null and empty texts have no spans. Repeated rows and long texts need nothing special:
 rows are handled one by one and only vote counts shuffle. An empty table gives no rows.
@@ -40,7 +41,7 @@ PATTERNS = {
 #: Looser candidates of further kinds; a capital needle in the text is looked for first.
 LOOSE = {
     "email": (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]{1,64}+\x20?(?:[\[(](?:dot|DOT)[\])]|\.)\x20?[A-Za-z]{2,24}", r"(?i)[\[(]at[\])]"),
-    "secret": (r"(?i)(?<![A-Za-z0-9])(?:token|secret|passw(?:or)?d|api[_-]?key)[\"']?\x20?[=:]\x20?[\"']?[A-Za-z0-9+/_-]{16,512}+", r"(?i)token|secret|passw|api[_-]?key"),
+    "secret": (r"(?i)(?<![A-Za-z0-9])(?:token|secret|passw(?:or)?d|api[_-]?key)[\"']?\x20?[=:]\x20?[\"']?[A-Za-z0-9+/_-]{16,}+=*+(?:\.[A-Za-z0-9+/_-]++=*+)*+", r"(?i)token|secret|passw|api[_-]?key"),
     "national_id": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]-[0-9]{2}-[0-9]"),
 }
 LABELERS = ("shape", "gazetteer", "context", "variety", "edges")
