@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm.common import byte_list, ragged, slices, table, vocabulary_path
+from brindle.llm.common import byte_list, map_batches, ragged, slices, table, vocabulary_path
 
 VOCABULARY = "word_bpe_49k.json"
 #: Distinct pieces that a worker remembers, and their bytes.
@@ -254,7 +254,7 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, emit: str =
                     names = ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays([part.column(0), *cols], ["doc_id", *names])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, schema)
+    return map_batches(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]), run, schema)
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

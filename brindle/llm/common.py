@@ -6,9 +6,10 @@ or collects rows to the driver.
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 SPACES = b" \t\n\x0b\x0c\r"
 #: Text bytes that a Python worker turns into arrays at one time.
 SLICE_BYTES = 1 << 20
+#: Bytes of a batch that goes to a Python worker (a longer text is a batch of its own).
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 2 << 20
 #: A side of a join is broadcast only after its measured size is under this.
 BROADCAST_BYTES = 16 << 20
 
@@ -37,6 +40,14 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow with batches of bounded bytes. Where the session leaves the bound to
+    the number of rows, 10,000 long texts would be gigabytes, so it is set for it."""
+    if df.sparkSession.conf.get(BATCH_SETTING, None) is None:
+        df.sparkSession.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends here,
     and a lost executor costs at most the tasks it was running."""
@@ -112,44 +123,81 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[list(SPACES)] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BYTES = seeded(256, 17)
-_BASE = _U(0x9E3779B97F4A7C15 | 1)
-_INVERSE = _U(pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64))
-_powers: list[np.ndarray] = [np.ones(1, dtype=_U), np.ones(1, dtype=_U)]
+_LOWER_TABLE = _LOWER.tobytes()
+#: The first 0 to 8 bytes of a little-endian 64-bit word.
+_HEAD = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=_U)
+_STEP = seeded(3, 17) | _U(1)
+#: Words of more bytes are hashed by BLAKE2b.
+SHORT_WORD = 16
 
 
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        with np.errstate(over="ignore"):
-            for i, b in enumerate((_BASE, _INVERSE)):
-                p = np.full(n, b, dtype=_U)
-                p[0] = 1
-                _powers[i] = np.cumprod(p)
-    return _powers[0], _powers[1]
+def chunks_of(raw: bytes) -> np.ndarray:
+    """The 8 bytes from each place of ``raw``, as little-endian 64-bit words."""
+    return np.ndarray((max(0, len(raw) - 7),), dtype="<u8", buffer=raw, strides=(1,))
 
 
-def hash_words(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def hash_words(texts: list[bytes], lower: bool = False, key: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """All words of some texts, at once: (64-bit hashes, first word of each text
-    plus the end, starts, ends, the joined bytes)."""
+    plus the end, starts, ends, the joined bytes and 16 more).
+
+    Each 8 bytes go through a finaliser that is a bijection, so words of up to 8 bytes
+    and equal length never collide; longer ones do by chance. A ``key`` that the writer
+    of a text can't know keeps collisions from being made on purpose."""
     sizes = np.fromiter((len(t) for t in texts), dtype=np.int64, count=len(texts))
-    data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
+    raw = b"\n".join(texts) + b"\n" + bytes(16)
+    if lower:
+        raw = raw.translate(_LOWER_TABLE)
+    data = np.frombuffer(raw, dtype=np.uint8)
     begins = np.zeros(len(texts) + 1, dtype=np.int64)
     np.cumsum(sizes + 1, out=begins[1:])
-    space = _SPACE[data]
+    space = _SPACE[data[: len(raw) - 16]]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
-    if len(data) and not space[0]:
+    if not space[0]:
         edge = np.concatenate(([0], edge))
     starts, ends = edge[0::2], edge[1::2]
     if not len(starts):
         return np.zeros(0, _U), np.zeros(len(texts) + 1, np.int64), starts, ends, data
-    power, inverse = _powers_to(len(data) + 1)
+    length, at = ends - starts, chunks_of(raw)
     with np.errstate(over="ignore"):
-        sums = np.zeros(len(data) + 1, dtype=_U)
-        np.cumsum(_BYTES[_LOWER[data] if lower else data] * power[: len(data)], out=sums[1:])
-        h = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
+        seed = mix(np.array([key & 0xFFFFFFFFFFFFFFFF], dtype=_U) + _STEP[0])
+        h = mix((length.astype(_U) * _STEP[1]) ^ seed)
+        h = mix(h ^ (at[starts] & _HEAD[np.minimum(length, 8)]))
+        more = np.flatnonzero((length > 8) & (length <= SHORT_WORD))
+        tail = at[starts[more] + 8] & _HEAD[length[more] - 8]
+        h[more] = mix(h[more] * _STEP[2] + mix(tail ^ seed))
+    long = np.flatnonzero(length > SHORT_WORD)
+    if len(long):
+        secret = seed.tobytes()
+        h[long] = np.frombuffer(b"".join([hashlib.blake2b(raw[a:b], digest_size=8, key=secret).digest() for a, b in zip(starts[long].tolist(), ends[long].tolist())]), dtype="<u8")
     return h, np.searchsorted(starts, begins), starts, ends, data
 
 
+def equal_words(one: np.ndarray, a: np.ndarray, a_end: np.ndarray, other: np.ndarray, b: np.ndarray, b_end: np.ndarray) -> np.ndarray:
+    """Whether the bytes a..a_end of ``one`` are the bytes b..b_end of ``other``, pair by
+    pair. Both arrays have at least 16 bytes beyond the last word."""
+    length = a_end - a
+    same = length == b_end - b
+    raw, raw_other = one.tobytes(), other.tobytes()
+    left, right = chunks_of(raw), chunks_of(raw_other)
+    same &= ((left[a] ^ right[b]) & _HEAD[np.minimum(length, 8)]) == 0
+    more = np.flatnonzero(same & (length > 8) & (length <= SHORT_WORD))
+    same[more] = ((left[a[more] + 8] ^ right[b[more] + 8]) & _HEAD[length[more] - 8]) == 0
+    for i in np.flatnonzero(same & (length > SHORT_WORD)).tolist():
+        same[i] = raw[a[i] : a_end[i]] == raw_other[b[i] : b_end[i]]
+    return same
+
+
+def word_ids(h: np.ndarray, starts: np.ndarray, ends: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """A number for each word, equal exactly where the bytes of words are equal."""
+    if not len(h):
+        return np.zeros(0, np.int64)
+    _, example, ids = np.unique(h, return_index=True, return_inverse=True)
+    if not equal_words(data, starts, ends, data, starts[example][ids], ends[example][ids]).all():
+        raw, known = data.tobytes(), {}
+        ids = np.array([known.setdefault(raw[a:b], len(known)) for a, b in zip(starts.tolist(), ends.tolist())])
+    return ids.astype(np.int64)
+
+
 def ragged(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     offsets = np.zeros(len(lengths) + 1, dtype=np.int32)
     np.cumsum(lengths, out=offsets[1:])

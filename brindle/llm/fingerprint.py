@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import byte_list, mix, table
+from brindle.llm.common import byte_list, map_batches, mix, table
 from brindle.llm.tokens import id_ranges
 
 WINDOW, RUN, POINTS = 32, 32, 8
@@ -164,7 +164,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([text_of(fingerprint(t)) for t in byte_list(b)])], ["doc_id", "fingerprint"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, "doc_id long, fingerprint string")
+    return map_batches(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]), run, "doc_id long, fingerprint string")
 
 
 def edit(text: str, other: str) -> str:
@@ -259,7 +259,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
             yield flush()
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return sorted_rows.select("doc_id", "text", "part", "guest").mapInArrow(run, schema)
+    return map_batches(sorted_rows.select("doc_id", "text", "part", "guest"), run, schema)
 
 
 def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

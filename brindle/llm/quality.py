@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import _SPACE, byte_list, hash_words, held_out, mix, slices, stage, table
+from brindle.llm.common import _SPACE, byte_list, hash_words, held_out, map_batches, mix, slices, stage, table
 
 FEATURES, WIDTH, RIDGE, BINS = 256, 3.0, 1e-2, 512
 PARTIALS, GROUPS = 256, 16
@@ -108,7 +108,7 @@ def document_statistics(docs: DataFrame) -> DataFrame:
                 x = statistics(byte_list(part))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "stats"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, "doc_id long, stats array<double>")
+    return map_batches(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]), run, "doc_id long, stats array<double>")
 
 
 @dataclass
@@ -154,7 +154,7 @@ def _summed(rows: DataFrame, partial, size: int) -> np.ndarray:
     def join(t: pa.Table) -> pa.Table:
         return pa.table({"total": pa.array([sum((np.asarray(x) for x in t.column("total").to_pylist()), np.zeros(size))], pa.list_(pa.float64()))})
 
-    parts = rows.select("stats", "label").coalesce(PARTIALS).mapInArrow(run, "total array<double>")
+    parts = map_batches(rows.select("stats", "label").coalesce(PARTIALS), run, "total array<double>")
     grouped = parts.groupBy((F.spark_partition_id() % GROUPS).alias("g")).applyInArrow(join, "total array<double>")
     return sum((np.asarray(r["total"]) for r in grouped.collect()), np.zeros(size))  # at most GROUPS rows
 
@@ -217,7 +217,7 @@ def score(stats: DataFrame, model: Model | None) -> DataFrame:
                 s = shared.value.score(_matrix(b)) if shared.value is not None else np.full(b.num_rows, 0.5)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= ACCEPT).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    out = stats.select("doc_id", "stats").mapInArrow(run, "doc_id long, score double, predicted int")
+    out = map_batches(stats.select("doc_id", "stats"), run, "doc_id long, score double, predicted int")
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
 
 

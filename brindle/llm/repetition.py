@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm.common import _SPACE, byte_list, hash_words, mix, slices, table
+from brindle.llm.common import _SPACE, byte_list, hash_words, map_batches, slices, table, word_ids
 
 #: Base rule (given): at least 20 words, at most 30 of 100 in repeated 8-word windows.
 FEWEST_WORDS, WINDOW, MOST_REPEATED = 20, 8, 30
@@ -35,20 +35,19 @@ _SYMBOL[list(b"#*$%&|<>")] = True
 
 
 def suffix_ranks(words: np.ndarray, firsts: np.ndarray) -> list[np.ndarray]:
-    """Ranks of the suffixes by their first 1, 2, 4, ... words; the last level tells all
+    """words: a number for each word. Ranks of the suffixes by their first 1, 2, 4, ... words; the last level tells all
     suffixes of a text apart. Level 3 (8 words) is always there."""
     n = len(words)
     text = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
     end = firsts[1:][text]
-    own = mix(words ^ mix(text.astype(np.uint64) + np.uint64(1)))
-    _, rank = np.unique(own, return_inverse=True)
-    levels, span, most = [rank.astype(np.int64)], 1, int(rank.max()) + 1 if n else 0
+    _, rank = np.unique(words * (len(firsts) + 1) + text, return_inverse=True)
+    levels, span, most = [rank.astype(np.int32 if n < 1 << 31 else np.int64)], 1, int(rank.max()) + 1 if n else 0
     while n and (len(levels) <= 3 or most < n):
         follow = np.zeros(n, dtype=np.int64)
         inside = np.flatnonzero(np.arange(n) + span < end)
         follow[inside] = levels[-1][inside + span] + 1
-        _, rank = np.unique(levels[-1] * (n + 1) + follow, return_inverse=True)
-        levels.append(rank.astype(np.int64))
+        _, rank = np.unique(levels[-1].astype(np.int64) * (n + 1) + follow, return_inverse=True)
+        levels.append(rank.astype(np.int32 if n < 1 << 31 else np.int64))
         span, most = 2 * span, int(rank.max()) + 1
     return levels
 
@@ -91,11 +90,11 @@ def sums(values: np.ndarray, firsts: np.ndarray) -> np.ndarray:
 
 def measure(texts: list[bytes], least: int = LEAST_REPEAT) -> dict[str, np.ndarray]:
     """The figures of each text."""
-    h, firsts, _, _, data = hash_words(texts)
+    h, firsts, starts, ends, data = hash_words(texts)
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     bounds = np.concatenate(([0], np.cumsum(sizes + 1)))
     n_words = np.diff(firsts)
-    levels = suffix_ranks(h, firsts)
+    levels = suffix_ranks(word_ids(h, starts, ends, data), firsts)
     n = len(h)
     repeat = repeat_lengths(levels, firsts)
     # Windows of 8 words that are found twice are the suffixes with that long a repeat.
@@ -134,7 +133,7 @@ def repetition_rules(docs: DataFrame, least: int = LEAST_REPEAT, most_covered: f
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", *names, "base_failed", "kept"])
 
     schema = "doc_id long, " + ", ".join(f"{k} long" for k in names) + ", base_failed boolean, kept boolean"
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, schema)
+    return map_batches(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]), run, schema)
 
 
 def op7_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import byte_list, hash_words, seeded, slices, stage, stage_path, table, vocabulary_path
+from brindle.llm.common import byte_list, equal_words, hash_words, map_batches, seeded, slices, stage, stage_path, table, vocabulary_path
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
@@ -52,8 +52,9 @@ class ByteBpe:
     The pre-tokenizer of a byte-level file never joins characters across a single
     space or line end before a visible character, so a text may be cut there; a piece
     is a word and the one separator before it. Pieces are looked up by 64-bit hashes in
-    a sorted table, all of a slice at once, and only new ones go to the library. Texts
-    with other white space or special tokens go to it whole."""
+    a sorted table, all of a slice at once, and their bytes are compared; only new ones go
+    to the library. Texts with other white space, with special tokens or with a piece that
+    has another's hash go to it whole."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the task has one core
@@ -69,12 +70,19 @@ class ByteBpe:
         self.at = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
+        self.word = np.zeros(0, np.int64)  # where the bytes of a piece's word are
+        self.word_end = np.zeros(0, np.int64)
+        self.lead = np.zeros(0, np.int64)
+        self.raw = np.zeros(16, np.uint8)  # bytes of words, and 16 more
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
-        found = self.whole([p.decode("utf-8", "replace") for p in pieces])
+    def _learn(self, keys: np.ndarray, words: list[bytes], leads: np.ndarray) -> None:
+        found = self.whole([(LEADS[k] + w).decode("utf-8", "replace") for k, w in zip(leads.tolist(), words)])
+        length = np.fromiter((len(w) for w in words), dtype=np.int64, count=len(words))
+        word = len(self.raw) - 16 + np.cumsum(length) - length
+        self.raw = np.frombuffer(self.raw[:-16].tobytes() + b"".join(words) + bytes(16), dtype=np.uint8)
         size = np.array([len(x) for x in found], dtype=np.int64)
         ids = np.fromiter((i for x in found for i in x), dtype=np.uint32, count=int(size.sum()))
         at = len(self.ids) + np.cumsum(size) - size
@@ -82,6 +90,8 @@ class ByteBpe:
         order = np.argsort(keys, kind="stable")
         self.keys = keys[order]
         self.at, self.size = np.concatenate((self.at, at))[order], np.concatenate((self.size, size))[order]
+        self.word, self.word_end = np.concatenate((self.word, word))[order], np.concatenate((self.word_end, word + length))[order]
+        self.lead = np.concatenate((self.lead, leads))[order]
         self.ids = np.concatenate((self.ids, ids))
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -111,10 +121,14 @@ class ByteBpe:
             if len(self.keys) + len(new) > CACHE_PIECES:
                 self.clear()
                 new = np.arange(len(key))
-            raw, lead_of = data.tobytes(), (b"", b" ", b"\n")
-            w = example[new].tolist()
-            self._learn(key[new], [lead_of[kind[i]] + raw[starts[i] : ends[i]] for i in w])
+            raw, w = data.tobytes(), example[new]
+            self._learn(key[new], [raw[a:b] for a, b in zip(starts[w].tolist(), ends[w].tolist())], kind[w])
             slot = self._slots(key)
+        # A piece must be the one that its hash has found, first among those of the slice.
+        same = equal_words(data, starts, ends, data, starts[example][inverse], ends[example][inverse]) & (kind == kind[example][inverse])
+        held = equal_words(data, starts[example], ends[example], self.raw, self.word[slot], self.word_end[slot]) & (kind[example] == self.lead[slot])
+        if len(h):
+            odd[text_of[~(same & held[inverse])]] = True
         slot = slot[inverse]
         size, at = self.size[slot], self.at[slot]
         total = np.concatenate(([0], np.cumsum(size)))
@@ -143,6 +157,8 @@ class ByteBpe:
 _ODD_START = np.zeros(256, dtype=bool)
 _ODD_START[[*range(0x20), 0x7F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
 _KIND = seeded(3, 29)
+#: What stands before a word: nothing, a space, a line end.
+LEADS = (b"", b" ", b"\n")
 
 
 _encoders: dict[str, ByteBpe] = {}
@@ -231,7 +247,7 @@ def encode_chunks(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = E
                 )
 
     schema = "doc_id long, n_tokens long, root binary, hashes array<binary>, sizes array<int>, fresh array<binary>"
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, schema)
+    return map_batches(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]), run, schema)
 
 
 def id_ranges(rows: DataFrame, per_range: int = RANGE_DOCS, most: int = MOST_RANGES) -> tuple[Column, int]:
@@ -280,7 +296,7 @@ def manifest(recipes: DataFrame) -> DataFrame:
             roots = [merkle([x["root"] for x in xs]) for xs in b.column(5).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(roots, pa.binary())], ["part", "first_doc", "last_doc", "n_docs", "n_tokens", "root"])
 
-    return parts.mapInArrow(run, "part int, first_doc long, last_doc long, n_docs long, n_tokens long, root binary")
+    return map_batches(parts, run, "part int, first_doc long, last_doc long, n_docs long, n_tokens long, root binary")
 
 
 def _numbers(raw: bytes, n: int) -> np.ndarray:
@@ -298,7 +314,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
             ids = [np.concatenate([_numbers(x["ids"], x["n"]) for x in xs]).astype(np.int64) for xs in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int64()))], ["doc_id", "start", "ids"])
 
-    return rows.mapInArrow(run, "doc_id long, start long, ids array<long>")
+    return map_batches(rows, run, "doc_id long, start long, ids array<long>")
 
 
 # CRC-32 of joined strings: crc(a + b) = crc(a) * x^(8 len(b)) + crc(b) over GF(2).
@@ -353,7 +369,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
                 right = [hashlib.blake2b(r, digest_size=16).digest() == h for h, r in zip(hashes, raws)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(crc, pa.int64()), pa.array(right)], ["hash", "n", "crc", "right"])
 
-    chunks = spark.read.parquet(f"{path}/chunks").mapInArrow(check, "hash binary, n int, crc long, right boolean")
+    chunks = map_batches(spark.read.parquet(f"{path}/chunks"), check, "hash binary, n int, crc long, right boolean")
     recipes = spark.read.parquet(f"{path}/recipes")
     parts = recipes.select("doc_id", "start", "n_tokens", "root", F.posexplode("hashes").alias("seq", "hash")).join(chunks, "hash", "left")
     rows = parts.groupBy("doc_id", "start").agg(F.first("n_tokens").alias("n_tokens"), F.first("root").alias("root"), F.array_sort(F.collect_list(F.struct("seq", "n", "crc", "right", "hash"))).alias("parts"))
@@ -367,7 +383,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
                 right.append(whole and sum(x["n"] for x in xs) == n and merkle([x["hash"] for x in xs]) == root)
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(crcs, pa.int64()), pa.array(right, pa.bool_())], ["doc_id", "start", "n_tokens", "ids_crc32", "verified"])
 
-    return rows.mapInArrow(combine, "doc_id long, start long, n_tokens long, ids_crc32 long, verified boolean")
+    return map_batches(rows, combine, "doc_id long, start long, n_tokens long, ids_crc32 long, verified boolean")
 
 
 def op2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
