@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import _LOWER, byte_list, hash_words, held_out, mix, seeded, slices, table
+from brindle.llm.common import _LOWER, byte_list, hash_words, held_out, map_batches, mix, seeded, slices, table
 
 TRAIN_ROWS, KEPT_BACK = 3000, 5
 BUCKETS, DIMENSIONS, EPOCHS, RATE = 1 << 16, 16, 4, 0.5
@@ -123,9 +123,9 @@ class Model:
                 order = np.argsort(keys, kind="stable")
                 self.keys, self.table = keys[order], np.concatenate((self.table, rows))[order]
                 slot = self._words(key)
-            rows = self.table[slot][inverse]
-            sums = np.concatenate((np.zeros((1, width + 1)), np.cumsum(rows, axis=0)))
-            total = sums[firsts[1:]] - sums[firsts[:-1]]
+            # Each text is summed on its own, so equal texts get equal figures to the last bit.
+            some = np.flatnonzero(np.diff(firsts) > 0)
+            total[some] = np.add.reduceat(self.table[slot][inverse], firsts[some], axis=0)
         z = (total[:, :width] / np.maximum(total[:, width:], 1) + self.bias) / self.temperature
         z = np.exp(z - z.max(axis=1, keepdims=True))
         return z / z.sum(axis=1, keepdims=True)
@@ -217,7 +217,8 @@ def sample(docs: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[bytes], list[s
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs``, whole, that the model doesn't reject."""
+    """The rows of ``docs``, whole, that the model doesn't reject. A model without any
+    language (no labels to learn from) can't reject a text: all with a letter stay."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,9 +229,9 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
                 kept = np.array([has_letter(t) for t in texts], dtype=bool)
                 if m.languages:
                     kept &= m.probabilities(texts).max(axis=1) >= m.threshold
-                    yield part.filter(pa.array(kept))
+                yield part.filter(pa.array(kept))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -252,7 +253,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(names), pa.array(score), pa.array(~lettered | (score < m.threshold))], ["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), held_out(docs["doc_id"]).alias("held_out"), docs["text"])
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+    return map_batches(rows, run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
