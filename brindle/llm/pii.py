@@ -21,6 +21,7 @@ rows are handled one by one and only vote counts shuffle. An empty table gives n
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,6 +65,8 @@ GAZETTEER = {
 #: A check digit or range is arithmetic, whatever the other votes agree on.
 LEAST_RIGHT = {"shape": 0.95}
 CONTEXT, ACCEPT, ROUNDS, STEPS = 32, 0.5, 40, 400
+#: Elements of a run in running sums, characters of a piece of a text that is put together.
+RUN, PIECE = 64, 1024
 
 
 def _digits(x: Column) -> Column:
@@ -100,16 +103,28 @@ def _worth(kind: str, x: Column) -> Column:
     return {"card": (n >= 14) & (n <= 19), "phone": (n >= 9) & (n <= 16), "ip": F.lit(True)}.get(kind, F.lit(False))
 
 
-def _places(found: Column, gaps: Column, at: Column) -> tuple[Column, Column]:
-    """Start and end, in code points, of the at-th match (from 1)."""
-    start = F.length(F.array_join(F.slice(gaps, 1, at), "")) + F.length(F.array_join(F.slice(found, 1, at - 1), ""))
-    return start, start + F.length(F.element_at(found, at))
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.element_at(F.transform(F.array(x), f), 1)
 
 
-def _votes(kind: str, x: Column, start: Column, end: Column, good: Column, text: Column) -> list[Column]:
+def prefixes(x: Column, zero: Column, add: Callable[[Column, Column], Column], levels: int = 2) -> Column:
+    """For each place of an array what ``add`` makes of all elements before it. Runs of
+    RUN elements are folded first, and runs of those, so that the work is in proportion
+    to the array (and to the square of one RUN^levels-th of it)."""
+    fold = lambda part: F.aggregate(part, zero, add)
+    if not levels:
+        return F.transform(x, lambda v, i: fold(F.slice(x, 1, i)))
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / RUN).cast("int")), lambda j: fold(F.slice(x, j * RUN + 1, RUN)))
+    run_of = lambda i: F.floor(i / RUN).cast("int")
+    scanned = let(runs, lambda r: let(prefixes(r, zero, add, levels - 1), lambda before: F.transform(x, lambda v, i: add(F.get(before, run_of(i)), fold(F.slice(x, run_of(i) * RUN + 1, i % RUN))))))
+    return F.when(F.size(x) > 0, scanned).otherwise(F.slice(x, 1, 0))
+
+
+def _votes(kind: str, x: Column, before: Column, after: Column, good: Column) -> list[Column]:
+    """Votes on a match; before: at most CONTEXT characters, after: at most one."""
     yes, no, abstain = F.lit(1), F.lit(-1), F.lit(0)
-    before = F.substring(text, F.greatest(start - CONTEXT + 1, F.lit(1)), F.least(start, F.lit(CONTEXT)))
-    touch = F.concat(F.substring(text, start, F.when(start > 0, 1).otherwise(0)), F.lit(" "), F.substring(text, end + 1, F.lit(1)))
+    touch = F.concat(F.right(before, F.lit(1)), F.lit(" "), after)
     distinct = F.size(F.array_distinct(_chars(F.lower(x))))
     return [
         good,
@@ -120,31 +135,48 @@ def _votes(kind: str, x: Column, start: Column, end: Column, good: Column, text:
     ]
 
 
-def annotate(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds _base, array of struct(start, rank, end, kind), and _more, the other
-    candidates, both with votes and length."""
-    whole = F.coalesce(F.col(text), F.lit(""))
+def _spans(kind: str, shape: int, keep: Callable[[Column], Column], found: Column, gaps: Column, starts: Column) -> Column:
+    """The spans of those matches that ``keep`` keeps, with votes. gaps: the text between
+    matches; starts: characters before each gap."""
+    text_at = lambda x, i: F.coalesce(F.get(x, i), F.lit(""))
+
+    def span(i: Column) -> Column:
+        x = F.get(found, i)
+        before = F.right(F.concat(text_at(gaps, i - 1), text_at(found, i - 1), F.get(gaps, i)), F.lit(CONTEXT))
+        after = F.left(F.concat(F.left(text_at(gaps, i + 1), F.lit(1)), text_at(found, i + 1)), F.lit(1))
+        start = (F.get(starts, i) + F.length(F.get(gaps, i))).cast("int")
+        named = [v.cast("int").alias(n) for n, v in zip(LABELERS, _votes(kind, x, before, after, F.lit(shape)))]
+        bucket = F.least(F.floor(F.length(x) / 8), F.lit(7)).cast("int")
+        return F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), (start + F.length(x)).alias("end"), F.lit(kind).alias("kind"), *named, bucket.alias("bucket"))
+
+    return F.transform(F.filter(F.sequence(F.lit(0), F.size(found) - 1), lambda i: keep(F.get(found, i))), span)
+
+
+_SPAN = "array<struct<start:int,rank:int,end:int,kind:string," + ",".join(f"{n}:int" for n in LABELERS) + ",bucket:int>>"
+
+
+def annotate(docs: DataFrame, *columns: Column, text: str = "text") -> DataFrame:
+    """``columns``, base (array of struct(start, rank, end, kind) with votes and length)
+    and more, the other candidates, likewise. Work is in proportion to the text and its
+    matches."""
+    whole = F.coalesce(F.col("_text"), F.lit(""))
     digit = whole.rlike("[0-9]")
     near = {"email": whole.contains("@"), "phone": whole.contains("+") & digit, "ip": digit, "card": digit}
     sources = [(f"_b{k}", k, PATTERNS[k], near[k]) for k in BASE] + [(f"_l{k}", k, p, whole.rlike(need)) for k, (p, need) in LOOSE.items()]
     empty = F.array().cast("array<string>")
-    rows = docs.withColumns({f"{c}_m": F.when(need, F.regexp_extract_all(whole, F.lit(p), F.lit(0))).otherwise(empty) for c, _, p, need in sources})
+    names = [f"_c{i}" for i in range(len(columns))]
+    rows = docs.select(*[c.alias(n) for c, n in zip(columns, names)], docs[text].cast("string").alias("_text"))
+    rows = rows.withColumns({f"{c}_m": F.when(need, F.regexp_extract_all(whole, F.lit(p), F.lit(0))).otherwise(empty) for c, _, p, need in sources})
     rows = rows.withColumns({f"{c}_g": F.when(F.size(f"{c}_m") > 0, F.split(whole, p, -1)).otherwise(empty) for c, _, p, _ in sources})
+    add = lambda a, b: a + b
     base, more = [], []
     for c, kind, _, _ in sources:
         found, gaps = F.col(f"{c}_m"), F.col(f"{c}_g")
+        lengths = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.length(g) + F.length(m))
 
-        def spans(keep, shape: int, kind=kind, found=found, gaps=gaps) -> Column:
-            def span(i: Column) -> Column:
-                x = F.element_at(found, i)
-                start, end = _places(found, gaps, i)
-                votes = _votes(kind, x, start, end, F.lit(shape), whole)
-                bucket = F.least(F.floor(F.length(x) / 8), F.lit(7))
-                named = [v.cast("int").alias(n) for n, v in zip(LABELERS, votes)]
-                return F.struct(start.cast("int").alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.cast("int").alias("end"), F.lit(kind).alias("kind"), *named, bucket.cast("int").alias("bucket"))
-
-            at = F.when(F.size(found) > 0, F.sequence(F.lit(1), F.size(found))).otherwise(F.array().cast("array<int>"))
-            return F.transform(F.filter(at, lambda i: keep(F.element_at(found, i))), span)
+        def spans(keep: Callable[[Column], Column], shape: int, kind=kind, found=found, gaps=gaps, lengths=lengths) -> Column:
+            starts = let(lengths, lambda x: prefixes(x, F.lit(0), add))
+            return F.when(F.size(found) > 0, let(starts, lambda s: _spans(kind, shape, keep, found, gaps, s))).otherwise(F.array().cast(_SPAN))
 
         if c.startswith("_b"):
             base.append(spans(lambda x, kind=kind: _check(kind, x), 1))
@@ -152,8 +184,7 @@ def annotate(docs: DataFrame, text: str = "text") -> DataFrame:
                 more.append(spans(lambda x, kind=kind: _worth(kind, x) & ~_check(kind, x), -1))
         else:
             more.append(spans(lambda x: F.lit(True), 0))
-    rows = rows.withColumns({"_base": F.array_sort(F.concat(*base)), "_more": F.array_sort(F.concat(*more))})
-    return rows.drop(*[f"{c}_{x}" for c, *_ in sources for x in "mg"])
+    return rows.select(*names, F.array_sort(F.concat(*base)).alias("base"), F.array_sort(F.concat(*more)).alias("more"))
 
 
 @dataclass
@@ -166,7 +197,7 @@ class Model:
 def patterns(rows: DataFrame) -> list[tuple[tuple, int]]:
     """How often each (kind, votes, bucket) occurs: at most kinds x 3^labelers x 8 rows."""
     keys = ["kind", *LABELERS, "bucket"]
-    seen = rows.select(F.explode(F.concat("_base", "_more")).alias("c")).groupBy(*[F.col(f"c.{k}").alias(k) for k in keys]).count()
+    seen = rows.select(F.explode(F.concat("base", "more")).alias("c")).groupBy(*[F.col(f"c.{k}").alias(k) for k in keys]).count()
     return [(tuple(r[k] for k in keys), r["count"]) for r in seen.orderBy(*keys).collect()]
 
 
@@ -213,8 +244,8 @@ def fit(counts: list[tuple[tuple, int]]) -> Model:
     return Model({n: (right[n, 0] + right[n, 1]) / 2 for n in LABELERS}, prior, weights)
 
 
-def accept(rows: DataFrame, model: Model) -> DataFrame:
-    """Adds _spans: the base spans and the candidates that the classifier accepts."""
+def accept(rows: DataFrame, model: Model) -> Column:
+    """The base spans and the candidates that the classifier accepts, sorted."""
     if model.weights:
         weight = F.create_map(*[F.lit(x) for kv in sorted(model.weights.items()) for x in kv])
         of = lambda name: F.coalesce(F.try_element_at(weight, name), F.lit(0.0))
@@ -225,10 +256,10 @@ def accept(rows: DataFrame, model: Model) -> DataFrame:
                 z = z + of(F.concat(F.lit(f"{n}="), c[n].cast("string")))
             return 1 / (1 + F.exp(-z)) >= ACCEPT
 
-        more = F.filter("_more", good)
+        more = F.filter(rows["more"], good)
     else:
-        more = F.slice("_more", 1, 0)
-    return rows.withColumn("_spans", F.array_sort(F.array_distinct(F.concat("_base", more))))
+        more = F.slice(rows["more"], 1, 0)
+    return F.array_sort(F.concat(rows["base"], more))
 
 
 def shown(spans: Column | str) -> Column:
@@ -237,32 +268,52 @@ def shown(spans: Column | str) -> Column:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id, _base and _spans of each row; texts are scanned once."""
-    rows = stage(annotate(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])).drop("text"), "spans")
-    return accept(rows, fit(patterns(rows)))
+    """doc_id, base and spans of each row; texts are scanned once."""
+    rows = stage(annotate(docs, F.col("doc_id").cast("long")).withColumnRenamed("_c0", "doc_id"), "spans")
+    return rows.select("doc_id", "base", accept(rows, fit(patterns(rows))).alias("spans"))
+
+
+def _cut(pieces: Column, start: Column, end: Column) -> Column:
+    """Characters start to end of a text in pieces of PIECE characters."""
+    first = F.floor(start / PIECE).cast("int")
+    part = F.array_join(F.slice(pieces, first + 1, F.floor((end - 1) / PIECE).cast("int") - first + 1), "")
+    return F.when(end > start, F.substring(part, start - first * PIECE + 1, end - start)).otherwise(F.lit(""))
+
+
+def redacted(text: Column, spans: Column) -> Column:
+    """A text with each of its sorted spans replaced by its kind in brackets; overlapping
+    spans are one, named after the first, that ends where the furthest ends."""
+
+    def build(pieces: Column, reach: Column, opens: Column) -> Column:
+        last = F.array_max(F.transform(spans, lambda s: s["end"]))
+        # What is open ends where all before the next open one end.
+        stop = lambda k: F.coalesce(F.get(reach, F.get(opens, k + 1)), last)
+        begin = lambda k: F.when(k > 0, F.get(reach, F.get(opens, k))).otherwise(F.lit(0))
+        head = F.transform(opens, lambda o, k: F.concat(_cut(pieces, begin(k), F.get(spans, o)["start"]), F.lit("["), F.upper(F.get(spans, o)["kind"]), F.lit("]")))
+        return F.concat(F.array_join(head, ""), _cut(pieces, stop(F.size(opens) - 1), F.length(text)))
+
+    ends = F.transform(spans, lambda s: s["end"])
+    reach = let(ends, lambda e: prefixes(e, F.lit(0), lambda a, b: F.greatest(a, b)))
+    opens = lambda reach: F.filter(F.sequence(F.lit(0), F.size(spans) - 1), lambda i: F.get(spans, i)["start"] >= F.get(reach, i))
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    whole = let(pieces, lambda p: let(reach, lambda r: let(opens(r), lambda o: build(p, r, o))))
+    return F.when(text.isNull() | (F.size(spans) == 0), text).otherwise(whole)
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with every span replaced by its kind in brackets; columns as they were.
-    Overlapping spans are one, named after the first. A null text stays null."""
-    model = fit(patterns(annotate(docs.select(text), text)))
-    rows = accept(annotate(docs, text), model)
-    # Spans that reach beyond all before them open a piece unless they start inside it.
-    ends = F.transform("_spans", lambda s, i: F.when(i > 0, F.array_max(F.transform(F.slice("_spans", 1, F.greatest(i, F.lit(1))), lambda p: p["end"]))).otherwise(F.lit(-1)))
-    rows = rows.withColumn("_reach", ends)
-    rows = rows.withColumn("_open", F.filter("_spans", lambda s, i: s["start"] >= F.get("_reach", i)))
-    # Each piece ends where the furthest of its spans ends.
-    stop = lambda s, i: F.array_max(F.transform(F.filter("_spans", lambda p: (p["start"] >= s["start"]) & (F.coalesce(p["start"] < F.get("_open", i + 1)["start"], F.lit(True)))), lambda p: p["end"]))
-    rows = rows.withColumn("_stop", F.transform("_open", stop))
-    body = F.col(text)
-    head = F.transform("_open", lambda s, i: F.concat(F.substring(body, F.coalesce(F.get("_stop", i - 1), F.lit(0)) + 1, s["start"] - F.coalesce(F.get("_stop", i - 1), F.lit(0))), F.lit("["), F.upper(s["kind"]), F.lit("]")))
-    tail = F.substring(body, F.element_at("_stop", -1) + 1, F.length(body))
-    clean = F.when(body.isNull() | (F.size("_open") == 0), body).otherwise(F.concat(F.array_join(head, ""), tail))
-    return rows.withColumn(text, clean).select(*docs.columns)
+    """``docs`` with every span replaced by its kind in brackets; columns, whatever their
+    names, as they were. Overlapping spans are one, named after the first. A null text
+    stays null. Texts are scanned once: rows are written with their candidates, and read
+    again when the classifier is trained."""
+    rows = stage(annotate(docs, F.struct("*"), text=text).withColumnRenamed("_c0", "row"), "annotated")
+    spans = accept(rows, fit(patterns(rows)))
+    rows = rows.select("row", spans.alias("spans"))
+    clean = redacted(F.col("row").getField(text), F.col("spans"))
+    return rows.select(*[(clean if c == text else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of every text of documents."""
     rows = find(table(spark, sf_dir, "documents"))
-    count = lambda k: F.size(F.filter("_base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    return rows.select("doc_id", *[count(k) for k in BASE], F.sha2(shown("_base"), 256).alias("base_sha256"), shown("_spans").alias("spans"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return rows.select("doc_id", *[count(k) for k in BASE], F.sha2(shown("base"), 256).alias("base_sha256"), shown("spans").alias("spans"))
