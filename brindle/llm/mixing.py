@@ -1,23 +1,32 @@
 """Operator 1: mixing sources to target weights by a splitting tree. DataFrame code only.
 
 1. Each source gets a target in words: its weight's share of all words, at most REPEATS
-   times its own words; what is above is shared again by weight until none is above
-   (solved at once, by water filling over the sources in order of limit to weight).
-2. A source's documents are dealt by hash into blocks. Whole passes over the source
-   come first; of the last, partial pass blocks are drawn in a permuted order until the
-   quota is met, and inside the block where it is met documents are drawn likewise.
-3. The drawn blocks of all sources are split among output shards by a tree: at each
-   node a random half, exact in number, goes left. What a child gets of each source is
-   then a draw from the multivariate hypergeometric distribution over the quotas of its
-   node, and draws are disjoint. The tree works on blocks, whose number is bounded by
-   BLOCKS plus a few for each source, however large the documents are.
-4. In a shard blocks lie in permuted order, and documents are shuffled inside a block.
-
-All keys are hashes of a seed, so reruns agree. Null text counts 0 words; a document of
-no words is never taken. A null source is a source of its own, the last. Repeated rows
-of a doc_id are documents of the same hash; those of one doc_id, source and number of
-words get the same draws, and others of the doc_id get their own. Without words nothing is taken. Columns of
-other names don't matter to the plan.
+   times its own words; what is above is shared again by weight until none is above.
+   The common level is found by rounds of one aggregation over the sources.
+2. A source's documents are dealt by hash into blocks, BLOCKS_A_SHARD for each shard over
+   all sources. Whole passes over a source come first; of the last, partial pass blocks
+   are drawn in a permuted order until the target is met. That gives each source an exact
+   quota of blocks.
+3. The quotas of all sources stand at the root of a tree over the output shards. At each
+   node a fixed part of its blocks goes left, and what that part holds of each source is
+   one draw from the multivariate hypergeometric distribution over the node's quotas (an
+   urn with a token for each block, drawn without return). At the leaves each shard has
+   its quota of each source.
+4. A source's blocks, permuted, are dealt to the shards by those quotas: disjoint draws.
+   In a shard blocks lie in permuted order, and documents are shuffled inside a block.
+5. Of the one block of a source where its target is met, documents are taken in permuted
+   order while they fit. The place is found by histograms over ever finer ranges of the
+   documents' hashes, until a range has at most CUT_DOCS documents; of that range several
+   permutations are filled, and the one that comes nearest is taken.
+
+All keys are hashes of a seed, so reruns agree. A row is told from others by a hash of
+doc_id, source and text; rows that are equal in these get the same draws. Null text
+counts 0 words; a document of no words is never taken. A null source is a source of its
+own, the last. Without words, or without rows, nothing is taken. Columns of other names
+don't matter to the plan; ``mix`` replaces columns named mix_shard, mix_order and mix_pass.
+
+What grows: the blocks, tokens and quotas are bounded by the shards and the number of
+sources; histograms have 2^CUT_BITS rows a source. Nothing else but sizes is written.
 """
 
 from __future__ import annotations
@@ -28,12 +37,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.llm.common import maybe_broadcast, stage, table, word_count
+from brindle.sources.order import with_row_id
 
-REPEATS, SEED = 3, 11
-#: Documents of a block at least, on average; rounds that fill the partial block.
-BLOCK_DOCS, FILLS = 16, 3
-#: Blocks over all sources; words of a shard aimed at; shards at most.
-BLOCKS, SHARD_WORDS, MOST_SHARDS = 4096, 200_000_000, 1024
+REPEATS, SEED, SHARDS = 3, 11, 16
+#: Blocks over all sources for each shard; documents of a block at least, on average.
+BLOCKS_A_SHARD, BLOCK_DOCS = 64, 16
+#: Documents of a range inside which places are given one by one, bits of a histogram,
+#: levels of histograms at most (all bits of a hash), rounds that fill the rest, and
+#: permutations of which the nearest is taken.
+CUT_DOCS, CUT_BITS, CUT_LEVELS, FILLS, TRIES = 512, 10, 7, 4, 16
+#: Rounds of the search for the level of the targets at most.
+MOST_ROUNDS = 1000
 
 
 def _hash(*parts: Column | str | int) -> Column:
@@ -41,119 +55,172 @@ def _hash(*parts: Column | str | int) -> Column:
 
 
 def cycle_weight(rank: Column) -> Column:
-    """1, 2, 3, repeating, by the place of a source in code-point order."""
-    return (F.pmod(rank - 1, F.lit(3)) + 1).cast("double")
+    """1, 2, 3, repeating, by the place (from 0) of a source in code-point order."""
+    return (F.pmod(rank, F.lit(3)) + 1).cast("double")
 
 
 def targets(sources: DataFrame, repeats: int = REPEATS, weights: dict[str, float] | None = None) -> DataFrame:
-    """source, source_size -> also weight, target. One row for each source, so the
-    windows over all of them are small. ``weights`` by name, else 1, 2, 3, repeating."""
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = cycle_weight(F.row_number().over(order))
-    if weights is not None:
-        weight = F.coalesce(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])[F.col("source")], F.lit(0.0))
-    rows = sources.withColumn("weight", weight).withColumn("most", F.col("source_size") * repeats)
-    ratio = F.when(F.col("weight") > 0, F.col("most") / F.col("weight")).otherwise(F.lit(float("inf")))
-    by_ratio = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    upto, after = by_ratio.rowsBetween(Window.unboundedPreceding, -1), by_ratio.rowsBetween(0, Window.unboundedFollowing)
-    rows = rows.withColumn("ratio", ratio)
-    rows = rows.withColumns({
-        "all_size": F.sum("source_size").over(Window.partitionBy(F.lit(0))),
-        "full": F.coalesce(F.sum(F.when(F.col("weight") > 0, F.col("most")).otherwise(0)).over(upto), F.lit(0)),
-        "open": F.sum("weight").over(after),
-    })
-    # The level is set by the first source that stays under its limit at it; those after
-    # it would give lower ones.
-    level = F.when(F.col("open") > 0, (F.col("all_size") - F.col("full")) / F.col("open"))
-    level = F.max(F.when(level <= F.col("ratio"), level)).over(Window.partitionBy(F.lit(0)))
-    target = F.when(F.col("weight") <= 0, 0.0).otherwise(F.least(F.col("most").cast("double"), F.coalesce(level, F.lit(float("inf"))) * F.col("weight")))
-    return rows.select(*sources.columns, "weight", target.alias("target"))
-
-
-def split_tree(draws: DataFrame, n_shards: int, seed: int = SEED) -> DataFrame:
-    """Gives each row of ``draws`` (columns id) a shard in 0..n_shards-1, by halving."""
-    rows = draws.withColumns({"node": F.lit(0), "leaves": F.lit(n_shards)})
+    """source, source_size -> also weight, target. ``weights`` by name, else 1, 2, 3,
+    repeating. A source without weight gets 0."""
+    if weights is None:
+        rows = with_row_id(sources, F.col("source").asc_nulls_last(), name="_place").withColumn("weight", cycle_weight(F.col("_place"))).drop("_place")
+    else:
+        named = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])[F.col("source")] if weights else F.lit(None).cast("double")
+        rows = sources.withColumn("weight", F.coalesce(named, F.lit(0.0)))
+    rows = stage(rows.select(*sources.columns, "weight"), "weights")
+    most = (F.col("source_size") * repeats).cast("double")
+    able = rows.where("weight > 0")
+    total = rows.agg(F.sum("source_size")).first()[0] or 0
+    level = 0.0
+    for _ in range(MOST_ROUNDS):
+        full = most <= level * F.col("weight")
+        got = able.agg(F.sum(F.when(full, most).otherwise(0.0)).alias("full"), F.sum(F.when(full, 0.0).otherwise(F.col("weight"))).alias("open")).first()
+        if not got["open"]:
+            level = math.inf  # all are at their limit
+            break
+        higher = max(level, (total - got["full"]) / got["open"])
+        if higher <= level * (1 + 1e-15):
+            break
+        level = higher
+    return rows.withColumn("target", F.when(F.col("weight") <= 0, 0.0).otherwise(F.least(most, F.lit(level) * F.col("weight"))))
+
+
+def split_tree(quotas: DataFrame, n_shards: int, seed: int = SEED) -> list[DataFrame]:
+    """The levels of the tree, root first: node, leaves, source_id, quota. quotas:
+    source_id, quota. A node's children have numbers node and node + leaves going left,
+    so the nodes of the last level are the shards 0 to n_shards - 1."""
+    levels = [quotas.select(F.lit(0).alias("node"), F.lit(n_shards).alias("leaves"), "source_id", "quota")]
     for level in range(max(0, math.ceil(math.log2(n_shards)))):
-        place = F.row_number().over(Window.partitionBy("node").orderBy(_hash(seed, level, "id"), "id"))
-        size = F.count("*").over(Window.partitionBy("node"))
+        urn = levels[-1].withColumn("token", F.explode(F.sequence(F.lit(1).cast("long"), F.col("quota"))))
+        drawn = F.row_number().over(Window.partitionBy("node").orderBy(_hash(seed, level, "node", "source_id", "token"), "source_id", "token"))
         left = F.ceil(F.col("leaves") / 2).cast("int")
-        cut = F.floor(size * left / F.col("leaves"))
-        goes_left = (place <= cut) | (F.col("leaves") == 1)
-        rows = rows.withColumns({
-            "node": F.when(goes_left, F.col("node")).otherwise(F.col("node") + left),
-            "leaves": F.when(F.col("leaves") == 1, 1).when(goes_left, left).otherwise(F.col("leaves") - left),
-        })
-    return rows.withColumnRenamed("node", "shard").drop("leaves")
-
-
-def plan(docs: DataFrame, repeats: int = REPEATS, weights: dict[str, float] | None = None, n_shards: int | None = None, seed: int = SEED) -> DataFrame:
-    """A row for each document: doc_id, source, size, source_size, target and draws, an
-    array of struct(shard, place, pass): where each copy of it goes (empty: nowhere)."""
-    sized = stage(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), word_count(docs["text"]).alias("size")), "sizes")
-    sources = stage(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")), repeats, weights), "sources")
+        part = F.floor(F.count("*").over(Window.partitionBy("node")) * left / F.col("leaves"))
+        urn = urn.withColumn("goes_left", (drawn <= part) | (F.col("leaves") == 1))
+        child = F.when(F.col("goes_left"), F.col("node")).otherwise(F.col("node") + left)
+        below = F.when(F.col("leaves") == 1, F.lit(1)).when(F.col("goes_left"), left).otherwise(F.col("leaves") - left)
+        levels.append(urn.groupBy(child.alias("node"), below.alias("leaves"), "source_id").agg(F.count("*").alias("quota")))
+    return levels
+
+
+def keyed(docs: DataFrame, *columns: Column) -> DataFrame:
+    """``columns`` and what the plan needs of a row: key (its source), size, u (its hash)."""
+    source = F.col("source").cast("string")
+    return docs.select(*columns, F.struct(source.alias("source")).alias("key"), word_count("text").alias("size"), _hash(F.col("doc_id").cast("string"), source, F.col("text").cast("string")).alias("u"))
+
+
+def _cut_range(cut: DataFrame, state: DataFrame) -> DataFrame:
+    """Narrows state (key, lo, span: the places lo to lo + span; gap: words that still fit) to the
+    ranges where documents, in order, stop fitting, with their number of documents.
+    cut: key, size, at (place of 63 bits)."""
+    for _ in range(CUT_LEVELS):
+        if not (state.agg(F.max("n_docs")).first()[0] or 0) > CUT_DOCS:
+            break
+        wide = state.where(F.col("n_docs") > CUT_DOCS).withColumn("step", F.shiftright("span", CUT_BITS) + 1)
+        inside = cut.join(maybe_broadcast(wide.drop("n_docs")), "key").where("at >= lo AND at - lo <= span")
+        bins = inside.groupBy("key", F.expr("(at - lo) div step").alias("bin")).agg(
+            F.sum("size").alias("words"), F.count("*").alias("n_docs"), F.first("lo").alias("lo"), F.first("step").alias("step"), F.first("gap").alias("gap")
+        )
+        upto = F.sum("words").over(Window.partitionBy("key").orderBy("bin"))  # at most 2^CUT_BITS rows of a source
+        met = bins.withColumn("upto", upto).where("upto > gap").groupBy("key").agg(F.min_by(F.struct("bin", "lo", "step", "gap", "upto", "words", "n_docs"), "bin").alias("b"))
+        met = met.select("key", (F.col("b.lo") + F.col("b.bin") * F.col("b.step")).alias("lo"), (F.col("b.step") - 1).alias("span"), (F.col("b.gap") - F.col("b.upto") + F.col("b.words")).alias("gap"), F.col("b.n_docs").alias("n_docs"))
+        state = stage(state.where(F.col("n_docs") <= CUT_DOCS).unionByName(met), "cut")
+    return state
+
+
+def deal(rows: DataFrame, sized: DataFrame, repeats: int = REPEATS, weights: dict[str, float] | None = None, n_shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """``rows`` (of ``keyed``) with source_size, target and draws, an array of
+    struct(shard, position, place, pass): where each copy goes (empty: nowhere). sized:
+    key, size, u of the same rows, written before."""
+    sources = sized.groupBy("key").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
+    sources = stage(targets(sources.select(F.col("key.source").alias("source"), "source_size", "n_docs"), repeats, weights), "sources")
     total = sources.agg(F.sum("source_size")).first()[0] or 0
-    shards = n_shards or max(1, min(MOST_SHARDS, -(-total // SHARD_WORDS)))
-    count = F.greatest(F.lit(1), F.least(F.ceil(F.col("source_size") * BLOCKS / F.lit(max(total, 1))), F.floor(F.col("n_docs") / BLOCK_DOCS))).cast("long")
+    n_blocks = BLOCKS_A_SHARD * n_shards
+    count = F.greatest(F.lit(1), F.least(F.ceil(F.col("source_size") * n_blocks / F.lit(max(total, 1))), F.floor(F.col("n_docs") / BLOCK_DOCS))).cast("long")
     whole = F.least(F.floor(F.col("target") / F.greatest("source_size", F.lit(1))), F.lit(repeats)).cast("int")
-    sources = sources.select(
-        F.struct("source").alias("key"), "source_size", "target", count.alias("n_blocks"), whole.alias("whole"),
-        F.greatest(F.col("target") - whole * F.col("source_size"), F.lit(0.0)).alias("rest"), F.xxhash64(F.lit(seed), "source").alias("source_id"),
-    )
-    keyed = sized.withColumn("key", F.struct("source")).join(maybe_broadcast(sources), "key", "left")
-    block = F.pmod(_hash(seed, "doc_id"), F.col("n_blocks"))
-    keyed = keyed.withColumn("block", block)
+    sources = sources.select(F.struct("source").alias("key"), F.xxhash64(F.lit(seed), "source").alias("source_id"), "source_size", "target", count.alias("n_blocks"), whole.alias("whole"), F.greatest(F.col("target") - whole * F.col("source_size"), F.lit(0.0)).alias("rest"))
+    with_source = lambda x: x.join(maybe_broadcast(sources), "key").withColumn("block", F.pmod(F.col("u"), F.col("n_blocks")))
+
     # Words of each block, and of those before it in the permuted order of its source.
+    blocks = with_source(sized).groupBy("key", "source_id", "block").agg(F.sum("size").alias("words"), F.count("*").alias("n_docs"), F.first("whole").alias("whole"), F.first("rest").alias("rest")).where("words > 0")
     order = Window.partitionBy("source_id").orderBy(_hash(seed + 1, "source_id", "block"), "block")
-    blocks = keyed.groupBy("source_id", "block").agg(F.sum("size").alias("words"), F.first("whole").alias("whole"), F.first("rest").alias("rest"))
-    blocks = blocks.withColumn("before", F.coalesce(F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    # passes: whole ones, and one more for blocks inside the rest; cut: words of the partial block.
-    left = F.col("rest") - F.col("before")
-    blocks = blocks.withColumns({"more": (left >= F.col("words")) & (F.col("words") > 0), "cut": F.when((left > 0) & (left < F.col("words")), left)})
-    passes = F.when(F.col("whole") + F.when(F.col("more") | F.col("cut").isNotNull(), 1).otherwise(0) > 0, F.sequence(F.lit(0), F.col("whole") - F.when(F.col("more") | F.col("cut").isNotNull(), 0).otherwise(1)))
-    drawn = blocks.select("source_id", "block", F.explode(passes).alias("pass"), "whole", "cut")
-    drawn = drawn.withColumn("id", _hash("source_id", "block", "pass"))
-    drawn = split_tree(drawn, int(shards), seed)
-    position = F.row_number().over(Window.partitionBy("shard").orderBy(_hash(seed + 2, "id"), "id"))
-    drawn = drawn.withColumn("position", position)
-    partial = (F.col("pass") == F.col("whole")) & F.col("cut").isNotNull()
-    runs = drawn.groupBy("source_id", "block").agg(F.collect_list(F.struct("pass", "shard", "position", F.when(partial, F.col("cut")).alias("cut"))).alias("runs"))  # at most ``repeats`` each
-    runs = stage(runs, "blocks")
-    dealt = keyed.join(maybe_broadcast(runs, 160), ["source_id", "block"], "left")
-    # In the one partial block of a source documents are taken from the largest down
-    # while they fit, and again from what is left for the gap that remains.
-    cut = F.element_at(F.filter(F.transform("runs", lambda r: r["cut"]), lambda c: c.isNotNull()), 1)
-    dealt = dealt.withColumn("cut", F.when(F.size("runs") > 0, F.when(F.size(F.filter("runs", lambda r: r["cut"].isNotNull())) > 0, cut)))
-    block_of = Window.partitionBy("source_id", "block")
-    # Rows of a doc_id and size are in or out together, so that draws depend on these alone.
-    fine = block_of.orderBy(F.col("size").desc(), _hash(seed + 3, "doc_id")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    split = dealt.where(F.col("cut").isNotNull()).withColumns({"in_cut": F.lit(False), "gap": F.col("cut")})
+    blocks = blocks.withColumn("left", F.col("rest") - F.coalesce(F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # more: in the partial pass whole; cut: words of the block where the target is met.
+    blocks = stage(blocks.withColumns({"more": F.col("left") >= F.col("words"), "cut": F.when((F.col("left") > 0) & (F.col("left") < F.col("words")), F.col("left"))}), "blocks")
+    extra = F.col("more") | F.col("cut").isNotNull()
+    passes = F.col("whole") + F.when(extra, 1).otherwise(0)
+    tokens = blocks.where(passes > 0).select("key", "source_id", "block", F.explode(F.sequence(F.lit(0), passes - 1)).alias("pass"), "whole", "cut")
+
+    # Quotas down the tree, then each source's permuted tokens to the shards by them.
+    leaves = split_tree(tokens.groupBy("source_id").agg(F.count("*").alias("quota")), n_shards, seed)[-1]
+    leaves = stage(leaves.select(F.col("node").alias("shard"), "source_id", "quota"), "leaves")
+    shards = Window.partitionBy("source_id").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    slots = leaves.withColumn("before", F.coalesce(F.sum("quota").over(shards), F.lit(0)))
+    slots = slots.select("source_id", "shard", F.explode(F.sequence(F.col("before") + 1, F.col("before") + F.col("quota"))).alias("slot"))
+    permuted = Window.partitionBy("source_id").orderBy(_hash(seed + 2, "source_id", "block", "pass"), "block", "pass")
+    drawn = tokens.withColumn("slot", F.row_number().over(permuted).cast("long")).join(slots, ["source_id", "slot"])
+    drawn = drawn.withColumn("position", F.row_number().over(Window.partitionBy("shard").orderBy(_hash(seed + 3, "source_id", "block", "pass"), "source_id", "block", "pass")))
+    partial = F.col("cut").isNotNull() & (F.col("pass") == F.col("whole"))
+    runs = drawn.groupBy("key", "block").agg(F.collect_list(F.struct("pass", "shard", "position", partial.alias("partial"))).alias("runs"))  # at most ``repeats`` + 1 each
+    runs = stage(runs, "runs")
+
+    # The documents of the blocks where targets are met, in permuted order.
+    at = F.shiftrightunsigned(_hash(seed + 4, "u"), 1)
+    met = stage(blocks.where("cut IS NOT NULL").select("key", "block", F.col("cut").alias("gap"), F.lit(0).cast("long").alias("lo"), F.lit((1 << 63) - 1).alias("span"), "n_docs"), "met")
+    cut = with_source(sized.where("size > 0")).select("key", "block", "size", "u", at.alias("at")).join(maybe_broadcast(met.select("key", "block")), ["key", "block"])
+    cut = stage(cut.drop("block"), "partial")
+    state = _cut_range(cut, met.drop("block"))
+    last = cut.join(maybe_broadcast(state), "key").where("at >= lo AND at - lo <= span")
+    # Several permutations are filled, each round with what still fits; the nearest is taken.
+    last = last.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(TRIES - 1)))).withColumn("at", _hash(seed + 5, "u", "trial"))
+    every = Window.partitionBy("key", "trial")
+    # Every other permutation begins with its first document even if that is too much.
+    begins = (F.rank().over(every.orderBy("at")) == 1) & (F.col("trial") % 2 == 1) & (F.col("size") < 2 * F.col("gap"))
+    last = last.withColumn("taken", begins).withColumn("gap", F.col("gap") - F.sum(F.when(F.col("taken"), F.col("size")).otherwise(0)).over(every))
+    # Rows of a hash are in or out together. The first permutation is by size, for sources
+    # that a few long documents make up.
+    order = every.orderBy(F.when(F.col("trial") == 0, -F.col("size")).otherwise(0), "at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     for _ in range(FILLS):
-        fits = ~F.col("in_cut") & (F.col("size") <= F.col("gap"))
-        split = split.withColumn("upto", F.sum(F.when(fits, F.col("size")).otherwise(0)).over(fine))
-        split = split.withColumn("new", fits & (F.col("upto") <= F.col("gap")))
-        split = split.withColumn("gap", F.col("gap") - F.sum(F.when(F.col("new"), F.col("size")).otherwise(0)).over(block_of))
-        split = split.withColumn("in_cut", F.col("in_cut") | F.col("new"))
-    split = split.drop("upto", "new", "gap")
-    rest = dealt.where(F.col("cut").isNull()).withColumn("in_cut", F.lit(False))
-    place = lambda r: F.struct(r["shard"].alias("shard"), r["position"].alias("position"), _hash(seed + 4, "doc_id", r["pass"]).alias("place"), r["pass"].alias("pass"))
-    mine = F.filter("runs", lambda r: r["cut"].isNull() | F.col("in_cut"))
-    draws = F.when(F.col("size") > 0, F.coalesce(F.transform(mine, place), F.array())).otherwise(F.array())
-    return rest.unionByName(split).select("doc_id", "source", "size", "source_size", "target", draws.alias("draws"))
+        fits = ~F.col("taken") & (F.col("size") <= F.col("gap"))
+        last = last.withColumn("upto", F.sum(F.when(fits, F.col("size")).otherwise(0)).over(order))
+        last = last.withColumn("new", fits & (F.col("upto") <= F.col("gap")))
+        last = last.withColumn("gap", F.col("gap") - F.sum(F.when(F.col("new"), F.col("size")).otherwise(0)).over(every))
+        last = last.withColumn("taken", F.col("taken") | F.col("new"))
+    # One more that leaves at most half of the difference.
+    off = F.when(~F.col("taken") & (2 * F.abs(F.col("size") - F.col("gap")) <= F.col("gap")), F.abs(F.col("size") - F.col("gap")))
+    last = last.withColumn("off", off).withColumn("best", F.min(F.struct(F.col("off").isNull().alias("none"), "off", "at")).over(every))
+    last = last.withColumn("taken", F.col("taken") | (F.col("off").isNotNull() & (F.col("at") == F.col("best.at"))))
+    last = last.withColumn("nearest", F.min(F.struct(F.coalesce("best.off", F.abs("gap")).alias("left"), "trial")).over(Window.partitionBy("key")))
+    last = stage(last.where("taken AND trial = nearest.trial").select("key", "u").distinct().withColumn("filled", F.lit(True)), "filled")
+
+    dealt = with_source(rows).join(maybe_broadcast(runs, 160), ["key", "block"], "left")
+    dealt = dealt.join(maybe_broadcast(state.select("key", "lo")), "key", "left").join(maybe_broadcast(last), ["key", "u"], "left")
+    inside = (at < F.col("lo")) | F.coalesce(F.col("filled"), F.lit(False))
+    place = lambda r: F.struct(r["shard"].alias("shard"), r["position"].alias("position"), _hash(seed + 6, "u", r["pass"]).alias("place"), r["pass"].alias("pass"))
+    none = F.array().cast("array<struct<shard:int,position:int,place:bigint,pass:int>>")
+    draws = F.when(F.col("size") > 0, F.coalesce(F.transform(F.filter("runs", lambda r: ~r["partial"] | inside), place), none)).otherwise(none)
+    return dealt.select(*rows.columns, "source_size", "target", draws.alias("draws"))
+
+
+def plan(docs: DataFrame, **options) -> DataFrame:
+    """A row for each document: doc_id, source, size, source_size, target and draws."""
+    rows = stage(keyed(docs, F.col("doc_id").cast("long").alias("doc_id")), "sizes")
+    return deal(rows, rows.drop("doc_id"), **options).select("doc_id", F.col("key.source").alias("source"), "size", "source_size", "target", "draws")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that the plan takes, as often as it does, with mix_shard,
     mix_order (blocks in permuted order, shuffled inside) and mix_pass. To write shards in order:
-    repartitionByRange("mix_shard", "mix_order") and sortWithinPartitions of the same."""
-    taken = plan(docs, **options).where(F.size("draws") > 0)
-    taken = taken.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.explode(F.array_distinct("draws")).alias("_draw")).distinct()
-    same = docs["doc_id"].cast("long").eqNullSafe(taken["_id"]) & docs["source"].cast("string").eqNullSafe(taken["_source"]) & (word_count(docs["text"]) == taken["_size"])
-    rows = docs.join(taken, same)
-    order = F.struct(F.col("_draw.position").alias("block"), F.col("_draw.place").alias("place"))
-    return rows.select(*[docs[c] for c in docs.columns], F.col("_draw.shard").alias("mix_shard"), order.alias("mix_order"), F.col("_draw.pass").alias("mix_pass"))
+    repartitionByRange("mix_shard", "mix_order") and sortWithinPartitions of the same.
+    Texts are read twice and never shuffled here."""
+    dealt = deal(keyed(docs, F.struct("*").alias("row")), stage(keyed(docs), "sizes"), **options)
+    drawn = dealt.select("row", F.explode("draws").alias("draw"))
+    order = F.struct(F.col("draw.position").alias("block"), F.col("draw.place").alias("place"))
+    own = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("mix_shard", "mix_order", "mix_pass")]
+    return drawn.select(*own, F.col("draw.shard").alias("mix_shard"), order.alias("mix_order"), F.col("draw.pass").alias("mix_pass"))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mix of all documents, by document."""
+    """The mix of all documents, by document; shards: where its copies go."""
     rows = plan(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).cast("long").alias("taken"))
+    shards = F.array_sort(F.transform("draws", lambda d: d["shard"]))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).cast("long").alias("taken"), shards.alias("shards"))
