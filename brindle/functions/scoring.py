@@ -17,6 +17,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
+from brindle.functions.grading import olympiad
+from brindle.functions.latex import _balanced, final_answer, last_boxed, plain_latex
+
 CLIP = 300
 
 
@@ -62,78 +65,6 @@ def question_answer(solution: Column, targets: Column, part: bool = False, score
     return F.when(F.size(found) < 1, 0.0).when(hit & many, score / 4).when(hit, score).otherwise(format_score)
 
 
-def _balanced(text: str, at: int) -> str | None:
-    """From ``at`` to the brace that closes the first one opened."""
-    depth = 0
-    for i in range(at, len(text)):
-        if text[i] == "{":
-            depth += 1
-        elif text[i] == "}":
-            depth -= 1
-            if depth == 0:
-                return text[at : i + 1]
-    return None
-
-
-def last_boxed(text: str) -> str | None:
-    r"""Content of the last \boxed or \fbox."""
-    if "\\boxed " in text:
-        return text.rsplit("\\boxed ", 1)[1].split("$")[0]
-    for command in ("\\boxed", "\\fbox"):
-        at = text.rfind(command)
-        if at >= 0:
-            whole = _balanced(text, at)
-            head = command + "{"
-            return whole[len(head) : -1] if whole is not None and whole.startswith(head) else None
-    return None
-
-
-#: Fixed replacements of LaTeX normalisation, in order.
-REPLACED = [("\n", ""), ("\\!", ""), ("\\\\", "\\"), ("tfrac", "frac"), ("dfrac", "frac"), ("\\left", ""), ("\\right", ""), ("^{\\circ}", ""), ("^\\circ", ""), ("\\$", "")]
-
-
-def _braced(text: str, command: str, arguments: int) -> str:
-    """Give braces to bare one-character arguments of a command."""
-    head, *rest = text.split(command)
-    out = [head]
-    for piece in rest:
-        if arguments == 2 and (not piece or piece[0] != "{" and len(piece) < 2):
-            return text
-        if not piece or piece[0] == "{":
-            out.append(command + piece)
-        elif arguments == 1:
-            out.append(f"{command}{{{piece[0]}}}{piece[1:]}")
-        elif piece[1] == "{":
-            out.append(f"{command}{{{piece[0]}}}{piece[1:]}")
-        else:
-            out.append(f"{command}{{{piece[0]}}}{{{piece[1]}}}{piece[2:]}")
-    return "".join(out)
-
-
-def plain_latex(text: str) -> str:
-    """A canonical form under which equal short answers are equal text."""
-    for a, b in REPLACED:
-        text = text.replace(a, b)
-    if "\\text{ " in text:  # units on the right
-        text = text.split("\\text{ ")[0] if text.count("\\text{ ") == 1 else text
-    text = text.replace("\\%", "").replace(" .", " 0.").replace("{.", "{0.")
-    if not text:
-        return text
-    if text[0] == ".":
-        text = "0" + text
-    sides = text.split("=")
-    if len(sides) == 2 and len(sides[0]) <= 2:
-        text = sides[1]
-    text = _braced(text, "\\sqrt", 1).replace(" ", "")
-    text = _braced(text, "\\frac", 2)
-    if text == "0.5":
-        return "\\frac{1}{2}"
-    m = re.fullmatch(r"(-?\d+)/(-?\d+)", text)
-    if m and f"{int(m[1])}/{int(m[2])}" == text:
-        return f"\\frac{{{m[1]}}}{{{m[2]}}}"
-    return text
-
-
 def boxed_equal(solution: str | None, truth: str | None) -> float:
     answer = last_boxed(solution) if solution is not None else None
     if answer is None or truth is None:
@@ -141,31 +72,6 @@ def boxed_equal(solution: str | None, truth: str | None) -> float:
     return float(plain_latex(answer) == plain_latex(truth))
 
 
-#: Fixed values of final-answer normalisation.
-SUBSTITUTIONS = [("an ", ""), ("a ", ""), (".$", "$"), ("\\$", ""), (r"\ ", ""), (" ", ""), ("mbox", "text"), (",\\text{and}", ","), ("\\text{and}", ","), ("\\text{m}", "\\text{}")]
-REMOVED = [
-    "square", "ways", "integers", "dollars", "mph", "inches", "hours", "km", "units", "\\ldots", "sue", "points", "feet", "minutes", "digits", "cents", "degrees", "cm", "gm", "pounds", "meters",
-    "meals", "edges", "students", "childrentickets", "multiples", "\\text{s}", "\\text{.}", "\\text{\ns}", "\\text{}^2", "\\text{}^3", "\\text{\n}", "\\text{}", r"\mathrm{th}", r"^\circ", r"^{\circ}", r"\;", r",\!", "{,}", '"', "\\dots",
-]
-
-
-def final_answer(text: str) -> str:
-    text = text.split("=")[-1]
-    for a, b in SUBSTITUTIONS:
-        text = text.replace(a, b)
-    for x in REMOVED:
-        text = text.replace(x, "")
-    text = re.sub(r"(.*?)(\$)(.*?)(\$)(.*)", r"$\3$", text)
-    for command in ("text", "textbf", "overline"):
-        text = re.sub(r"\\" + command + r"\{(.*?)\}", r"\1", text)
-    text = re.sub(r"\\boxed\{(.*)\}", r"\1", text)
-    text = re.sub(r"frac([^{])(.)", r"frac{\1}{\2}", text)
-    text = re.sub(r"sqrt([^{])", r"sqrt{\1}", text).replace("$", "")
-    if text.replace(",", "").isdigit():
-        text = text.replace(",", "")
-    return text.strip()
-
-
 def contest(solution: str | None, truth: str | None, strict_box: bool = False) -> tuple[float, bool, str | None]:
     """(score +1 or -1, right, prediction) of the last "Answer:" line, or, strictly, of
     the last box in the last 100 characters."""
@@ -195,8 +101,12 @@ def contest_score(solution: pd.Series, truth: pd.Series) -> pd.DataFrame:
 @F.pandas_udf(DoubleType())
 def geometry_score(solution: pd.Series, truth: pd.Series) -> pd.Series:
     """0.9 for the boxed answer, 0.1 for the form."""
-    form = re.compile(r"<think>.*</think>.*\\boxed\{.*\}.*", re.DOTALL)
-    return pd.Series([0.9 * boxed_equal(s, t) + 0.1 * bool(form.fullmatch(s or "")) for s, t in zip(solution, truth)], dtype=float)
+    return pd.Series([geometry(s, t) for s, t in zip(solution, truth)], dtype=float)
+
+
+@F.pandas_udf(DoubleType())
+def olympiad_score(solution: pd.Series, truth: pd.Series) -> pd.Series:
+    return pd.Series([olympiad(s, t) for s, t in zip(solution, truth)], dtype=float)
 
 
 def overlap(a: list[str], b: list[str]) -> float:
@@ -207,67 +117,130 @@ def overlap(a: list[str], b: list[str]) -> float:
 
 
 def tool_call_score(predicted: list[dict], truth: list[dict], low: float = -3.0, high: float = 3.0) -> float:
-    """Overlap of names, of parameter names and of values; each predicted call answers
-    at most one true call, in order."""
+    """Overlap of names, of parameter names and of values. Each true call, in order, takes
+    the unused predicted call of its name that agrees most, if any agrees at all."""
     if predicted == truth:
         return high
-    best, most = overlap([c["name"] for c in truth], [c["name"] for c in predicted]), 1.0
-    used: set[int] = set()
+    total = overlap([c["name"] for c in truth], [c["name"] for c in predicted])
+    free = list(predicted)
     for call in truth:
-        wanted = call.get("parameters") or {}
-        most += 1.0 + len(wanted)
-        scored = []
-        for i, other in enumerate(predicted):
-            if i not in used and other.get("name") == call["name"]:
-                given = other.get("parameters") or {}
-                scored.append((overlap(list(wanted), list(given)) + sum(1.0 for k, v in wanted.items() if given.get(k) == v), -i))
-        if scored:
-            value, i = max(scored)
-            used.add(-i)
-            best += value
-    return (high - low) * best / most + low
+        wanted = call["parameters"]
+
+        def agreement(other: dict, call: dict = call, wanted: dict = wanted) -> float:
+            given = other["parameters"]
+            return overlap(list(wanted), list(given)) + sum(k in given and given[k] == v for k, v in wanted.items()) if other["name"] == call["name"] else 0.0
+
+        best = max(free, key=agreement, default=None)  # the first of equals
+        if best is not None and agreement(best) > 0:
+            total += agreement(best)
+            free = [x for x in free if x is not best]
+    most = 1.0 + sum(1.0 + len(c["parameters"]) for c in truth)
+    return (high - low) * total / most + low
+
+
+#: Fixed forms of an answer: the sections that the truth has decide which one is asked for.
+SHAPES = {
+    (False, False): r"^<think>.*?</think>$",
+    (True, False): r"^<think>.*?</think>\n<response>.*?</response>$",
+    (False, True): r"^<think>.*?</think>\n<tool_call>\n.*?\n</tool_call>$",
+    (True, True): r"^<think>.*?</think>\n<tool_call>\n.*?\n</tool_call>\n<response>.*?</response>$",
+}
 
 
 def format_reward(text: str, truth: str) -> float:
-    """1 if the answer has the sections of the truth, in order and nothing else."""
-    parts = [p for p in ("response", "tool_call") if f"<{p}>" in truth]
-    shape = r"<think>.*?</think>" + "".join(rf"\s*<{p}>.*?</{p}>" for p in sorted(parts, key=lambda p: truth.index(f"<{p}>")))
-    ok = re.fullmatch(shape, text.strip(), re.DOTALL) and all(text.count(f"<{p}>") == 1 == text.count(f"</{p}>") for p in parts)
-    return 1.0 if ok else 0.0
+    """1 if the answer has the sections of the truth, in order, once and nothing else."""
+    wanted = {p: f"<{p}>" in truth for p in ("response", "tool_call")}
+    once = all(text.count(f"<{p}>") == 1 == text.count(f"</{p}>") for p, asked in wanted.items() if asked)
+    return float(once and re.search(SHAPES[wanted["response"], wanted["tool_call"]], text, re.DOTALL) is not None)
 
 
 def parse_calls(text: str) -> list[dict]:
-    """JSON objects, one a line, inside the first <tool_call>."""
-    m = re.search(r"<tool_call>(.*?)</tool_call>", text, re.DOTALL)
-    return [json.loads(line) for line in (m[1] if m else "").strip().split("\n") if line.strip()]
-
-
-def prefixed(source: Column, prefix: str) -> Column:
-    return source.startswith(prefix)
-
-
-#: data source -> (solution, truth) -> score. Exact names; "aime" by prefix.
-REGISTRY: dict[str, Callable[[Column, Column], Column]] = {
-    "openai/gsm8k": grade_school,
-    "lighteval/MATH": lambda s, t: math_score(s, t),
-    "DigitalLearningGmbH/MATH-lighteval": lambda s, t: math_score(s, t),
-    "HuggingFaceH4/MATH-500": lambda s, t: math_score(s, t),
-    "math_dapo": lambda s, t: contest_score(s, t)["score"],
-    "math_dapo_reasoning": lambda s, t: contest_score(s, t)["score"],
-    "hiyouga/geometry3k": lambda s, t: geometry_score(s, t),
-    "searchR1_nq": lambda s, t: question_answer(s, F.array(t)),
-    "searchR1_triviaqa": lambda s, t: question_answer(s, F.array(t)),
-    "searchR1_popqa": lambda s, t: question_answer(s, F.array(t)),
-    "searchR1_hotpotqa": lambda s, t: question_answer(s, F.array(t)),
-}
-PREFIXES: dict[str, Callable[[Column, Column], Column]] = {"aime": lambda s, t: contest_score(s, t)["score"]}
+    """JSON objects, one a line, inside the first <tool_call>; raises if there is none."""
+    body = text.split("<tool_call>")[1].split("</tool_call>")[0].strip()
+    return [json.loads(line) for line in body.split("\n")]
+
+
+#: Fixed marks around the last answer in a chat template.
+TEMPLATES = {"llama": ("<|start_header_id|>assistant<|end_header_id|>", "<|eot_id|>"), "qwen": ("<|im_start|>assistant", "<|im_end|>")}
+
+
+def tool_reward(solution: str | None, truth: str | None, template: str) -> tuple[float, float, float]:
+    """(score, format, accuracy) of an answer with tool calls: format 0 or 1, accuracy -3
+    to 3, and 0 where the truth has no call."""
+    begin, end = TEMPLATES[template]
+    text, truth = (solution or "").split(begin)[-1].split(end)[0].strip(), truth or ""
+    shape, accuracy = format_reward(text, truth), 0.0
+    if "<tool_call>" in truth:
+        try:
+            accuracy = tool_call_score(parse_calls(text), parse_calls(truth)) if "</tool_call>" in text else -3.0
+        except (ValueError, IndexError, KeyError, TypeError, AttributeError):
+            accuracy = -3.0
+    return shape + accuracy, shape, accuracy
+
+
+def tool_call_rewards(template: str) -> Callable[[Column, Column], Column]:
+    """A column function of (solution, truth): struct(score, format_reward, accuracy_reward)."""
+    if template not in TEMPLATES:
+        raise ValueError(f"template {template!r}; known: {sorted(TEMPLATES)}")
+
+    @F.pandas_udf(StructType([StructField(n, DoubleType()) for n in ("score", "format_reward", "accuracy_reward")]))
+    def run(solution: pd.Series, truth: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([tool_reward(x, t, template) for x, t in zip(solution, truth)], columns=["score", "format_reward", "accuracy_reward"])
+
+    return run
+
+
+#: Rules in Python, by data source, (solution, truth) -> score; "aime" by prefix.
+MATH_SOURCES = ("lighteval/MATH", "DigitalLearningGmbH/MATH-lighteval", "HuggingFaceH4/MATH-500")
+CONTEST_SOURCES = ("math_dapo", "math", "math_dapo_reasoning")
+OLYMPIAD_SOURCES = ("numina_aops_forum", "numina_synthetic_math", "numina_amc_aime", "numina_synthetic_amc", "numina_cn_k12", "numina_olympiads")
+SEARCH_SOURCES = tuple(f"searchR1_{x}" for x in ("nq", "triviaqa", "popqa", "hotpotqa", "2wikimultihopqa", "musique", "bamboogle"))
+FORM = re.compile(r"<think>.*</think>.*\\boxed\{.*\}.*", re.DOTALL)
+
+
+def geometry(solution: str | None, truth: str | None) -> float:
+    return 0.9 * boxed_equal(solution, truth) + 0.1 * bool(FORM.fullmatch(solution or ""))
+
+
+def contest_value(solution: str | None, truth: str | None) -> float:
+    return contest(solution, truth)[0]
+
+
+Rule = Callable[[str | None, str | None], float]
+PYTHON: dict[str, Rule] = {n: boxed_equal for n in MATH_SOURCES} | {n: contest_value for n in CONTEST_SOURCES} | {n: olympiad for n in OLYMPIAD_SOURCES} | {"hiyouga/geometry3k": geometry}
+PREFIXES: dict[str, Rule] = {"aime": contest_value}
+#: Rules as column expressions, by data source.
+REGISTRY: dict[str, Callable[[Column, Column], Column]] = {"openai/gsm8k": grade_school} | {n: lambda s, t: question_answer(s, F.array(t)) for n in SEARCH_SOURCES}
+
+
+def rule_of(source: str | None) -> Rule | None:
+    return PYTHON.get(source) or next((f for p, f in PREFIXES.items() if (source or "").startswith(p)), None)
+
+
+@F.pandas_udf(DoubleType())
+def python_rules(source: pd.Series, solution: pd.Series, truth: pd.Series) -> pd.Series:
+    """The Python rule of each row's source; nothing is done for a null source."""
+    rules = {x: rule_of(x) for x in source.dropna().unique()}
+    return pd.Series([None if x is None or rules[x] is None else float(rules[x](s, t)) for x, s, t in zip(source, solution, truth)], dtype=float)
 
 
 def dispatch(source: Column, solution: Column, truth: Column, names: list[str] | None = None) -> Column:
-    """The score of the rule of each row's source (of ``names``, or all); another raises."""
+    """The score of the rule of each row's source (of ``names``, or all); another raises.
+    Python rules run in one function, which gets only the rows of their sources."""
+    columns = [n for n in names or REGISTRY if n in REGISTRY]
+    python = [n for n in names or PYTHON if n in PYTHON]
+    unknown = [n for n in names or [] if n not in REGISTRY and n not in PYTHON]
+    if unknown:
+        raise ValueError(f"no rule for {unknown}")
     out = F.raise_error(F.concat(F.lit("no score for source "), F.coalesce(source, F.lit("null")))).cast("double")
-    for prefix, rule in PREFIXES.items():
-        out = F.when(source.startswith(prefix), rule(solution, truth)).otherwise(out)
-    for name in names or list(REGISTRY):
-        out = F.when(source == name, REGISTRY[name](solution, truth)).otherwise(out)
+    mine = source.isin(python) if python else F.lit(False)
+    for prefix in PREFIXES:
+        mine = mine | source.startswith(prefix)
+    only = lambda x: F.when(mine, x)
+    out = F.when(mine, python_rules(only(source), only(solution), only(truth))).otherwise(out)
+    by_rule: dict[int, list[str]] = {}
+    for name in columns:
+        by_rule.setdefault(id(REGISTRY[name]) if name not in SEARCH_SOURCES else 0, []).append(name)
+    for group in by_rule.values():
+        out = F.when(source.isin(group), REGISTRY[group[0]](solution, truth)).otherwise(out)
     return out

@@ -12,8 +12,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, FloatType, StringType
 
 from brindle.functions import tokens as T
+from brindle.sources.order import with_row_id
 
 EPS = 1e-6
 
@@ -23,11 +25,25 @@ def group():
 
 
 def group_index(df: DataFrame, label: str = "uid") -> DataFrame:
-    """Adds gidx, a dense number for each label, in label order. Labels that are numbers
-    near an integer count as it. Only the distinct labels are ranked."""
-    clean = F.coalesce(F.round(F.col(label).try_cast("double")).try_cast("long").cast("string"), F.col(label).cast("string"))
-    keyed = df.withColumn("_label", clean)
-    ranks = keyed.select("_label").distinct().withColumn("gidx", F.dense_rank().over(Window.orderBy(F.length("_label"), "_label")) - 1)
+    """Adds gidx, a dense number for each label, in label order; null is a label, the last.
+
+    Integers and booleans are labels as they are. A column of floating-point numbers that
+    are all within 1e-6 of integers counts as those, and a column of strings that are all
+    integers as their values; any other column is taken as its values. Which it is takes
+    one aggregation; only distinct labels are sorted and numbered, over range partitions."""
+    value = F.col(label)
+    kind = df.schema[label].dataType
+    if isinstance(kind, BooleanType):
+        value = value.cast("long")
+    elif isinstance(kind, (FloatType, DoubleType)):
+        whole = F.abs(value - F.rint(value)) <= 1e-6
+        if df.agg(F.bool_and(whole)).first()[0]:
+            value = F.rint(value).cast("long")
+    elif isinstance(kind, StringType):
+        if df.agg(F.bool_and(value.try_cast("long").isNotNull() & value.rlike(r"^\s*[+-]?[0-9]+\s*$"))).first()[0]:
+            value = value.try_cast("long")
+    keyed = df.withColumn("_label", F.struct(value.alias("label")))
+    ranks = with_row_id(keyed.select("_label").distinct(), F.col("_label.label").asc_nulls_last(), name="gidx")
     return keyed.join(ranks, "_label").drop("_label")
 
 
@@ -98,15 +114,12 @@ def gpg(df: DataFrame, f_norm: float = 1.0) -> DataFrame:
 
 
 def whiten(df: DataFrame, value: str, mask: str, shift_mean: bool = True) -> DataFrame:
-    """Token array ``value`` whitened over all valid tokens of the batch. Sums of rows
-    are aggregated to one row, which is joined back."""
-    part = df.select(T.masked_sum(value, mask).alias("s"), T.mask_count(mask).alias("n"))
-    mean = part.agg((F.sum("s") / (F.sum("n") + 1e-8)).alias("_mean"))
-    with_mean = df.join(F.broadcast(mean))
-    dev = T.total(F.transform(T.zipped(value, mask), lambda x: F.when(x[mask] > 0, (x[value] - F.col("_mean")) * (x[value] - F.col("_mean"))).otherwise(T.zero())))
-    var = with_mean.select(dev.alias("d"), T.mask_count(mask).alias("n")).agg((F.sum("d") / (F.sum("n") + 1e-8) * (F.sum("n") / (F.sum("n") - 1))).alias("_var"))
+    """Token array ``value`` whitened over all valid tokens of the batch: one aggregation
+    over the tokens, which don't shuffle, gives a row that is joined back."""
+    tokens = df.select(F.explode(F.filter(T.zipped(value, mask), lambda x: x[mask] > 0)).alias("x")).select(F.col(f"x.{value}").cast("double").alias("x"))
+    one = tokens.agg(F.avg("x").alias("_mean"), F.var_samp("x").alias("_var"))
     out = F.transform(F.col(value), lambda x: (x - F.col("_mean")) / F.sqrt(F.col("_var") + 1e-8) + (T.zero() if shift_mean else F.col("_mean")))
-    return with_mean.join(F.broadcast(var)).withColumn(value, out).drop("_mean", "_var")
+    return df.join(F.broadcast(one)).withColumn(value, out).drop("_mean", "_var")  # one: one row
 
 
 def tile(df: DataFrame, mask: str, value: str = "adv") -> DataFrame:

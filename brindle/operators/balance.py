@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MOST_ITEMS = 5_000_000
@@ -103,12 +103,20 @@ def assign(df: DataFrame, key: str, load: str, k: int, equal_size: bool = False,
 
 
 def assign_groups(df: DataFrame, key: str, group: str, load: str, k: int) -> DataFrame:
-    """Adds part; neighbouring rows (by key) of one group, a run, stay together."""
-    order = Window.orderBy(key)
-    runs = df.select(key, group, load).withColumn("_new", F.when(F.lag(group).over(order).eqNullSafe(F.col(group)), 0).otherwise(1))
-    runs = runs.withColumn("_run", F.sum("_new").over(order))  # a batch on the driver's scale, as above
-    sums = runs.groupBy("_run").agg(F.sum(load).alias("_load"))
-    return df.join(assign(sums, "_run", "_load", k).join(runs.select(key, "_run"), "_run").select(key, "part"), key)
+    """Adds part; neighbouring rows (by key) of one group, a run, stay together. The batch
+    is balanced on the driver, like ``assign``'s."""
+    rows = df.select(key, group, load).orderBy(key).limit(MOST_ITEMS + 1).collect()
+    if len(rows) > MOST_ITEMS:
+        raise ValueError(f"a batch of more than {MOST_ITEMS} items: split it first")
+    runs: list[list] = []
+    for i, r in enumerate(rows):
+        if i and r[1] == rows[i - 1][1]:
+            runs[-1].append(r)
+        else:
+            runs.append([r])
+    parts = checked(largest_differencing([sum(int(r[2]) for r in run) for run in runs], k), len(runs))
+    pairs = [(r[0], p) for p, items in enumerate(parts) for i in items for r in runs[i]]
+    return df.join(df.sparkSession.createDataFrame(pairs, f"{key} {df.schema[key].dataType.simpleString()}, part int"), key)
 
 
 def micro_batches(loads: list[int], lengths: list[int], most_tokens: int, multiple: int = 1, group: int = 1) -> list[list[int]]:

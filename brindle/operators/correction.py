@@ -7,6 +7,7 @@ mask. Weights and masks are expressions on a row; batch figures are one aggregat
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -172,16 +173,84 @@ def correct(df: DataFrame, lr: str, m: str, level: str | None, threshold: str |
     return reject(rows, lr, m, options, thresholds) if options else rows.withColumn("kept", F.col(m))
 
 
-#: Named settings: level, weight threshold, rejection options, their thresholds, weights used with reinforce.
-PRESETS: dict[str, tuple[str | None, str | float, str | None, str | float | None]] = {
-    "disabled": (None, 2.0, None, None),
-    "token_is": ("token", 2.0, None, None),
-    "sequence_is": ("sequence", 2.0, None, None),
-    "token_icepop": ("token", "0.5_5.0", None, None),
-    "token_rs_k1": (None, 2.0, "token_k1", "0.5_2.0"),
-    "geo_rs": (None, 2.0, "seq_mean_k1", "0.999_1.001"),
-    "geo_rs_token_is": ("token", 2.0, "seq_mean_k1", "0.999_1.001"),
-    "seq_sum_rs": (None, 2.0, "seq_sum_k1", "0.5_2.0"),
-    "k3_rs": (None, 2.0, "seq_mean_k3", 0.01),
-    "k3_rs_token_is": ("token", 2.0, "seq_mean_k3", 0.01),
-}
+def option_metrics(df: DataFrame, lr: str, m: str, option: str, low: float | None, high: float) -> DataFrame:
+    """One row of diagnostics of one rejection option: its statistic over tokens and over
+    rows with a valid token, and what its mask rejects."""
+    kind, sequence = option[-2:], option not in TOKEN_OPTIONS
+    top = math.log(high) if kind == "k1" else high
+    bottom = (math.log(low) if low is not None else None) if kind == "k1" else None
+    rows = df.withColumns({"_k": rejection_mask(lr, m, option, low, high), "_n": T.mask_count(m)})
+    if sequence:
+        rows = rows.withColumn("_row", row_statistic(lr, m, option)).withColumn("_s", F.transform(F.col(m), lambda x: F.col("_row")))
+    else:
+        rows = rows.withColumn("_s", F.transform(F.col(lr), lambda x: _statistic(kind, x)))
+        rows = rows.withColumn("_row", T.masked_mean("_s", m))
+    gone = F.zip_with(F.col(m), F.col("_k"), lambda a, b: F.when((a > 0) & (b <= 0), 1.0).otherwise(0.0))
+    valid = F.transform(F.filter(F.arrays_zip("_s", m), lambda s: s[m] > 0), lambda s: s["_s"])
+    clamped = F.transform("_s", lambda x: T.clamp(x, bottom if bottom is not None else 0.0, top))
+    row = F.when(F.col("_n") > 0, F.col("_row"))
+    share = lambda c: F.coalesce(F.avg(F.when(row.isNotNull(), F.when(c, 1.0).otherwise(0.0))), T.zero())
+    over = lambda test: mean_of(F.transform("_s", lambda x: F.when(test(x), 1.0).otherwise(0.0)), m)
+    mean_c = mean_of(clamped, m)
+    out = {"mean": mean_of(F.col("_s"), m)}
+    if sequence:
+        out |= {"max": F.max(row), "min": F.min(row), "fraction_high": share(row > top), "fraction_low": share(row < bottom) if bottom is not None else T.zero()}
+    else:
+        out |= {"max": F.max(F.array_max(valid)), "min": F.min(F.array_min(valid)), "fraction_high": over(lambda x: x > top), "fraction_low": over(lambda x: x < bottom) if bottom is not None else T.zero()}
+    out |= {
+        "std": F.sqrt(F.greatest(mean_of(F.transform(clamped, lambda x: x * x), m) - mean_c * mean_c, T.zero())),
+        "seq_mean": F.avg(row), "seq_std": F.coalesce(F.stddev_samp(row), T.zero()), "seq_max": F.max(row), "seq_min": F.min(row), "seq_max_deviation": F.max(F.abs(row)),
+        "seq_fraction_high": share(row > top), "seq_fraction_low": share(row < bottom) if bottom is not None else T.zero(),
+        "masked_fraction": mean_of(gone, m), "seq_masked_fraction": F.avg(F.when(T.total(gone) > 0, 1.0).otherwise(0.0)),
+    }
+    return rows.agg(*[v.alias(k) for k, v in out.items()])
+
+
+def all_option_metrics(df: DataFrame, lr: str, m: str, options: str, thresholds: str | float) -> DataFrame:
+    """A row for each option, by name."""
+    found = [option_metrics(df, lr, m, o, *b).withColumn("option", F.lit(o)) for o, b in parse_rejection(options, thresholds).items()]
+    out = found[0]
+    for other in found[1:]:
+        out = out.unionByName(other)
+    return out
+
+
+@dataclass(frozen=True)
+class Setting:
+    """Level and threshold of weights (no level: none), rejection options and thresholds,
+    and, without recomputed log-probabilities (bypass), the loss that is used."""
+
+    level: str | None = None
+    threshold: str | float = 2.0
+    options: str | None = None
+    thresholds: str | float | None = None
+    bypass: bool = False
+    loss: str = "ppo_clip"
+
+    def apply(self, df: DataFrame, lr: str, m: str) -> DataFrame:
+        return correct(df, lr, m, self.level, self.threshold, self.options, self.thresholds)
+
+
+def _named_settings() -> dict[str, Setting]:
+    """Weights of tokens or sequences, and rejection by the mean log ratio (geo) or by the
+    mean of k3, alone and together; with policy gradient or clipping where bypassed."""
+    weights = {"token": Setting("token"), "seq": Setting("sequence"), "icepop": Setting("token", "0.5_5.0")}
+    rejects = {"geo": ("seq_mean_k1", "0.999_1.001"), "k3": ("seq_mean_k3", 0.01)}
+    out = {"disabled": Setting(), "decoupled_token_is": weights["token"], "decoupled_seq_is": weights["seq"], "decoupled_token_icepop": weights["icepop"]}
+    out["decoupled_seq_is_rs"] = Setting("sequence", 2.0, "seq_sum_k1", "0.5_2.0")
+    for name, (option, threshold) in rejects.items():
+        out[f"decoupled_{name}_rs"] = Setting(None, 2.0, option, threshold)
+        for short in ("seq", "token"):
+            out[f"decoupled_{name}_rs_{short}_tis"] = Setting(weights[short].level, 2.0, option, threshold)
+        out[f"bypass_ppo_clip_{name}_rs"] = Setting(None, 2.0, option, threshold, True)
+    geo = rejects["geo"]
+    out["bypass_ppo_clip"] = Setting(bypass=True)
+    out["bypass_pg_is"] = Setting("sequence", 2.0, bypass=True, loss="reinforce")
+    out["bypass_pg_token_icepop"] = Setting("token", "0.5_5.0", bypass=True, loss="reinforce")
+    out["bypass_pg_geo_rs"] = Setting(None, 2.0, *geo, bypass=True, loss="reinforce")
+    for short in ("seq", "token"):
+        out[f"bypass_pg_geo_rs_{short}_tis"] = Setting(weights[short].level, 2.0, *geo, bypass=True, loss="reinforce")
+    return out
+
+
+PRESETS: dict[str, Setting] = _named_settings()

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.sources.order import with_row_id
+
 
 class MetaConflict(ValueError):
     """Two batches disagree on a value of their meta information."""
@@ -99,11 +101,13 @@ def sample_level_repeat(df: DataFrame, times: Column) -> DataFrame:
 
 
 def unfold_column_chunks(df: DataFrame, n_split: int, keys: list[str]) -> DataFrame:
-    """Array columns ``keys`` cut in n equal parts, a row each; other columns repeat."""
+    """Array columns ``keys`` cut in n equal parts, a row each; other columns repeat. A
+    length that n does not divide raises."""
     rows = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_split - 1))).alias("_k"))
     for k in keys:
         size = (F.size(k) / n_split).cast("int")
-        rows = rows.withColumn(k, F.slice(k, F.col("_k") * size + 1, size))
+        uneven = F.raise_error(F.concat(F.lit(f"{k}: {n_split} parts of length "), F.size(k).cast("string")))
+        rows = rows.withColumn(k, F.when(F.size(k) % n_split == 0, F.slice(k, F.col("_k") * size + 1, size)).otherwise(uneven))
     return rows.withColumn("row_id", F.col("row_id") * n_split + F.col("_k")).drop("_k")
 
 
@@ -163,13 +167,14 @@ def upsample(df: DataFrame, multiple: int, n_rows: int, zero: list[str]) -> Data
 
 def minibatches(df: DataFrame, size: int, n_rows: int, epochs: int = 1, seed: int = 0, shuffle: bool = True) -> DataFrame:
     """epoch, batch and place of every row in a seeded order of each epoch. ``size``
-    must divide the rows. Only row numbers are ranked, an epoch a group."""
+    must divide the rows. Rows are numbered over range partitions of all epochs, and each
+    epoch has ``n_rows`` of the numbers."""
     if n_rows % size:
         raise ValueError(f"batches of {size} don't divide {n_rows} rows")
     rows = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch"))
     key = F.xxhash64(F.lit(seed), "epoch", "row_id") if shuffle else F.col("row_id")
-    place = F.row_number().over(Window.partitionBy("epoch").orderBy(key, "row_id")) - 1
-    return rows.withColumn("_at", place).withColumns({"batch": (F.col("_at") / size).cast("long"), "place": F.col("_at") % size}).drop("_at")
+    rows = with_row_id(rows, F.col("epoch"), key, F.col("row_id"), name="_at").withColumn("_at", F.col("_at") - F.col("epoch") * n_rows)
+    return rows.withColumns({"batch": (F.col("_at") / size).cast("long"), "place": (F.col("_at") % size).cast("int")}).drop("_at")
 
 
 def dataset_split(df: DataFrame, parts: int, n_rows: int) -> DataFrame:

@@ -279,4 +279,7 @@ def policy_loss(name: str) -> Callable[..., DataFrame]:
 
 
 def register(name: str, fn: Callable[..., DataFrame]) -> None:
+    """Adds a loss; a name can't be taken by two functions."""
+    if REGISTRY.get(name, fn) is not fn:
+        raise ValueError(f"{name} is already registered")
     REGISTRY[name] = fn

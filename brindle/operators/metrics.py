@@ -31,13 +31,12 @@ def data_metrics(df: DataFrame, critic: bool = True) -> DataFrame:
         "response_length_mean": F.avg(n), "response_length_max": F.max(n), "response_length_min": F.min(n), "aborted_ratio": F.avg(F.when(ok, 0.0).otherwise(1.0)),
         "non_aborted_length_mean": nan(F.avg(length)), "prompt_length_mean": F.avg("prompt_length"), "prompt_length_max": F.max("prompt_length"), "prompt_length_min": F.min("prompt_length"),
     }
-    if critic:
-        # Explained variance from sums, shifted by nothing: variances are of samples.
-        d = F.transform(F.filter(F.arrays_zip("ret", "values", "m"), lambda s: s["m"] > 0), lambda s: s["ret"] - s["values"])
-        square = lambda x: F.transform(x, lambda v: v * v)
-        var = lambda x: F.try_divide(F.sum(T.total(square(x))) - F.try_divide(F.sum(T.total(x)) * F.sum(T.total(x)), F.sum(n)), F.sum(n) - 1)
-        out["explained_var"] = nan(1.0 - var(d) / (var(valid("ret")) + 1e-5))
-    return df.agg(*[v.alias(k) for k, v in out.items()], most.alias("longest"))
+    row = df.agg(*[v.alias(k) for k, v in out.items()], most.alias("longest"))
+    if not critic:
+        return row
+    tokens = df.select(F.explode(F.filter(F.arrays_zip("ret", "values", "m"), lambda s: s["m"] > 0)).alias("x"))
+    left = tokens.agg(nan(1.0 - F.var_samp(F.col("x.ret") - F.col("x.values")) / (F.var_samp("x.ret") + 1e-5)).alias("explained_var"))
+    return row.join(F.broadcast(left)).select(*out, "explained_var", "longest")  # left: one row
 
 
 def reduce_by_name(df: DataFrame) -> DataFrame:
@@ -58,7 +57,12 @@ def aggregate_ranks(df: DataFrame, how: str) -> DataFrame:
 
 
 #: Exact names first, then the first word found in a name decides.
-EXACT = {"fully_async/count/total_generated_samples": "last", "fully_async/count/stale_samples_processed": "last", "training/global_step": "last", "timing_s/gen": "sum"}
+EXACT = (
+    dict.fromkeys(("perf/time_per_step", "timing_s/gen"), "sum")
+    | {f"timing_s/agent_loop/tool_calls/{k}": rule for k, rule in (("min", "min"), ("mean", "avg"), ("max", "max"))}
+    | dict.fromkeys([f"fully_async/count/{k}" for k in ("total_generated_samples", "stale_samples_processed", "stale_trajectory_processed", "current_param_version", "dropped_stale_samples")], "last")
+    | {"training/global_step": "last"}
+)
 KEYWORDS = [("timing_s", "sum"), ("mean", "avg"), ("avg", "avg"), ("max", "max"), ("maximum", "max"), ("min", "min"), ("minimum", "min"), ("sum", "sum"), ("total", "sum"), ("weighted_avg", "weighted_avg"), ("last", "last")]
 
 
@@ -81,6 +85,22 @@ def aggregate_steps(df: DataFrame) -> DataFrame:
     return g.select("key", "rule", value.alias("value"))
 
 
+def derived_metrics(df: DataFrame, gpus: int) -> DataFrame:
+    """key, value of ``aggregate_steps`` with three that follow from others: the spread of
+    sequence lengths, tokens a second and GPU, and the share of a step spent waiting for
+    generation. Where one of the others is missing the figure stays as it is."""
+    of = lambda key: F.max(F.when(F.col("key") == key, F.col("value")))
+    figures = {
+        "global_seqlen/minmax_diff": of("global_seqlen/max") - of("global_seqlen/min"),
+        "perf/throughput": F.try_divide(of("perf/total_num_tokens"), of("perf/time_per_step") * gpus),
+        "fully_async/trainer/idle_ratio": F.try_divide(of("timing_s/gen"), of("timing_s/step")),
+    }
+    new = df.agg(F.array(*[F.struct(F.lit(k).alias("key"), v.alias("_new")) for k, v in figures.items()]).alias("x")).select(F.inline("x"))
+    # The first two only replace a figure that is there.
+    rows = df.join(F.broadcast(new), "key", "full_outer").where(F.col("value").isNotNull() | (F.col("key") == "fully_async/trainer/idle_ratio") & F.col("_new").isNotNull())
+    return rows.select("key", F.coalesce("_new", "value").alias("value"))
+
+
 def timing_per_token(timings: DataFrame, tokens: DataFrame) -> DataFrame:
     """name, seconds and one row (prompt_tokens, response_tokens) to ms a token: "gen"
     by response tokens, others by all."""

@@ -48,14 +48,36 @@ def group_mean_std(spark, sf):
     return g.select("uid", r("mean").alias("mean"), r("std").alias("std"), "count")
 
 
-@query("group_index", """WITH l AS (SELECT DISTINCT event_type FROM events),
-  d AS (SELECT event_type, dense_rank() OVER (ORDER BY length(event_type), event_type) - 1 AS gidx FROM l)
+@query("group_index", """WITH d AS (SELECT DISTINCT event_type, dense_rank() OVER (ORDER BY event_type) - 1 AS gidx FROM events)
   SELECT gidx, event_type, count(*) AS n FROM events JOIN d USING (event_type) GROUP BY ALL""")
 def group_index(spark, sf):
     rows = A.group_index(spark.read.parquet(f"{sf}/events.parquet").select("event_type"), "event_type")
     return rows.groupBy(F.col("gidx").cast("long").alias("gidx"), "event_type").agg(F.count("*").alias("n"))
 
 
+# Longs above 2^53 that a double can't tell apart, numbers near integers or not, and nulls.
+LABELS = {
+    "long": "9007199254740992 + user_id % 7", "near": "user_id % 5 + 0.0000004e0", "mixed": "user_id % 5 + 0.4e0 * (user_id % 2)",
+    "text": "CASE WHEN user_id % 3 = 0 THEN 'x' ELSE concat('0', user_id % 4) END", "digits": "concat('0', user_id % 4)", "none": "CASE WHEN user_id % 3 = 0 THEN NULL ELSE user_id % 3 END",
+}
+_AS = {"near": "round({})", "digits": "CAST({} AS BIGINT)"}
+
+
+def _labels_sql() -> str:
+    parts = [f"SELECT '{k}' AS kind, event_id, dense_rank() OVER (ORDER BY {_AS.get(k, '{}').format(e)} NULLS LAST) - 1 AS gidx FROM events" for k, e in LABELS.items()]
+    return f"SELECT kind, gidx, count(*) AS n, min(event_id) AS first FROM ({' UNION ALL '.join(parts)}) GROUP BY ALL"
+
+
+@query("group_index_kinds", _labels_sql())
+def group_index_kinds(spark, sf):
+    out = None
+    for kind, label in LABELS.items():
+        rows = A.group_index(spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.expr(label).alias("uid")))
+        rows = rows.groupBy(F.lit(kind).alias("kind"), F.col("gidx").cast("long").alias("gidx")).agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query("adv_grpo_passk", f"""WITH {SAMPLE}, big AS (SELECT * FROM sample QUALIFY count(*) {W} > 1),
   o AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY score DESC, row_id) AS p FROM big)
   SELECT uid, row_id, {rr(f"CASE WHEN p = 1 THEN (score - min(CASE WHEN p = 2 THEN score END) {W}) / (stddev_samp(score) {W} + 1e-6) ELSE 0 END")} AS adv FROM o""")

@@ -15,6 +15,10 @@ RL_ROW = (
 )
 
 
+CHAT = "messages array<struct<role: string, content: string>>, tools string, enable_thinking boolean"
+PREFERENCE = "prompt string, chosen string, rejected string"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -37,6 +41,27 @@ def read_any(spark: SparkSession, paths: list[str], schema: str | None = None) -
     return out
 
 
+def _sampled(df: DataFrame, most: int, shuffle: bool, seed: int) -> DataFrame:
+    """At most ``most`` rows (all if not positive), any or by a seeded hash of the row."""
+    if most <= 0:
+        return df
+    return df.orderBy(F.xxhash64(F.lit(seed), F.to_json(F.struct("*")))).limit(most) if shuffle else df.limit(most)
+
+
+def read_chats(spark: SparkSession, paths: list[str], max_samples: int = -1, shuffle: bool = False, seed: int = 0, default_thinking: bool | None = None) -> DataFrame:
+    """Multi-turn rows: messages, tools (JSON, null without) and enable_thinking. Rows
+    without messages raise when they are read."""
+    rows = _sampled(read_any(spark, paths, CHAT), max_samples, shuffle, seed)
+    checked = F.when(F.size("messages") > 0, F.col("messages")).otherwise(F.raise_error(F.lit("a row without messages")))
+    return rows.select(checked.alias("messages"), "tools", F.coalesce("enable_thinking", F.lit(default_thinking).cast("boolean")).alias("enable_thinking"))
+
+
+def read_preferences(spark: SparkSession, paths: list[str], names: tuple[str, str, str] = ("prompt", "chosen", "rejected"), max_samples: int = -1, shuffle: bool = False, seed: int = 0) -> DataFrame:
+    """prompt, chosen and rejected from columns of any names."""
+    rows = _sampled(read_any(spark, paths), max_samples, shuffle, seed)
+    return rows.select(*[F.col(n).cast("string").alias(a) for n, a in zip(names, ("prompt", "chosen", "rejected"))])
+
+
 def dump_steps(df: DataFrame, path: str, step: str = "step") -> str:
     """JSON lines in a folder for each step. The step stays in the rows."""
     df.withColumn("_step", F.col(step)).write.mode("append").partitionBy("_step").json(path)

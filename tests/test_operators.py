@@ -11,6 +11,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from brindle.functions import grading as G
 from brindle.functions import scoring as S
 from brindle.functions import text as X
 from brindle.functions import tokens as T
@@ -20,6 +21,7 @@ from brindle.operators import correction as C
 from brindle.operators import frame as B
 from brindle.operators import losses as L
 from brindle.operators import metrics as M
+from brindle.operators import rewards as RW
 from brindle.streaming import queues as Q
 
 
@@ -277,7 +279,7 @@ def test_tool_calls():
     assert X.channel_calls('to=functions.g <|constrain|>json<|message|>{"a": 2}<|call|>') == [("g", '{"a": 2}')]
     assert S.tool_call_score([{"name": "f", "parameters": {"a": 1}}], [{"name": "f", "parameters": {"a": 1}}]) == 3.0
     assert S.tool_call_score([], [{"name": "f", "parameters": {}}]) == -3.0
-    assert S.format_reward("<think>a</think>\n<tool_call>x</tool_call>", "<tool_call>y</tool_call>") == 1.0
+    assert S.format_reward("<think>a</think>\n<tool_call>\nx\n</tool_call>", "<tool_call>y</tool_call>") == 1.0
 
 
 def test_segments(spark):
@@ -299,7 +301,59 @@ def test_pad_and_truncate(spark):
         df.select(T.truncate("x", 3, "error")).collect()
 
 
-def test_group_index_rounds_numbers(spark):
-    df = spark.createDataFrame(pd.DataFrame({"uid": ["2.0", "10", "b", "2", "a"]}))
-    got = {r["uid"]: r["gidx"] for r in A.group_index(df).collect()}
-    assert got["2.0"] == got["2"] and len(set(got.values())) == 4
+def test_group_index_kinds(spark):
+    def index(values, kind):
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"i int, uid {kind}")
+        return [r["gidx"] for r in sorted(A.group_index(df).collect(), key=lambda r: r["i"])]
+
+    # A column of strings that aren't all integers is taken as it is.
+    assert index(["2.0", "10", "b", "2", "a"], "string") == [2, 0, 4, 1, 3]
+    assert index(["02", "10", " 2", "2"], "string") == [0, 1, 0, 0]
+    assert index([1.0, 1.4, 2.0], "double") == [0, 1, 2] and index([1.0, 1.0000004, 2.0], "double") == [0, 0, 1]
+    assert index([9007199254740992, 9007199254740993, None, 5], "long") == [1, 2, 3, 0]
+    assert index([None, "x", None], "string") == [1, 0, 1] and index([None, 1.4], "double") == [1, 0]
+
+
+def test_tool_call_scores_take_positive_matches_only():
+    call = lambda **p: {"name": "f", "parameters": p}
+    assert S.tool_call_score([call(b=1)], [call(a=1), call(b=1)]) == pytest.approx(0.0)
+    assert S.tool_call_score([call(a=1), call(b=1)], [call(a=1), call(b=1)]) == 3.0
+    assert S.tool_call_score([], [call(a=1)]) == -3.0
+    assert S.tool_reward("<|im_start|>assistant x <|im_end|>", "<think>a</think>", "qwen") == (0.0, 0.0, 0.0)
+    assert S.tool_reward(None, "<tool_call>\n{}\n</tool_call>", "llama") == (-3.0, 0.0, -3.0)
+    with pytest.raises(ValueError):
+        S.tool_call_rewards("other")
+
+
+@pytest.mark.parametrize(
+    "solution, truth, right",
+    [
+        ("The answer is \\boxed{\\frac{1}{2}}.", "1/2", 1), ("so x = 0.5", "\\frac{1}{2}", 1), ("answer: 50%", "0.5", 1), ("\\boxed{2\\pi}", "6.28", 1), ("\\boxed{(1, 2)}", "(1,2)", 1),
+        ("\\boxed{(1, 2)}", "[1,2]", 0), ("\\boxed{x^2+2x+1}", "(x+1)^2", 1), ("\\boxed{x^2+2x+2}", "(x+1)^2", 0), ("\\boxed{1,234}", "1234", 1), ("\\boxed{\\sqrt{8}}", "2\\sqrt{2}", 1),
+        ("it is 3 cm", "3", 1), ("it is 3", "4", 0), ("\\boxed{__import__('os')}", "1", 0), ("\\boxed{9^{9^{9}}}", "1", 0), (None, "1", 0), ("12_3", "12", 1),
+    ],
+)
+def test_olympiad_answers(solution, truth, right):
+    assert G.olympiad(solution, truth) == right
+
+
+def test_rewards_on_the_last_valid_token(spark):
+    df = spark.createDataFrame([(0, [0.0, 1.0, 1.0, 0.0], 2.0), (1, [0.0, 0.0], 5.0), (2, [], 1.0)], "i int, m array<double>, s double")
+    got = {r["i"]: r["rewards"] for r in RW.naive(df, "s", "m").collect()}
+    assert got == {0: [0.0, 0.0, 2.0, 0.0], 1: [0.0, 0.0], 2: []}
+    with pytest.raises(ValueError):
+        RW.manager("none")
+
+
+def test_user_function_of_a_file(spark, tmp_path):
+    file = tmp_path / "own.py"
+    file.write_text("def compute_score(source, solution, truth, extra, bonus=0):\n    return {'score': len(solution) + bonus, 'why': source}\n")
+    df = spark.createDataFrame([("a", "bcd")], "s string, t string")
+    found = df.select(RW.scored(RW.load_function(str(file), bonus=2))(F.col("s"), F.col("t"), F.col("t"), F.col("s")).alias("x")).first()["x"]
+    assert found["score"] == 5.0 and found["info"] == '{"why": "a"}'
+
+
+def test_uneven_chunks_raise(spark):
+    df = spark.createDataFrame([(0, [1, 2, 3])], "row_id long, x array<int>")
+    with pytest.raises(PySparkException):
+        B.unfold_column_chunks(df, 2, ["x"]).collect()
