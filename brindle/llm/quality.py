@@ -87,7 +87,7 @@ def statistics(texts: list[bytes]) -> np.ndarray:
             if len(at):
                 number, _ = distinct(key, text[at])
                 all_of = np.bincount(text[at], minlength=len(texts))
-                out[name] = 1 - number / np.maximum(all_of, 1)
+                out[name] = np.where(all_of > 0, 1 - number / np.maximum(all_of, 1), 0.0)
     if n:
         # Of each word: whether its first two letters are capitals; whether it ends in a symbol.
         second = np.minimum(starts + 1, ends - 1)

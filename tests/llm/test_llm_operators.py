@@ -338,7 +338,7 @@ def test_pii_against_brute_force(spark):
     rng = random.Random(8)
     texts = [*PII_TEXTS, *["".join(rng.choice(["a@b.c", ".", "@", "1.2.3.4", "25", "5", " ", "-", "+1 ", "4111 1111 1111 1111", "é", "\n", "(", "9"]) for _ in range(rng.randint(1, 40))) for _ in range(200)]]
     rows = P.find(spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)], SCHEMA))
-    got = frame(rows.select("doc_id", P.shown("_base").alias("base"), P.shown("_spans").alias("spans")))
+    got = frame(rows.select("doc_id", P.shown("base").alias("base"), P.shown("spans").alias("spans")))
     for i, t in enumerate(texts):
         want = ",".join(f"{k}:{a}:{e}" for a, _, e, k in brute_spans(t or ""))
         assert got[i]["base"] == want, t
@@ -457,9 +457,13 @@ def test_mixing_meets_targets(spark, shares):
 def test_mixing_is_repeatable_and_splits_exactly(spark, docs, none):
     a, b = (sorted(map(str, MX.plan(d, n_shards=5).collect())) for d in (docs, docs.repartition(7)))
     assert a == b
-    draws = spark.range(103).select(F.col("id"))
-    sizes = sorted(r["count"] for r in MX.split_tree(draws, 5).groupBy("shard").count().collect())
-    assert sum(sizes) == 103 and sizes[-1] - sizes[0] <= 2 and len(sizes) == 5
+    levels = [x.collect() for x in MX.split_tree(spark.createDataFrame([(i, q) for i, q in enumerate([50, 31, 1, 21])], "source_id long, quota long"), 5)]
+    assert [len({r["node"] for r in x}) for x in levels] == [1, 2, 4, 5]
+    for x in levels:
+        for s, q in enumerate([50, 31, 1, 21]):
+            assert sum(r["quota"] for r in x if r["source_id"] == s) == q
+    sizes = [sum(r["quota"] for r in levels[-1] if r["node"] == n) for n in range(5)]
+    assert sum(sizes) == 103 and max(sizes) - min(sizes) <= 2
     mixed = MX.mix(docs.withColumn("draws", F.lit(1)), n_shards=2)
     words = sum(len(WORD.findall(r["text"] or "")) for r in mixed.collect())
     assert words == sum(r["size"] * len(r["draws"]) for r in MX.plan(docs, n_shards=2).collect())
