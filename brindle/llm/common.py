@@ -1,13 +1,12 @@
 """Shared parts of the training-data operators: staging, bounded batches, hashing.
 
-Nothing here swallows errors, keeps state on a machine-local disk of a cluster,
-or collects rows to the driver.
+Nothing here swallows errors or keeps state on a machine-local disk of a cluster.
 """
 
 from __future__ import annotations
 
 import hashlib
-import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -17,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.sources.order import checkpoint_dir
+
 #: Characters that separate words in every contract of this subpackage.
 SPACES = b" \t\n\x0b\x0c\r"
 #: Text bytes that a Python worker turns into arrays at one time.
@@ -32,12 +33,19 @@ _U = np.uint64
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where it is unset (tests on one machine) a temporary folder is made."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="brindle-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    Only where it is unset and all tasks run in this process (tests on one machine) a
+    temporary folder is made; on a cluster each machine would write to its own disk."""
+    return checkpoint_dir(spark)
+
+
+_LOCAL = threading.local()
+
+
+def staged() -> list[str]:
+    """Folders that ``stage`` has written in this thread, in order."""
+    if not hasattr(_LOCAL, "folders"):
+        _LOCAL.folders = []
+    return _LOCAL.folders
 
 
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
@@ -48,14 +56,30 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
     return df.mapInArrow(run, schema)
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, few: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends here,
-    and a lost executor costs at most the tasks it was running."""
+    and a lost executor costs at most the tasks it was running. ``release`` deletes.
+    ``few``: rows without texts, so that two tasks for each core, which take the
+    partitions before them one after another, are enough, and files don't get tiny."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    if few:
+        df = df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
     df.write.option("compression", "zstd").parquet(path)
+    staged().append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, since: int, keep: int = 0) -> None:
+    """Delete what ``stage`` has written after the first ``since`` folders, but for the
+    last ``keep``. Only for a caller that has written all that is made from them."""
+    folders = staged()
+    gone = folders[since : len(folders) - keep]
+    del folders[since : len(folders) - keep]
+    for path in gone:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

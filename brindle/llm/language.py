@@ -36,7 +36,7 @@ BUCKETS, DIMENSIONS, EPOCHS, RATE = 1 << 16, 16, 4, 0.5
 PIECES = (2, 3, 4)
 REJECT_SHARE, LEAST_SCORE = 0.0005, 0.35
 #: Distinct words that a worker remembers (16 bytes and a logit for each language).
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1 << 17
 UNKNOWN = "und"
 
 _LETTER = re.compile(rb"[A-Za-z]")

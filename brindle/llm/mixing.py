@@ -67,7 +67,7 @@ def targets(sources: DataFrame, repeats: int = REPEATS, weights: dict[str, float
     else:
         named = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])[F.col("source")] if weights else F.lit(None).cast("double")
         rows = sources.withColumn("weight", F.coalesce(named, F.lit(0.0)))
-    rows = stage(rows.select(*sources.columns, "weight"), "weights")
+    rows = stage(rows.select(*sources.columns, "weight"), "weights", few=True)
     most = (F.col("source_size") * repeats).cast("double")
     able = rows.where("weight > 0")
     total = rows.agg(F.sum("source_size")).first()[0] or 0
@@ -123,7 +123,7 @@ def _cut_range(cut: DataFrame, state: DataFrame) -> DataFrame:
         upto = F.sum("words").over(Window.partitionBy("key").orderBy("bin"))  # at most 2^CUT_BITS rows of a source
         met = bins.withColumn("upto", upto).where("upto > gap").groupBy("key").agg(F.min_by(F.struct("bin", "lo", "step", "gap", "upto", "words", "n_docs"), "bin").alias("b"))
         met = met.select("key", (F.col("b.lo") + F.col("b.bin") * F.col("b.step")).alias("lo"), (F.col("b.step") - 1).alias("span"), (F.col("b.gap") - F.col("b.upto") + F.col("b.words")).alias("gap"), F.col("b.n_docs").alias("n_docs"))
-        state = stage(state.where(F.col("n_docs") <= CUT_DOCS).unionByName(met), "cut")
+        state = stage(state.where(F.col("n_docs") <= CUT_DOCS).unionByName(met), "cut", few=True)
     return state
 
 
@@ -132,7 +132,7 @@ def deal(rows: DataFrame, sized: DataFrame, repeats: int = REPEATS, weights: dic
     struct(shard, position, place, pass): where each copy goes (empty: nowhere). sized:
     key, size, u of the same rows, written before."""
     sources = sized.groupBy("key").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    sources = stage(targets(sources.select(F.col("key.source").alias("source"), "source_size", "n_docs"), repeats, weights), "sources")
+    sources = stage(targets(sources.select(F.col("key.source").alias("source"), "source_size", "n_docs"), repeats, weights), "sources", few=True)
     total = sources.agg(F.sum("source_size")).first()[0] or 0
     n_blocks = BLOCKS_A_SHARD * n_shards
     count = F.greatest(F.lit(1), F.least(F.ceil(F.col("source_size") * n_blocks / F.lit(max(total, 1))), F.floor(F.col("n_docs") / BLOCK_DOCS))).cast("long")
@@ -145,14 +145,14 @@ def deal(rows: DataFrame, sized: DataFrame, repeats: int = REPEATS, weights: dic
     order = Window.partitionBy("source_id").orderBy(_hash(seed + 1, "source_id", "block"), "block")
     blocks = blocks.withColumn("left", F.col("rest") - F.coalesce(F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     # more: in the partial pass whole; cut: words of the block where the target is met.
-    blocks = stage(blocks.withColumns({"more": F.col("left") >= F.col("words"), "cut": F.when((F.col("left") > 0) & (F.col("left") < F.col("words")), F.col("left"))}), "blocks")
+    blocks = stage(blocks.withColumns({"more": F.col("left") >= F.col("words"), "cut": F.when((F.col("left") > 0) & (F.col("left") < F.col("words")), F.col("left"))}), "blocks", few=True)
     extra = F.col("more") | F.col("cut").isNotNull()
     passes = F.col("whole") + F.when(extra, 1).otherwise(0)
     tokens = blocks.where(passes > 0).select("key", "source_id", "block", F.explode(F.sequence(F.lit(0), passes - 1)).alias("pass"), "whole", "cut")
 
     # Quotas down the tree, then each source's permuted tokens to the shards by them.
     leaves = split_tree(tokens.groupBy("source_id").agg(F.count("*").alias("quota")), n_shards, seed)[-1]
-    leaves = stage(leaves.select(F.col("node").alias("shard"), "source_id", "quota"), "leaves")
+    leaves = stage(leaves.select(F.col("node").alias("shard"), "source_id", "quota"), "leaves", few=True)
     shards = Window.partitionBy("source_id").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     slots = leaves.withColumn("before", F.coalesce(F.sum("quota").over(shards), F.lit(0)))
     slots = slots.select("source_id", "shard", F.explode(F.sequence(F.col("before") + 1, F.col("before") + F.col("quota"))).alias("slot"))
@@ -161,11 +161,11 @@ def deal(rows: DataFrame, sized: DataFrame, repeats: int = REPEATS, weights: dic
     drawn = drawn.withColumn("position", F.row_number().over(Window.partitionBy("shard").orderBy(_hash(seed + 3, "source_id", "block", "pass"), "source_id", "block", "pass")))
     partial = F.col("cut").isNotNull() & (F.col("pass") == F.col("whole"))
     runs = drawn.groupBy("key", "block").agg(F.collect_list(F.struct("pass", "shard", "position", partial.alias("partial"))).alias("runs"))  # at most ``repeats`` + 1 each
-    runs = stage(runs, "runs")
+    runs = stage(runs, "runs", few=True)
 
     # The documents of the blocks where targets are met, in permuted order.
     at = F.shiftrightunsigned(_hash(seed + 4, "u"), 1)
-    met = stage(blocks.where("cut IS NOT NULL").select("key", "block", F.col("cut").alias("gap"), F.lit(0).cast("long").alias("lo"), F.lit((1 << 63) - 1).alias("span"), "n_docs"), "met")
+    met = stage(blocks.where("cut IS NOT NULL").select("key", "block", F.col("cut").alias("gap"), F.lit(0).cast("long").alias("lo"), F.lit((1 << 63) - 1).alias("span"), "n_docs"), "met", few=True)
     cut = with_source(sized.where("size > 0")).select("key", "block", "size", "u", at.alias("at")).join(maybe_broadcast(met.select("key", "block")), ["key", "block"])
     cut = stage(cut.drop("block"), "partial")
     state = _cut_range(cut, met.drop("block"))
@@ -190,7 +190,7 @@ def deal(rows: DataFrame, sized: DataFrame, repeats: int = REPEATS, weights: dic
     last = last.withColumn("off", off).withColumn("best", F.min(F.struct(F.col("off").isNull().alias("none"), "off", "at")).over(every))
     last = last.withColumn("taken", F.col("taken") | (F.col("off").isNotNull() & (F.col("at") == F.col("best.at"))))
     last = last.withColumn("nearest", F.min(F.struct(F.coalesce("best.off", F.abs("gap")).alias("left"), "trial")).over(Window.partitionBy("key")))
-    last = stage(last.where("taken AND trial = nearest.trial").select("key", "u").distinct().withColumn("filled", F.lit(True)), "filled")
+    last = stage(last.where("taken AND trial = nearest.trial").select("key", "u").distinct().withColumn("filled", F.lit(True)), "filled", few=True)
 
     dealt = with_source(rows).join(maybe_broadcast(runs, 160), ["key", "block"], "left")
     dealt = dealt.join(maybe_broadcast(state.select("key", "lo")), "key", "left").join(maybe_broadcast(last), ["key", "u"], "left")
