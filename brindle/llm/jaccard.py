@@ -11,14 +11,19 @@ partners share a lane among the first D + 1 of each. The order is by rarity: lan
 counted over all documents in a table of fixed size, so that what many documents share
 (lines, passages) comes last and seldom joins anything.
 
-Documents that share a lane are candidates. Equal sets are one class from the start.
-A member of a bucket is first checked against the one partner it shares most with, and
-links make components. A bucket that still spans several components is compared across
-them: its members meet in blocks of bounded size, where parity sketches of whole sets (their
-Hamming distance bounds the symmetric difference too) reject almost all pairs; the rest
-are verified on the whole sets; first a forest of pairs in each bucket, which joins large
-groups of near copies, then all pairs that still cross. Pairs inside a component are never made: they can't
-change it. No partner is dropped and no bucket is capped.
+Documents that share a lane are candidates. Equal sets are one class from the start, and
+lanes of the same classes are one bucket. A member of a bucket is first checked against
+the one partner it shares most with, and links make components. A bucket that still spans
+several components is compared across them: its members meet in blocks of bounded size and
+of sizes that may link, where parity sketches of whole sets (their Hamming distance bounds
+the symmetric difference too) reject almost all pairs; the rest are verified on the whole
+sets; first a forest of pairs in each meeting, which joins large groups of near copies,
+then all pairs that still cross. Pairs inside a component are never made: they can't
+change it. No partner is dropped and no bucket is capped. Lanes that the counts show to be
+frequent are dealt over several tasks by class.
+
+Sets are compared as 64-bit hashes of n-grams under a key drawn for each run, so that no
+text can be written to collide.
 
 Bands: sizes below SMALL use n-grams themselves as lanes; a band spans a factor of 4,
 and a set near the lower edge of its band also takes part in the one below.
@@ -31,6 +36,7 @@ component of their class, null if nothing else is in it.
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import byte_list, hash_words, maybe_broadcast, mix, seeded, slices, stage, table
+from brindle.llm.common import byte_list, hash_words, map_batches, maybe_broadcast, mix, seeded, slices, stage, table
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 3, 4
 SMALL, SPREAD = 32, 4
@@ -47,11 +53,17 @@ LANES = 0.6
 #: Counters of the table of lane frequencies, and the rows it travels in.
 COUNTERS, COUNTER_ROWS = 1 << 20, 16
 #: Bits of a sketch at least.
-SKETCH_BITS = 1024
+SKETCH_BITS = 256
 #: Members of a bucket that meet in one task at once.
 BLOCK = 512
-#: One lane in so many takes part in the forest round.
+#: Rows of a lane that a task takes at most, by the counts; more go to several tasks.
+HOT = 1 << 16
+#: One bucket in so many takes part in the forest round.
 FOREST_SHARE = 8
+#: The low bits of a lane: 0, or for a lane of more tasks their number and 1.
+SALT = 0xFFFF
+#: Tables of counters that meet in a task at once.
+FAN_IN = 32
 FALLBACK = 99
 
 _U = np.uint64
@@ -59,9 +71,9 @@ _GRAM = seeded(16, 53) | _U(1)
 _ORDER = np.array([bin(i).count("1") for i in range(1 << 16)], dtype=np.uint8)
 
 
-def gram_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
+def gram_sets(texts: list[bytes], words: int = WORDS, key: int = 0) -> list[np.ndarray]:
     """Sorted distinct n-grams of each text, as 64-bit hashes. ASCII letters in lower case."""
-    h, firsts, *_ = hash_words(texts, lower=True)
+    h, firsts, *_ = hash_words(texts, lower=True, key=key)
     out = []
     with np.errstate(over="ignore"):
         n = max(0, len(h) - words + 1)
@@ -90,9 +102,9 @@ def set_key(grams: np.ndarray) -> int:
 
 def bit_sketch(grams: np.ndarray) -> np.ndarray:
     """Parity of the n-grams that fall on each bit, as 64-bit words: a power of two of at
-    least two bits for an n-gram, so that long sketches don't saturate. A sketch XORed
-    half on half is the sketch of half its bits."""
-    bits = max(SKETCH_BITS, 1 << int(2 * len(grams) - 1).bit_length())
+    least a bit for an n-gram, so that sets that differ by more than half of their
+    n-grams are told apart. A sketch XORed half on half is the sketch of half its bits."""
+    bits = max(SKETCH_BITS, 1 << int(max(1, len(grams)) - 1).bit_length())
     at = (mix(grams ^ _GRAM[11]) & _U(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).view(np.int64)
 
@@ -153,58 +165,72 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
 
 
-def summaries(docs: DataFrame) -> DataFrame:
-    """doc_id, n, key, sketch of each row."""
+def summaries(docs: DataFrame, key: int = 0) -> DataFrame:
+    """doc_id, n, key, sketch of each row (the sketch once for each class in a task), and
+    tables of lane counts: part (the task), slot and counts, null in rows of documents.
+    A task counts the lanes of a class once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "n", "key", "sketch", "part", "slot", "counts"]
+        total = np.zeros(COUNTERS, dtype=np.uint32)
+        seen: set[int] = set()
         for whole in batches:
             for part in slices(whole):
-                sets = gram_sets(byte_list(part))
+                sets = gram_sets(byte_list(part), key=key)
+                keys = [set_key(s) for s in sets]
+                sketches: list[np.ndarray | None] = []
+                for k, s in zip(keys, sets):
+                    fresh = len(s) > 0 and k not in seen
+                    sketches.append(bit_sketch(s) if fresh else None)
+                    if fresh:
+                        seen.add(k)
+                        for own, _ in all_lanes(s):
+                            np.add.at(total, (own % _U(COUNTERS)).astype(np.int64), 1)
+                n = len(sets)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64()), pa.array([bit_sketch(s) for s in sets], pa.list_(pa.int64()))],
-                    ["doc_id", "n", "key", "sketch"],
+                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), pa.array(sketches, pa.list_(pa.int64())), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names
                 )
+        if total.any():
+            from pyspark import TaskContext
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n long, key long, sketch array<long>")
+            n, mine = COUNTER_ROWS, TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64())), pa.array([mine] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array([r.astype("<u4").tobytes() for r in total.reshape(n, -1)], pa.binary())], names
+            )
 
+    return map_batches(_texts(docs), run, "doc_id long, n long, key long, sketch array<long>, part int, slot int, counts binary")
 
-def lane_counts(docs: DataFrame) -> np.ndarray:
-    """How often lanes occur in all documents, in COUNTERS counters. Each task counts a
-    set once; tables are summed by slices of the table, and COUNTER_ROWS rows come back."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, dtype=np.int64)
-        seen: set[int] = set()
-        for whole in batches:
-            for part in slices(whole):
-                found = []
-                for s in gram_sets(byte_list(part)):
-                    key = set_key(s)
-                    if len(s) and key not in seen:
-                        seen.add(key)
-                        found += [own for own, _ in all_lanes(s)]
-                if found:
-                    total += np.bincount((np.concatenate(found) % _U(COUNTERS)).astype(np.int64), minlength=COUNTERS)
-        rows = total.reshape(COUNTER_ROWS, -1)
-        if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(COUNTER_ROWS), pa.int32()), pa.array([r.astype("<u4").tobytes() for r in rows], pa.binary())], ["row", "counts"])
+def lane_counts(tables: DataFrame) -> np.ndarray:
+    """The sum of all tables of counters (part, slot, counts). FAN_IN tables of a slot
+    meet in a task, as often as it takes; COUNTER_ROWS rows come back."""
 
-    def add(tables: pa.Table) -> pa.Table:
+    def add(group: pa.Table) -> pa.Table:
         total = np.zeros(COUNTERS // COUNTER_ROWS, dtype=np.int64)
-        for x in tables.column("counts"):
+        for x in group.column("counts"):
             total += np.frombuffer(x.as_py(), "<u4")
-        return pa.table({"row": tables.column("row")[:1], "counts": pa.array([np.minimum(total, 0xFFFFFFFF).astype("<u4").tobytes()], pa.binary())})
-
-    parts = _texts(docs).mapInArrow(count, "row int, counts binary")
+        counts = np.minimum(total, 0xFFFFFFFF).astype("<u4").tobytes()
+        return pa.table({"part": group.column("part")[:1], "slot": group.column("slot")[:1], "counts": pa.array([counts], pa.binary())})
+
+    schema = "part int, slot int, counts binary"
+    parts = (tables.agg(F.max("part")).first()[0] or 0) + 1
+    while True:
+        parts = -(-parts // FAN_IN)
+        tables = tables.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int")).groupBy("part", "slot").applyInArrow(add, schema)
+        if parts == 1:
+            break
+        tables = stage(tables, "counts", few=True)
     out = np.zeros((COUNTER_ROWS, COUNTERS // COUNTER_ROWS), dtype=np.uint32)
-    for r in parts.groupBy("row").applyInArrow(add, "row int, counts binary").collect():  # COUNTER_ROWS rows at most
-        out[r["row"]] = np.frombuffer(r["counts"], "<u4")
+    for r in tables.collect():  # COUNTER_ROWS rows at most
+        out[r["slot"]] = np.frombuffer(r["counts"], "<u4")
     return out.ravel()
 
 
-def shown_lanes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """lane, key: the lanes that each class shows, the rarest first. A task shows the
-    lanes of a class once, so copies collapse before the shuffle."""
+def shown_lanes(docs: DataFrame, counts: np.ndarray, key: int = 0, hot: int = HOT) -> DataFrame:
+    """lane, key: the lanes that each class shows, the rarest first. A task shows the lanes
+    of a class once, so copies collapse before the shuffle. A lane that more than ``hot``
+    classes may have is dealt over several numbers by class: its low bits (SALT) are odd
+    and differ, where those of any other lane are even."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)  # COUNTERS * 4 bytes, always
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,31 +238,44 @@ def shown_lanes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
         seen: set[int] = set()
         for whole in batches:
             for part in slices(whole):
-                out, keys = [], []
-                for s in gram_sets(byte_list(part)):
-                    key = set_key(s)
-                    if not len(s) or key in seen:
+                out, keys, times = [], [], []
+                for s in gram_sets(byte_list(part), key=key):
+                    mine = set_key(s)
+                    if not len(s) or mine in seen:
                         continue
-                    seen.add(key)
+                    seen.add(mine)
                     for own, show in all_lanes(s):
+                        count = often[(own % _U(COUNTERS)).astype(np.int64)]
                         if show < len(own):
-                            own = own[np.lexsort((own, often[(own % _U(COUNTERS)).astype(np.int64)]))[:show]]
+                            first = np.lexsort((own, count))[:show]
+                            own, count = own[first], count[first]
                         out.append(own)
-                        keys.append((key, len(own)))
+                        times.append(count)
+                        keys.append((mine, len(own)))
                 if out:
                     flat = np.concatenate(out).view(np.int64)
                     owner = np.repeat(np.array([k for k, _ in keys], dtype=np.int64), [c for _, c in keys])
-                    yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(owner)], ["lane", "key"])
+                    parts = np.minimum(-(-np.concatenate(times).astype(np.int64) // hot), SALT >> 1)
+                    salted = flat & ~SALT | (((owner & 0x7FFFFFFF) % np.maximum(parts, 1)) << 1) | 1
+                    yield pa.RecordBatch.from_arrays([pa.array(np.where(parts > 1, salted, flat & ~1)), pa.array(owner)], ["lane", "key"])
 
-    return _texts(docs).mapInArrow(run, "lane long, key long")
+    return map_batches(_texts(docs), run, "lane long, key long")
 
 
 def shared_lanes(rows: DataFrame) -> DataFrame:
-    """lane, key, hub (the lane's first key): lanes that at least two classes show; a
-    class at most twice in a lane."""
-    order = Window.partitionBy("lane").orderBy("key")
-    near = rows.withColumns({"before": F.lag("key").over(order), "after": F.lead("key").over(order), "hub": F.first("key").over(order)})
-    return near.where((F.col("before") != F.col("key")) | (F.col("after") != F.col("key"))).select("lane", "key", "hub")
+    """bucket, key, hub, lanes: the buckets of lanes that at least two classes show, how
+    many lanes are in each, and the first key of the lane (of its salt). Lanes of the same
+    classes are one bucket; a lane that is salted is one of its own, and all hubs of its
+    salts have its first hub."""
+    of = Window.partitionBy("lane")
+    order = of.orderBy("key")
+    salted = F.col("lane").bitwiseAND(F.lit(1)) == 1
+    mark = F.when(F.lag("key").over(order).eqNullSafe(F.col("key")), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("key"), F.lit(1 << 31)))
+    near = rows.withColumns({"before": F.lag("key").over(order), "after": F.lead("key").over(order), "hub": F.first("key").over(order), "mark": mark, "other": F.xxhash64("key", F.lit(7))})
+    near = near.where(salted | (F.col("before") != F.col("key")) | (F.col("after") != F.col("key")))
+    alike = F.xxhash64(F.sum("mark").over(of), F.expr("bit_xor(other)").over(of), "hub")
+    near = near.withColumn("bucket", F.when(salted, F.xxhash64(F.col("lane").bitwiseAND(F.lit(~SALT)), F.lit(3))).otherwise(alike))
+    return near.groupBy("bucket", "key", "hub").agg(F.count("*").alias("lanes"), F.bool_or(salted).alias("salted"))
 
 
 def able(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -253,33 +292,31 @@ def able(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.where(sizes & (apart * (DENOMINATOR + NUMERATOR) <= (F.col("na") + F.col("nb")) * (DENOMINATOR - NUMERATOR))).select("a", "b")
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, names: list[str]) -> DataFrame:
-    """``names`` of wanted and grams, for the document of each wanted row. wanted: doc_id,
-    own (its class) and names. Small lists of documents are broadcast, so texts stay."""
-    rows = docs.select(docs["doc_id"].cast("long").alias("_id"), docs["text"])
-    rows = rows.join(maybe_broadcast(wanted), F.col("_id").eqNullSafe(F.col("doc_id"))).select("own", *names, "text")
+def sets_of(docs: DataFrame, wanted: DataFrame, key: int = 0) -> DataFrame:
+    """class and grams, once for each wanted class. wanted: class, doc_id. Small lists of
+    documents are broadcast, so texts stay."""
+    rows = _texts(docs).withColumnRenamed("doc_id", "_id")
+    rows = rows.join(maybe_broadcast(wanted), F.col("_id").eqNullSafe(F.col("doc_id"))).select("class", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for part in slices(whole):
-                sets = gram_sets(byte_list(part))
+                sets = gram_sets(byte_list(part), key=key)
                 # Texts of a repeated doc_id may be of another class; only the class's own set counts.
                 mine = [i for i, (k, s) in enumerate(zip(part.column(0).to_pylist(), sets)) if set_key(s) == k]
-                ids = [part.column(1 + i).take(pa.array(mine, pa.int64())) for i in range(len(names))]
-                yield pa.RecordBatch.from_arrays([*ids, pa.array([sets[i].view(np.int64) for i in mine], pa.list_(pa.int64()))], [*names, "grams"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(mine, pa.int64())), pa.array([sets[i].view(np.int64) for i in mine], pa.list_(pa.int64()))], ["class", "grams"])
 
-    return rows.mapInArrow(run, ", ".join(f"{n} long" for n in names) + ", grams array<long>")
+    return map_batches(rows, run, "class long, grams array<long>").dropDuplicates(["class"])
 
 
-def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Those pairs of classes (a, b) whose sets meet the threshold. The sets of b travel
-    with their pairs to the sets of a."""
-    pairs = stage(able(pairs, classes), "able")
-    first = stage(pairs.select("a").distinct().join(classes.select(F.col("key").alias("a"), "doc_id"), "a").select("doc_id", F.col("a").alias("own"), "a"), "first")
-    second = stage(pairs.join(classes.select(F.col("key").alias("b"), "doc_id"), "b").select("doc_id", F.col("b").alias("own"), "a", "b"), "second")
-    left = _sets_of(docs, first, ["a"]).withColumnRenamed("grams", "ga")
-    right = _sets_of(docs, second, ["a", "b"]).withColumnRenamed("grams", "gb")
-    both = right.join(left, "a")
+def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, key: int = 0) -> DataFrame:
+    """Those pairs of classes (a, b) whose sets meet the threshold. Each class's set is
+    made and sent once, and then goes with its pairs."""
+    pairs = stage(able(pairs, classes), "able", few=True)
+    wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+    wanted = stage(wanted.join(classes.select(F.col("key").alias("class"), "doc_id"), "class"), "wanted", few=True)
+    sets = stage(sets_of(docs, wanted, key), "sets")
+    both = pairs.join(sets.select(F.col("class").alias("b"), F.col("grams").alias("gb")), "b").join(sets.select(F.col("class").alias("a"), F.col("grams").alias("ga")), "a")
     common = F.size(F.array_intersect("ga", "gb")).cast("long")
     union = F.size("ga") + F.size("gb") - common
     return both.where(common * DENOMINATOR >= union * NUMERATOR).select("a", "b")
@@ -288,7 +325,7 @@ def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, component (its smallest node) of the graph of links (a, b): large-star and
     small-star steps until edges stay, each written to the shared folder."""
-    edges = stage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
+    edges = stage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges", few=True)
     before = None
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -296,7 +333,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        edges = stage(small.select("e.u", "e.v").where("u != v").distinct(), "edges")
+        edges = stage(small.select("e.u", "e.v").where("u != v").distinct(), "edges", few=True)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()
         if now == before:
             break
@@ -373,40 +410,56 @@ class _Meeting:
         return [(min(self.key[a], self.key[b]), max(self.key[a], self.key[b])) for a, b in out]
 
 
-def across(members: DataFrame, classes: DataFrame, found: DataFrame, forest: bool) -> DataFrame:
-    """Pairs (a, b) of classes in different components that share a lane and whose
-    sizes and bit sketches allow a link. members: lane, key. With ``forest`` a share of the lanes meets, and a meeting
-    gives no more pairs than it has components, enough to join all that sketches take
-    for linked; without, all pairs."""
-    lane = Window.partitionBy("lane")
-    rows = members.select("lane", "key")
+def across(members: DataFrame, classes: DataFrame, found: DataFrame, forest: bool, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b) of classes in different components that share a bucket and whose
+    sizes and bit sketches allow a link. members: bucket, key. With ``forest`` a share of
+    the buckets meets, and a meeting gives no more pairs than it has components, enough to join all that sketches take
+    for linked; without, all pairs.
+
+    Members of a bucket are dealt by size class (of a factor of 4/3) and hash into blocks;
+    a block meets those of its own size class and of the next."""
+    rows = members.select("bucket", "key")
     if forest:
-        # A fixed share of the lanes, the same for all, joins what is alike already.
-        rows = rows.where(F.pmod(F.xxhash64("lane"), F.lit(FOREST_SHARE)) == 0)
+        # A fixed share of the buckets, the same for all, joins what is alike already.
+        rows = rows.where(F.pmod(F.xxhash64("bucket"), F.lit(FOREST_SHARE)) == 0)
     rows = _with_component(rows, found)
-    rows = rows.withColumns({"lo": F.min("component").over(lane), "hi": F.max("component").over(lane), "size": F.count("*").over(lane)})
-    rows = rows.where("lo < hi").join(classes.select("key", "n", "sketch"), "key")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("key"), blocks).cast("int")
-    # A member goes to the meetings of its block with every block, its own included.
-    meets = F.transform(F.sequence(F.lit(0), blocks - 1), lambda other: F.struct(F.least("mine", other).alias("i"), F.greatest("mine", other).alias("j")))
-    rows = rows.withColumn("mine", mine).withColumn("meet", F.explode(meets)).select("lane", F.col("meet.i").alias("i"), F.col("meet.j").alias("j"), "mine", "key", "component", "n", "sketch")
-    rows = rows.repartition("lane", "i", "j").sortWithinPartitions("lane", "i", "j")
+    spans = rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
+    rows = rows.join(maybe_broadcast(stage(spans, "spans", few=True)), "bucket").join(classes.select("key", "n", "sketch"), "key")
+    # One too many classes would only split what may meet; sizes of one class are within the factor.
+    rows = rows.withColumn("level", F.floor(F.log(F.col("n")) / F.log(F.lit(DENOMINATOR / NUMERATOR)) + 1e-9).cast("int"))
+    counts = rows.groupBy("bucket", "level").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    levels = counts.groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct("level", "blocks"))).alias("blocks"))  # a few dozen levels
+    rows = rows.join(maybe_broadcast(stage(levels, "levels", few=True), 512), "bucket")
+    of = lambda level: F.coalesce(F.try_element_at("blocks", level), F.lit(0))
+    numbers = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("key"), of(F.col("level"))).cast("int"))
+    meet = lambda low, high, i, j: F.struct(low.alias("low"), high.alias("high"), i.alias("i"), j.alias("j"))
+    level, mine = F.col("level"), F.col("mine")
+    own = F.transform(numbers(of(level)), lambda j: meet(level, level, F.least(mine, j), F.greatest(mine, j)))
+    above = F.transform(numbers(of(level + 1)), lambda j: meet(level, level + 1, mine, j))
+    below = F.transform(numbers(of(level - 1)), lambda j: meet(level - 1, level, j, mine))
+    rows = rows.withColumn("meet", F.explode(F.concat(own, above, below)))
+    two = (F.col("meet.low") != F.col("meet.high")) | (F.col("meet.i") != F.col("meet.j"))
+    side = F.when((level == F.col("meet.low")) & (mine == F.col("meet.i")), 0).otherwise(1)
+    rows = rows.select("bucket", F.xxhash64("meet").alias("meeting"), side.alias("mine"), "key", "component", "n", "sketch", two.alias("two"))
+    rows = rows.repartition("bucket", "meeting").sortWithinPartitions("bucket", "meeting")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def flush(whole: pa.Table) -> Iterator[pa.RecordBatch]:
-            ids = [whole.column(c).to_numpy() for c in ("lane", "i", "j")]
+            ids = [whole.column(c).to_numpy() for c in ("bucket", "meeting")]
             edge = np.flatnonzero(np.any([c[1:] != c[:-1] for c in ids], axis=0)) + 1 if len(whole) > 1 else np.zeros(0, int)
-            mine, key, component, n = (whole.column(c).to_numpy() for c in ("mine", "key", "component", "n"))
+            mine, own, component, n = (whole.column(c).to_numpy() for c in ("mine", "key", "component", "n"))
+            two = whole.column("two").to_numpy(zero_copy_only=False)
             lists = whole.column("sketch").combine_chunks()
-            flat, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())
+            widths = lists.value_lengths().to_numpy()
+            flat, ends = lists.flatten().to_numpy(), np.cumsum(widths)
             found = []
             for a, b in zip([0, *edge.tolist()], [*edge.tolist(), len(whole)]):
                 if b - a > 1:
-                    sketches = [flat[e - w : e] for e, w in zip(ends[a:b].tolist(), lists.value_lengths().to_numpy()[a:b].tolist())]
-                    found += _Meeting(key[a:b], component[a:b], n[a:b], mine[a:b] if ids[1][a] != ids[2][a] else None, sketches).pairs(forest)
+                    sketches = [flat[e - w : e] for e, w in zip(ends[a:b].tolist(), widths[a:b].tolist())]
+                    found += _Meeting(own[a:b], component[a:b], n[a:b], mine[a:b] if two[a] else None, sketches).pairs(forest)
             if found:
                 both = np.unique(np.array(found, dtype=np.int64), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
@@ -415,44 +468,58 @@ def across(members: DataFrame, classes: DataFrame, found: DataFrame, forest: boo
             for start in range(0, batch.num_rows, 4096):
                 # Rows of the last meeting wait for the next batch, which may hold more of it.
                 part = pa.Table.from_batches([*held, batch.slice(start, 4096)])
-                last = [part.column(c)[len(part) - 1].as_py() for c in ("lane", "i", "j")]
-                same = np.all([part.column(c).to_numpy() == v for c, v in zip(("lane", "i", "j"), last)], axis=0)
+                last = [part.column(c)[len(part) - 1].as_py() for c in ("bucket", "meeting")]
+                same = np.all([part.column(c).to_numpy() == v for c, v in zip(("bucket", "meeting"), last)], axis=0)
                 cut = int(np.argmax(same))
                 yield from flush(part.slice(0, cut))
                 held = part.slice(cut).combine_chunks().to_batches()
         if held:
             yield from flush(pa.Table.from_batches(held))
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return map_batches(rows, run, "a long, b long").distinct()
 
 
-def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def link(docs: DataFrame, block: int = BLOCK, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """(rows, found): doc_id, n, key of each document, and node, component of classes
     that are linked with another."""
-    rows = stage(summaries(docs), "summaries")
-    classes = stage(rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
-    members = stage(shared_lanes(shown_lanes(docs, lane_counts(docs))), "members")
+    key = secrets.randbits(63)
+    both = stage(summaries(docs, key), "summaries")
+    rows = both.where("slot IS NULL").select("doc_id", "n", "key", "sketch")
+    classes = stage(rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch", ignorenulls=True).alias("sketch")), "classes", few=True)
+    counts = lane_counts(both.where("slot IS NOT NULL").select("part", "slot", "counts"))
+    members = stage(shared_lanes(shown_lanes(docs, counts, key, hot)), "members", few=True)
     # The partner that a class shares most lanes with, among the first of its buckets.
-    ties = members.where("key != hub").groupBy("key", "hub").count()
-    best = ties.groupBy("key").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub"))
-    links = stage(verify(best.select(F.col("hub").alias("a"), F.col("key").alias("b")), docs, classes), "links")
+    ties = members.where("key != hub").groupBy("key", "hub").agg(F.sum("lanes").alias("lanes"))
+    best = ties.groupBy("key").agg(F.max_by("hub", F.struct("lanes", "hub")).alias("hub"))
+    tops = members.where("salted").select("bucket", "hub").distinct()
+    tops = tops.join(tops.groupBy("bucket").agg(F.min("hub").alias("top")), "bucket").where("hub != top").select(F.col("top").alias("hub"), F.col("hub").alias("key"))
+    first = best.select(F.col("hub").alias("a"), F.col("key").alias("b")).unionByName(tops.select(F.col("hub").alias("a"), F.col("key").alias("b"))).distinct()
+    links = stage(verify(first, docs, classes, key), "links", few=True)
     found = components(links)
     for forest in (True, False):
-        more = stage(across(members, classes, found, forest), "pairs")
-        fresh = stage(verify(more, docs, classes), "links")
+        more = stage(across(members, classes, found, forest, block), "pairs", few=True)
+        fresh = stage(verify(more, docs, classes, key), "links", few=True)
         if not fresh.isEmpty():
-            links = stage(links.unionByName(fresh), "links")
+            links = stage(links.unionByName(fresh), "links", few=True)
             found = components(links)
-    return rows.select("doc_id", "n", "key"), stage(found, "components")
-
-
-def join_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id of its component) of each row."""
-    rows, found = link(docs)
-    rows = _with_component(rows, found)
-    least = rows.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
-    rows = rows.join(least, "component", "left")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    return rows.select("doc_id", "n", "key"), stage(found, "components", few=True)
+
+
+def join_documents(docs: DataFrame, block: int = BLOCK, hot: int = HOT) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id of its component) of each row.
+    ``block`` and ``hot`` (members of a block, rows of a lane in a task) don't change it."""
+    rows, found = link(docs, block, hot)
+    classes = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
+    # The smallest node of a component stands in no link as the larger one.
+    found = found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
+    linked = stage(found.join(classes.withColumnRenamed("key", "node"), "node"), "linked", few=True)
+    least = linked.join(linked.groupBy("component").agg(F.min("first").alias("least")), "component").select(F.col("node").alias("key"), "least")
+    # A class of one row that no other is linked with is its own component.
+    copies = classes.where("copies > 1").join(least.select("key"), "key", "left_anti").select("key", F.col("first").alias("least"))
+    known = stage(least.unionByName(copies), "known", few=True)
+    rows = rows.join(maybe_broadcast(known, 32), "key", "left")
+    # The least of a class without any doc_id is null, like that of its rows.
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("least").isNotNull(), F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
