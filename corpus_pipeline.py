@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm.bpe import encode_documents
-from brindle.llm.common import maybe_broadcast, stage, table
+from brindle.llm.common import maybe_broadcast, release, stage, staged, table
 from brindle.llm.jaccard import join_documents
 from brindle.llm.language import keep_identified, sample, train
 from brindle.llm.mixing import mix
@@ -31,17 +31,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     doc_ids are rows like others, and of rows equal in all columns one stays. A row
     without words is linked with nothing and stays, repeated or not."""
     keyed = docs.withColumn("_row", F.xxhash64(*[x for c in docs.columns for x in (F.col(c), F.col(c).isNull())]))
-    twice = stage(keyed.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).groupBy("_row").count().where("count > 1").select("_row"), "twice")
+    twice = stage(keyed.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).groupBy("_row").count().where("count > 1").select("_row"), "twice", few=True)
     if not twice.isEmpty():
         some = maybe_broadcast(twice)
         once = keyed.join(some, "_row", "left_semi").dropDuplicates(["_row"])
         keyed = stage(keyed.join(some, "_row", "left_anti").unionByName(once), "once")
     linked = join_documents(keyed.select(F.col("_row").alias("doc_id"), "text")).where("n_shingles > 0 AND doc_id != component_id")
-    linked = stage(linked.select(F.col("doc_id").alias("_row"), "component_id"), "linked")
-    members = stage(linked.unionByName(linked.select(F.col("component_id").alias("_row"), "component_id").distinct()), "members")
+    linked = stage(linked.select(F.col("doc_id").alias("_row"), "component_id"), "linked", few=True)
+    members = stage(linked.unionByName(linked.select(F.col("component_id").alias("_row"), "component_id").distinct()), "members", few=True)
     ids = keyed.select("_row", F.col("doc_id").alias("_id")).join(maybe_broadcast(members), "_row")
     first = ids.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")).alias("first"))
-    gone = stage(members.select("_row").join(first.select("first._row"), "_row", "left_anti"), "gone")
+    gone = stage(members.select("_row").join(first.select("first._row"), "_row", "left_anti"), "gone", few=True)
     return keyed.join(maybe_broadcast(gone), "_row", "left_anti").select(*docs.columns)
 
 
@@ -66,7 +66,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents. What a stage has written for itself, and its input, go
+    when its result is written."""
     docs = table(spark, sf_dir, "documents")
+    since = len(staged())
     for name, function in STAGES:
         docs = stage(function(spark, docs, sf_dir), name)
+        release(spark, since, keep=1)
     return docs
