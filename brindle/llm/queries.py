@@ -15,6 +15,7 @@ from brindle.llm.mixing import op1_mixing
 from brindle.llm.pii import op6_pii
 from brindle.llm.quality import op4_quality
 from brindle.llm.repetition import op7_repetition
+from brindle.llm.runs import op12_runs
 from brindle.llm.tokens import op2_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_bpe": op9_bpe,
     "op10_license": op10_license,
+    "op12_runs": op12_runs,
 }
 
 ORACLES: dict[str, str] = {"op10_license": license_sql()}
