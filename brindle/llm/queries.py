@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from brindle.llm.bpe import op9_bpe
+from brindle.llm.divergence import divergence_sql, op11_divergence
 from brindle.llm.fingerprint import op5_fingerprint
 from brindle.llm.jaccard import op3_jaccard
 from brindle.llm.language import op8_language
@@ -29,7 +30,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_bpe": op9_bpe,
     "op10_license": op10_license,
+    "op11_divergence": op11_divergence,
     "op12_runs": op12_runs,
 }
 
-ORACLES: dict[str, str] = {"op10_license": license_sql()}
+ORACLES: dict[str, str] = {"op10_license": license_sql(), "op11_divergence": divergence_sql()}
