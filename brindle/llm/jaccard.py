@@ -38,6 +38,7 @@ from __future__ import annotations
 
 import secrets
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +67,27 @@ SALT = 0xFFFF
 FAN_IN = 32
 FALLBACK = 99
 
+
+
+@dataclass(frozen=True)
+class Rule:
+    """Sets of n-grams of so many words link from numerator / denominator on."""
+
+    words: int = WORDS
+    numerator: int = NUMERATOR
+    denominator: int = DENOMINATOR
+
+    def sizes(self, one, other, least, greatest):
+        """Whether the sizes of two sets allow a link."""
+        return self.denominator * least(one, other) >= self.numerator * greatest(one, other)
+
+    def near(self, apart, total):
+        """Whether sets of ``total`` n-grams together, that differ in so many, may link."""
+        return apart * (self.denominator + self.numerator) <= total * (self.denominator - self.numerator)
+
+
+RULE = Rule()
+
 _U = np.uint64
 _GRAM = seeded(16, 53) | _U(1)
 _ORDER = np.array([bin(i).count("1") for i in range(1 << 16)], dtype=np.uint8)
@@ -230,7 +252,10 @@ def shown_lanes(docs: DataFrame, counts: np.ndarray, key: int = 0, hot: int = HO
     """lane, key: the lanes that each class shows, the rarest first. A task shows the lanes
     of a class once, so copies collapse before the shuffle. A lane that more than ``hot``
     classes may have is dealt over several numbers by class: its low bits (SALT) are odd
-    and differ, where those of any other lane are even."""
+    and differ, where those of any other lane are even. What a counter has above the
+    median of all is the lane's own count: below lie the lanes that share it by chance,
+    which grow with the table and are no reason to deal a lane."""
+    background = int(np.median(counts))
     shared = docs.sparkSession.sparkContext.broadcast(counts)  # COUNTERS * 4 bytes, always
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,8 +280,8 @@ def shown_lanes(docs: DataFrame, counts: np.ndarray, key: int = 0, hot: int = HO
                 if out:
                     flat = np.concatenate(out).view(np.int64)
                     owner = np.repeat(np.array([k for k, _ in keys], dtype=np.int64), [c for _, c in keys])
-                    parts = np.minimum(-(-np.concatenate(times).astype(np.int64) // hot), SALT >> 1)
-                    salted = flat & ~SALT | (((owner & 0x7FFFFFFF) % np.maximum(parts, 1)) << 1) | 1
+                    parts = np.clip(-(-(np.concatenate(times).astype(np.int64) - background) // hot), 1, SALT >> 1)
+                    salted = flat & ~SALT | (((owner & 0x7FFFFFFF) % parts) << 1) | 1
                     yield pa.RecordBatch.from_arrays([pa.array(np.where(parts > 1, salted, flat & ~1)), pa.array(owner)], ["lane", "key"])
 
     return map_batches(_texts(docs), run, "lane long, key long")
@@ -278,7 +303,7 @@ def shared_lanes(rows: DataFrame) -> DataFrame:
     return near.groupBy("bucket", "key", "hub").agg(F.count("*").alias("lanes"), F.bool_or(salted).alias("salted"))
 
 
-def able(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def able(pairs: DataFrame, classes: DataFrame, rule: Rule = RULE) -> DataFrame:
     """Those pairs (a, b) whose sizes and bit sketches allow a link."""
     left = classes.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     right = classes.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
@@ -288,11 +313,10 @@ def able(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     both = both.where((F.size("sa") <= 2 * F.size("sb")) & (F.size("sb") <= 2 * F.size("sa")))
     both = both.withColumns({"sa": F.when(F.size("sa") > F.size("sb"), half("sa")).otherwise(F.col("sa")), "sb": F.when(F.size("sb") > F.size("sa"), half("sb")).otherwise(F.col("sb"))})
     apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda t, x: t + x)
-    sizes = DENOMINATOR * F.least("na", "nb") >= NUMERATOR * F.greatest("na", "nb")
-    return both.where(sizes & (apart * (DENOMINATOR + NUMERATOR) <= (F.col("na") + F.col("nb")) * (DENOMINATOR - NUMERATOR))).select("a", "b")
+    return both.where(rule.sizes(F.col("na"), F.col("nb"), F.least, F.greatest) & rule.near(apart, F.col("na") + F.col("nb"))).select("a", "b")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, key: int = 0) -> DataFrame:
+def sets_of(docs: DataFrame, wanted: DataFrame, key: int = 0, words: int = WORDS) -> DataFrame:
     """class and grams, once for each wanted class. wanted: class, doc_id. Small lists of
     documents are broadcast, so texts stay."""
     rows = _texts(docs).withColumnRenamed("doc_id", "_id")
@@ -301,7 +325,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, key: int = 0) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for part in slices(whole):
-                sets = gram_sets(byte_list(part), key=key)
+                sets = gram_sets(byte_list(part), words, key)
                 # Texts of a repeated doc_id may be of another class; only the class's own set counts.
                 mine = [i for i, (k, s) in enumerate(zip(part.column(0).to_pylist(), sets)) if set_key(s) == k]
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(mine, pa.int64())), pa.array([sets[i].view(np.int64) for i in mine], pa.list_(pa.int64()))], ["class", "grams"])
@@ -309,17 +333,17 @@ def sets_of(docs: DataFrame, wanted: DataFrame, key: int = 0) -> DataFrame:
     return map_batches(rows, run, "class long, grams array<long>").dropDuplicates(["class"])
 
 
-def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, key: int = 0) -> DataFrame:
+def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, key: int = 0, rule: Rule = RULE) -> DataFrame:
     """Those pairs of classes (a, b) whose sets meet the threshold. Each class's set is
     made and sent once, and then goes with its pairs."""
-    pairs = stage(able(pairs, classes), "able", few=True)
+    pairs = stage(able(pairs, classes, rule), "able", few=True)
     wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
     wanted = stage(wanted.join(classes.select(F.col("key").alias("class"), "doc_id"), "class"), "wanted", few=True)
-    sets = stage(sets_of(docs, wanted, key), "sets")
+    sets = stage(sets_of(docs, wanted, key, rule.words), "sets")
     both = pairs.join(sets.select(F.col("class").alias("b"), F.col("grams").alias("gb")), "b").join(sets.select(F.col("class").alias("a"), F.col("grams").alias("ga")), "a")
     common = F.size(F.array_intersect("ga", "gb")).cast("long")
     union = F.size("ga") + F.size("gb") - common
-    return both.where(common * DENOMINATOR >= union * NUMERATOR).select("a", "b")
+    return both.where(common * rule.denominator >= union * rule.numerator).select("a", "b")
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -360,7 +384,8 @@ def _halved(rows: np.ndarray) -> np.ndarray:
 class _Meeting:
     """The members of a bucket that meet in a task."""
 
-    def __init__(self, key: np.ndarray, component: np.ndarray, n: np.ndarray, mine: np.ndarray | None, sketches: list[np.ndarray]):
+    def __init__(self, key: np.ndarray, component: np.ndarray, n: np.ndarray, mine: np.ndarray | None, sketches: list[np.ndarray], rule: Rule = RULE):
+        self.rule = rule
         self.key, self.component, self.n, self.mine = key, component, n, mine
         self.words = np.array([len(s) for s in sketches])
         self.rows = {w: np.stack([sketches[i] for i in np.flatnonzero(self.words == w)]) for w in np.unique(self.words).tolist()}
@@ -373,7 +398,7 @@ class _Meeting:
     def near(self, x: int, y: np.ndarray) -> np.ndarray:
         """Those of y whose sizes and sketches allow a link with x."""
         n, key = self.n, self.key
-        y = y[DENOMINATOR * np.minimum(n[y], n[x]) >= NUMERATOR * np.maximum(n[y], n[x])]
+        y = y[self.rule.sizes(n[y], n[x], np.minimum, np.maximum)]
         out = []
         w = int(self.words[x])
         mine = self.rows[w][self.where[x]]
@@ -384,7 +409,7 @@ class _Meeting:
                     self.halves[v] = _halved(self.rows[v])
                 rows = (self.halves[v] if v == 2 * w else self.rows[v])[self.where[part]]
                 far = _apart(_halved(mine) if v < w else mine, rows)
-                out.append(part[far * (DENOMINATOR + NUMERATOR) <= (n[part] + n[x]) * (DENOMINATOR - NUMERATOR)])
+                out.append(part[self.rule.near(far, n[part] + n[x])])
         return np.sort(np.concatenate(out)) if out else y[:0]
 
     def pairs(self, forest: bool) -> list[tuple[int, int]]:
@@ -410,13 +435,13 @@ class _Meeting:
         return [(min(self.key[a], self.key[b]), max(self.key[a], self.key[b])) for a, b in out]
 
 
-def across(members: DataFrame, classes: DataFrame, found: DataFrame, forest: bool, block: int = BLOCK) -> DataFrame:
+def across(members: DataFrame, classes: DataFrame, found: DataFrame, forest: bool, block: int = BLOCK, rule: Rule = RULE) -> DataFrame:
     """Pairs (a, b) of classes in different components that share a bucket and whose
     sizes and bit sketches allow a link. members: bucket, key. With ``forest`` a share of
     the buckets meets, and a meeting gives no more pairs than it has components, enough to join all that sketches take
     for linked; without, all pairs.
 
-    Members of a bucket are dealt by size class (of a factor of 4/3) and hash into blocks;
+    Members of a bucket are dealt by size class (of a factor of the threshold) and hash into blocks;
     a block meets those of its own size class and of the next."""
     rows = members.select("bucket", "key")
     if forest:
@@ -426,7 +451,7 @@ def across(members: DataFrame, classes: DataFrame, found: DataFrame, forest: boo
     spans = rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
     rows = rows.join(maybe_broadcast(stage(spans, "spans", few=True)), "bucket").join(classes.select("key", "n", "sketch"), "key")
     # One too many classes would only split what may meet; sizes of one class are within the factor.
-    rows = rows.withColumn("level", F.floor(F.log(F.col("n")) / F.log(F.lit(DENOMINATOR / NUMERATOR)) + 1e-9).cast("int"))
+    rows = rows.withColumn("level", F.floor(F.log(F.col("n")) / F.log(F.lit(rule.denominator / rule.numerator)) + 1e-9).cast("int"))
     counts = rows.groupBy("bucket", "level").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     levels = counts.groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct("level", "blocks"))).alias("blocks"))  # a few dozen levels
     rows = rows.join(maybe_broadcast(stage(levels, "levels", few=True), 512), "bucket")
@@ -459,7 +484,7 @@ def across(members: DataFrame, classes: DataFrame, found: DataFrame, forest: boo
             for a, b in zip([0, *edge.tolist()], [*edge.tolist(), len(whole)]):
                 if b - a > 1:
                     sketches = [flat[e - w : e] for e, w in zip(ends[a:b].tolist(), widths[a:b].tolist())]
-                    found += _Meeting(own[a:b], component[a:b], n[a:b], mine[a:b] if two[a] else None, sketches).pairs(forest)
+                    found += _Meeting(own[a:b], component[a:b], n[a:b], mine[a:b] if two[a] else None, sketches, rule).pairs(forest)
             if found:
                 both = np.unique(np.array(found, dtype=np.int64), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
@@ -494,21 +519,31 @@ def link(docs: DataFrame, block: int = BLOCK, hot: int = HOT) -> tuple[DataFrame
     tops = members.where("salted").select("bucket", "hub").distinct()
     tops = tops.join(tops.groupBy("bucket").agg(F.min("hub").alias("top")), "bucket").where("hub != top").select(F.col("top").alias("hub"), F.col("hub").alias("key"))
     first = best.select(F.col("hub").alias("a"), F.col("key").alias("b")).unionByName(tops.select(F.col("hub").alias("a"), F.col("key").alias("b"))).distinct()
-    links = stage(verify(first, docs, classes, key), "links", few=True)
+    return rows.select("doc_id", "n", "key"), settle(first, members, docs, classes, key, block)
+
+
+def settle(first: DataFrame, members: DataFrame, docs: DataFrame, classes: DataFrame, key: int, block: int = BLOCK, rule: Rule = RULE) -> DataFrame:
+    """node, component of the classes (key, n, sketch, doc_id) that are linked with another,
+    from pairs to try first (a, b) and all buckets (members: bucket, key)."""
+    links = stage(verify(first, docs, classes, key, rule), "links", few=True)
     found = components(links)
     for forest in (True, False):
-        more = stage(across(members, classes, found, forest, block), "pairs", few=True)
-        fresh = stage(verify(more, docs, classes, key), "links", few=True)
+        more = stage(across(members, classes, found, forest, block, rule), "pairs", few=True)
+        fresh = stage(verify(more, docs, classes, key, rule), "links", few=True)
         if not fresh.isEmpty():
             links = stage(links.unionByName(fresh), "links", few=True)
             found = components(links)
-    return rows.select("doc_id", "n", "key"), stage(found, "components", few=True)
+    return stage(found, "components", few=True)
 
 
 def join_documents(docs: DataFrame, block: int = BLOCK, hot: int = HOT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id of its component) of each row.
     ``block`` and ``hot`` (members of a block, rows of a lane in a task) don't change it."""
-    rows, found = link(docs, block, hot)
+    return labelled(*link(docs, block, hot))
+
+
+def labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of rows (doc_id, n, key) by the components of keys."""
     classes = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
     # The smallest node of a component stands in no link as the larger one.
     found = found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())

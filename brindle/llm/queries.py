@@ -12,6 +12,7 @@ from brindle.llm.fingerprint import op5_fingerprint
 from brindle.llm.jaccard import op3_jaccard
 from brindle.llm.language import op8_language
 from brindle.llm.license import license_sql, op10_license
+from brindle.llm.minmax import op13_minmax
 from brindle.llm.mixing import op1_mixing
 from brindle.llm.pii import op6_pii
 from brindle.llm.quality import op4_quality
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_license": op10_license,
     "op11_divergence": op11_divergence,
     "op12_runs": op12_runs,
+    "op13_minmax": op13_minmax,
 }
 
 ORACLES: dict[str, str] = {"op10_license": license_sql(), "op11_divergence": divergence_sql()}
