@@ -2,7 +2,7 @@
 
 1. Each source gets a target in words: its weight's share of all words, at most REPEATS
    times its own words; what is above is shared again by weight until none is above.
-   The common level is found by rounds of one aggregation over the sources.
+   The common level is found exactly, over sorted range partitions of the sources.
 2. A source's documents are dealt by hash into blocks, BLOCKS_A_SHARD for each shard over
    all sources. Whole passes over a source come first; of the last, partial pass blocks
    are drawn in a permuted order until the target is met. That gives each source an exact
@@ -20,7 +20,8 @@
    permutations are filled, and the one that comes nearest is taken.
 
 All keys are hashes of a seed, so reruns agree. A row is told from others by a hash of
-doc_id, source and text; rows that are equal in these get the same draws. Null text
+doc_id, source and text; rows that are equal in these are numbered, and each is dealt on
+its own. Null text
 counts 0 words; a document of no words is never taken. A null source is a source of its
 own, the last. Without words, or without rows, nothing is taken. Columns of other names
 don't matter to the plan; ``mix`` replaces columns named mix_shard, mix_order and mix_pass.
@@ -42,12 +43,12 @@ from brindle.sources.order import with_row_id
 REPEATS, SEED, SHARDS = 3, 11, 16
 #: Blocks over all sources for each shard; documents of a block at least, on average.
 BLOCKS_A_SHARD, BLOCK_DOCS = 64, 16
+#: Slices of a block that go to tasks of their own when shards are written.
+SLICES = 4
 #: Documents of a range inside which places are given one by one, bits of a histogram,
 #: levels of histograms at most (all bits of a hash), rounds that fill the rest, and
 #: permutations of which the nearest is taken.
 CUT_DOCS, CUT_BITS, CUT_LEVELS, FILLS, TRIES = 512, 10, 7, 4, 16
-#: Rounds of the search for the level of the targets at most.
-MOST_ROUNDS = 1000
 
 
 def _hash(*parts: Column | str | int) -> Column:
@@ -69,22 +70,39 @@ def targets(sources: DataFrame, repeats: int = REPEATS, weights: dict[str, float
         rows = sources.withColumn("weight", F.coalesce(named, F.lit(0.0)))
     rows = stage(rows.select(*sources.columns, "weight"), "weights", few=True)
     most = (F.col("source_size") * repeats).cast("double")
-    able = rows.where("weight > 0")
-    total = rows.agg(F.sum("source_size")).first()[0] or 0
-    level = 0.0
-    for _ in range(MOST_ROUNDS):
-        full = most <= level * F.col("weight")
-        got = able.agg(F.sum(F.when(full, most).otherwise(0.0)).alias("full"), F.sum(F.when(full, 0.0).otherwise(F.col("weight"))).alias("open")).first()
-        if not got["open"]:
-            level = math.inf  # all are at their limit
-            break
-        higher = max(level, (total - got["full"]) / got["open"])
-        if higher <= level * (1 + 1e-15):
-            break
-        level = higher
+    total = float(rows.where("weight > 0").agg(F.sum("source_size")).first()[0] or 0)
+    level = fill_level(rows.where("weight > 0").select(most.alias("most"), "weight"), total)
     return rows.withColumn("target", F.when(F.col("weight") <= 0, 0.0).otherwise(F.least(most, F.lit(level) * F.col("weight"))))
 
 
+def fill_level(limits: DataFrame, total: float) -> float:
+    """The level at which the sum of min(most, level * weight) is ``total``; infinite if
+    all limits together are less. limits: most, weight.
+
+    Sources are full one after the other in order of most / weight. They are sorted by it
+    over range partitions, a row for each of which comes back with its sums; only the
+    partition in which the total is met is looked at row by row."""
+    rows = limits.withColumn("full_at", F.col("most") / F.col("weight")).orderBy("full_at").withColumn("part", F.spark_partition_id())
+    rows = stage(rows, "limits", few=True)
+    parts = rows.groupBy("part").agg(F.sum("most").alias("most"), F.sum("weight").alias("weight"), F.max("full_at").alias("top")).orderBy("part").collect()
+    before, after = 0.0, math.fsum(p["weight"] for p in parts)
+    for p in parts:
+        rest = after - p["weight"]
+        if before + p["most"] + p["top"] * rest >= total:
+            break
+        before, after = before + p["most"], rest
+    else:
+        return math.inf
+    upto = Window.orderBy("full_at", "most", "weight")  # of one range partition
+    inside = rows.where(F.col("part") == p["part"]).withColumns({"m": F.sum("most").over(upto), "w": F.sum("weight").over(upto)})
+    met = inside.where(F.lit(before) + F.col("m") + F.col("full_at") * (F.lit(after) - F.col("w")) >= total * (1 - 1e-15)).orderBy("full_at", "most", "weight").first()
+    if met is None:
+        return float(p["top"])
+    # Those before the one where the total is met are full; it and all others get the level.
+    left = after - met["w"] + met["weight"]
+    return (total - before - met["m"] + met["most"]) / left if left > 0 else float(p["top"])
+
+
 def split_tree(quotas: DataFrame, n_shards: int, seed: int = SEED) -> list[DataFrame]:
     """The levels of the tree, root first: node, leaves, source_id, quota. quotas:
     source_id, quota. A node's children have numbers node and node + leaves going left,
@@ -108,6 +126,27 @@ def keyed(docs: DataFrame, *columns: Column) -> DataFrame:
     return docs.select(*columns, F.struct(source.alias("source")).alias("key"), word_count("text").alias("size"), _hash(F.col("doc_id").cast("string"), source, F.col("text").cast("string")).alias("u"))
 
 
+def told_apart(rows: DataFrame) -> DataFrame:
+    """``rows`` (of ``keyed``) with another u for each further row of the same u, so that
+    rows that are equal in all that counts go in or out one by one. Which of them has
+    which number doesn't matter. They are numbered inside the tasks that have them, after
+    the counts of the tasks before."""
+    twice = rows.where("size > 0").groupBy("u").count().where("count > 1").select("u")
+    twice = stage(twice, "twice", few=True)
+    if twice.isEmpty():
+        return rows
+    some = maybe_broadcast(twice)
+    again = stage(rows.join(some, "u", "left_semi").withColumn("_m", F.monotonically_increasing_id()), "repeated")
+    again = again.withColumn("_p", F.shiftright("_m", 33))
+    counts = again.groupBy("u", "_p").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy("u").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task
+    counts = stage(counts.select("u", "_p", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_s")), "before", few=True)
+    again = again.join(maybe_broadcast(counts), ["u", "_p"])
+    number = F.col("_s") + F.row_number().over(Window.partitionBy("u", "_p").orderBy("_m")) - 1
+    again = again.withColumn("_k", number).withColumn("u", F.when(F.col("_k") > 0, _hash("u", "_k")).otherwise(F.col("u")))
+    return rows.join(some, "u", "left_anti").unionByName(again.select(*rows.columns))
+
+
 def _cut_range(cut: DataFrame, state: DataFrame) -> DataFrame:
     """Narrows state (key, lo, span: the places lo to lo + span; gap: words that still fit) to the
     ranges where documents, in order, stop fitting, with their number of documents.
@@ -203,22 +242,29 @@ def deal(rows: DataFrame, sized: DataFrame, repeats: int = REPEATS, weights: dic
 
 def plan(docs: DataFrame, **options) -> DataFrame:
     """A row for each document: doc_id, source, size, source_size, target and draws."""
-    rows = stage(keyed(docs, F.col("doc_id").cast("long").alias("doc_id")), "sizes")
+    rows = told_apart(stage(keyed(docs, F.col("doc_id").cast("long").alias("doc_id")), "sizes"))
     return deal(rows, rows.drop("doc_id"), **options).select("doc_id", F.col("key.source").alias("source"), "size", "source_size", "target", "draws")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that the plan takes, as often as it does, with mix_shard,
-    mix_order (blocks in permuted order, shuffled inside) and mix_pass. To write shards in order:
-    repartitionByRange("mix_shard", "mix_order") and sortWithinPartitions of the same.
-    Texts are read twice and never shuffled here."""
-    dealt = deal(keyed(docs, F.struct("*").alias("row")), stage(keyed(docs), "sizes"), **options)
+    mix_order (blocks in permuted order, shuffled inside) and mix_pass. Texts are read
+    twice and never shuffled here; ``in_shard_order`` brings shards together."""
+    dealt = deal(told_apart(keyed(docs, F.struct("*").alias("row"))), told_apart(stage(keyed(docs), "sizes")), **options)
     drawn = dealt.select("row", F.explode("draws").alias("draw"))
     order = F.struct(F.col("draw.position").alias("block"), F.col("draw.place").alias("place"))
     own = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("mix_shard", "mix_order", "mix_pass")]
     return drawn.select(*own, F.col("draw.shard").alias("mix_shard"), order.alias("mix_order"), F.col("draw.pass").alias("mix_pass"))
 
 
+def in_shard_order(mixed: DataFrame, slices: int = SLICES) -> DataFrame:
+    """Rows of ``mix`` with each block of a shard in order. A block is cut in ``slices``
+    by place, and a slice goes to one task, which sorts what it has: places are hashes, so
+    slices of a block are alike, and no sampling of the rows is needed to find ranges."""
+    slice_of = F.pmod(F.shiftrightunsigned("mix_order.place", 32), F.lit(slices))
+    return mixed.repartition("mix_shard", "mix_order.block", slice_of).sortWithinPartitions("mix_shard", "mix_order.block", slice_of, "mix_order.place")
+
+
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents, by document; shards: where its copies go."""
     rows = plan(table(spark, sf_dir, "documents"))
