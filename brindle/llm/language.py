@@ -9,9 +9,17 @@ logit for each hashed piece and language, and a worker sums it once for each dis
 Training takes a bounded sample of labelled rows: the TRAIN_ROWS with the lowest hash
 of doc_id, text and language (documented bound of a model fit; Spark takes them, so no
 more reach the driver); only rows outside held_out and with a language are eligible.
-Rows equal in all three count once; null doc_ids are eligible and told apart by text. One part of the sample is kept back to fit the temperature of
-the softmax and the score under which a prediction is rejected: such that at most
-REJECT_SHARE of right predictions fall under it.
+Rows equal in all three count once; null doc_ids are eligible and told apart by text.
+
+Calibration and rejection. One part of the sample is kept back. It fits the temperature of
+the softmax; but a softmax is sure of texts of no language at all, so what is rejected is
+told by familiarity: the mean log-probability of a text's pieces under the piece counts of
+the language that fits best (words with digits don't count). Its bound lies midway between
+what REJECT_SHARE of the kept-back texts, and of short windows of them, fall under, and what
+all but NOISE_SHARE of the same texts with shuffled letters reach; if these overlap, at the
+former. A score under the one that REJECT_SHARE of right predictions fall under, halved,
+is rejected too. With less than LEAST_KEPT texts kept back such shares mean nothing, and no
+text with a letter is rejected.
 
 A null text or one without a letter is ``und`` with score 0, and is rejected. Ties go
 to the first language in code-point order. An empty training set gives ``und`` for all.
@@ -20,6 +28,7 @@ Nothing shuffles but the sample's own sort; memory is bounded by a slice of text
 
 from __future__ import annotations
 
+import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,13 +43,19 @@ from brindle.llm.common import _LOWER, byte_list, hash_words, held_out, map_batc
 TRAIN_ROWS, KEPT_BACK = 3000, 5
 BUCKETS, DIMENSIONS, EPOCHS, RATE = 1 << 16, 16, 4, 0.5
 PIECES = (2, 3, 4)
-REJECT_SHARE, LEAST_SCORE = 0.0005, 0.35
+REJECT_SHARE, NOISE_SHARE, LEAST_KEPT = 0.002, 0.01, 100
+#: Words of the short windows on which the rejection is calibrated too.
+WINDOW_WORDS = 8
 #: Distinct words that a worker remembers (16 bytes and a logit for each language).
 CACHE_WORDS = 1 << 17
 UNKNOWN = "und"
 
 _LETTER = re.compile(rb"[A-Za-z]")
 _PIECE = seeded(256, 31)
+_DIGIT = np.zeros(256, dtype=bool)
+_DIGIT[48:58] = True
+_IS_LETTER = np.zeros(256, dtype=bool)
+_IS_LETTER[list(range(65, 91)) + list(range(97, 123)) + list(range(128, 256))] = True
 
 
 def has_letter(text: bytes) -> bool:
@@ -75,20 +90,28 @@ def word_pieces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, buckets:
     return pieces[order], np.bincount(words, minlength=len(sizes))
 
 
+def words_of_letters(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which words have letters and no digits."""
+    digits, letters = (np.concatenate(([0], np.cumsum(x[data]))) for x in (_DIGIT, _IS_LETTER))
+    return (digits[ends] == digits[starts]) & (letters[ends] > letters[starts])
+
+
 @dataclass
 class Model:
     languages: list[str]
     logits: np.ndarray  # bucket x language
     bias: np.ndarray
+    known: np.ndarray  # bucket x language: log-probability of a piece in a language
     temperature: float = 1.0
     threshold: float = 0.0
+    familiar: float = -np.inf
 
     def __post_init__(self) -> None:
         self.clear()
 
     def clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)
-        self.table = np.zeros((0, len(self.languages) + 1))
+        self.table = np.zeros((0, 2 * len(self.languages) + 2))
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k not in ("keys", "table")}
@@ -105,9 +128,17 @@ class Model:
 
     def probabilities(self, texts: list[bytes]) -> np.ndarray:
         """text x language."""
+        return self.scores(texts)[0]
+
+    def rejects(self, p: np.ndarray, familiarity: np.ndarray) -> np.ndarray:
+        return (p.max(axis=1) < self.threshold) | (familiarity < self.familiar)
+
+    def scores(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(probabilities, text x language; familiarity of each text, infinite without a
+        word of letters)."""
         h, firsts, starts, ends, data = hash_words(texts, lower=True)
         width = len(self.languages)
-        total = np.zeros((len(texts), width + 1))
+        total = np.zeros((len(texts), 2 * width + 2))
         if len(h):
             key, example, inverse = np.unique(h, return_index=True, return_inverse=True)
             slot = self._words(key)
@@ -118,7 +149,9 @@ class Model:
                     new = np.arange(len(key))
                 pieces, counts = word_pieces(data, starts[example[new]], ends[example[new]], len(self.logits))
                 begin = np.cumsum(counts) - counts
-                rows = np.concatenate((np.add.reduceat(self.logits[pieces], begin), counts[:, None]), axis=1)
+                lettered = words_of_letters(data, starts[example[new]], ends[example[new]])[:, None]
+                sums = [np.add.reduceat(x[pieces], begin) for x in (self.logits, self.known)]
+                rows = np.concatenate((sums[0], counts[:, None], sums[1] * lettered, counts[:, None] * lettered), axis=1)
                 keys = np.concatenate((self.keys, key[new]))
                 order = np.argsort(keys, kind="stable")
                 self.keys, self.table = keys[order], np.concatenate((self.table, rows))[order]
@@ -126,9 +159,11 @@ class Model:
             # Each text is summed on its own, so equal texts get equal figures to the last bit.
             some = np.flatnonzero(np.diff(firsts) > 0)
             total[some] = np.add.reduceat(self.table[slot][inverse], firsts[some], axis=0)
-        z = (total[:, :width] / np.maximum(total[:, width:], 1) + self.bias) / self.temperature
+        z = (total[:, :width] / np.maximum(total[:, width : width + 1], 1) + self.bias) / self.temperature
         z = np.exp(z - z.max(axis=1, keepdims=True))
-        return z / z.sum(axis=1, keepdims=True)
+        n = total[:, -1]
+        familiarity = np.where(n > 0, total[:, width + 1 : -1].max(axis=1) / np.maximum(n, 1), np.inf)
+        return z / z.sum(axis=1, keepdims=True), familiarity
 
 
 def bag(text: bytes, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
@@ -146,7 +181,7 @@ def train(texts: list[bytes], labels: list[str], buckets: int = BUCKETS, seed: i
     KEPT_BACK-th text is kept back for the temperature and the threshold."""
     languages = sorted(set(labels), key=lambda x: x.encode())
     if not languages:
-        return Model([], np.zeros((buckets, 0)), np.zeros(0))
+        return Model([], np.zeros((buckets, 0)), np.zeros(0), np.zeros((buckets, 0)))
     rng = np.random.default_rng(seed)
     bags = [bag(t, buckets) for t in texts]
     target = np.array([languages.index(x) for x in labels])
@@ -170,15 +205,32 @@ def train(texts: list[bytes], labels: list[str], buckets: int = BUCKETS, seed: i
             bias -= rate * 0.1 * p
             # The average spreads a gradient thinly; embeddings of a text move together.
             embed[ids] -= rate * 20 * np.outer(share, back)
-    model = Model(languages, embed @ weight, bias)
+    counts = np.full((buckets, len(languages)), 0.5)
+    for i in fit:
+        ids, share = bags[i]
+        counts[ids, target[i]] += share * piece_count(texts[i])
+    model = Model(languages, embed @ weight, bias, np.log(counts / counts.sum(axis=0)))
     fitted = set(fit)
     rest = [i for i in usable if i not in fitted] or fit
     calibrate(model, [texts[i] for i in rest], target[rest])
     return model
 
 
+def piece_count(text: bytes) -> int:
+    _, _, starts, ends, _ = hash_words([text])
+    return int(sum(np.maximum(0, ends - starts + 3 - n).sum() for n in PIECES))
+
+
+def shuffled(text: str, rng: random.Random) -> bytes:
+    """A text with its letters in another order: noise of the same letters and lengths."""
+    letters = [c for c in text if c.isalpha()]
+    rng.shuffle(letters)
+    rest = iter(letters)
+    return "".join(next(rest) if c.isalpha() else c for c in text).encode()
+
+
 def calibrate(model: Model, texts: list[bytes], target: np.ndarray) -> None:
-    """Choose the temperature of the least log loss, then the rejection threshold."""
+    """Choose the temperature of the least log loss, then the bounds of rejection."""
     if not texts:
         return
     z = np.log(np.maximum(np.concatenate([model.probabilities([t]) for t in texts]), 1e-300))
@@ -190,9 +242,25 @@ def calibrate(model: Model, texts: list[bytes], target: np.ndarray) -> None:
         best = min(best, (loss, float(t)))
     model.temperature = best[1]
     model.clear()
-    p = np.concatenate([model.probabilities([t]) for t in texts])
-    right = np.sort(p.max(axis=1)[p.argmax(axis=1) == target])
-    model.threshold = float(min(LEAST_SCORE, right[int(REJECT_SHARE * len(right))])) if len(right) else 0.0
+    if len(texts) < LEAST_KEPT:
+        return
+    p, own = model.scores(texts)
+    right = p.max(axis=1)[p.argmax(axis=1) == target]
+    model.threshold = float(np.quantile(right, REJECT_SHARE)) / 2 if len(right) else 0.0
+    rng = random.Random(17)
+    windows, noise = [], []
+    for t in texts:
+        words = t.split()
+        if len(words) > WINDOW_WORDS:
+            at = rng.randrange(len(words) - WINDOW_WORDS)
+            windows.append(b" ".join(words[at : at + WINDOW_WORDS]))
+        noise.append(shuffled(t.decode("utf-8", "replace")[:2000], rng))
+    low = lambda x: float(np.quantile(x, REJECT_SHARE, method="lower"))
+    clean = min(low(own), low(model.scores(windows)[1]) if windows else np.inf)
+    other = float(np.quantile(model.scores(noise)[1], 1 - NOISE_SHARE, method="lower"))
+    if np.isfinite(clean):
+        model.familiar = (clean + other) / 2 if other < clean else clean
+    model.clear()
 
 
 def sample(docs: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[bytes], list[str]]:
@@ -228,7 +296,7 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
                 texts = byte_list(part)
                 kept = np.array([has_letter(t) for t in texts], dtype=bool)
                 if m.languages:
-                    kept &= m.probabilities(texts).max(axis=1) >= m.threshold
+                    kept &= ~m.rejects(*m.scores(texts))
                 yield part.filter(pa.array(kept))
 
     return map_batches(docs, run, docs.schema)
@@ -245,12 +313,12 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 texts = byte_list(part)
                 lettered = np.array([has_letter(t) for t in texts], dtype=bool) & bool(m.languages)
                 if m.languages:
-                    p = m.probabilities(texts)
-                    best, score = p.argmax(axis=1), np.where(lettered, p.max(axis=1), 0.0)
+                    p, familiarity = m.scores(texts)
+                    best, score, gone = p.argmax(axis=1), np.where(lettered, p.max(axis=1), 0.0), m.rejects(p, familiarity)
                 else:
-                    best, score = np.zeros(len(texts), int), np.zeros(len(texts))
+                    best, score, gone = np.zeros(len(texts), int), np.zeros(len(texts)), np.zeros(len(texts), bool)
                 names = [m.languages[b] if ok else UNKNOWN for b, ok in zip(best, lettered)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(names), pa.array(score), pa.array(~lettered | (score < m.threshold))], ["doc_id", "held_out", "lang_pred", "score", "rejected"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(names), pa.array(score), pa.array(~lettered | gone)], ["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), held_out(docs["doc_id"]).alias("held_out"), docs["text"])
     return map_batches(rows, run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
