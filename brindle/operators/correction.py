@@ -70,7 +70,9 @@ def row_statistic(lr: str, m: str, option: str) -> Column:
 
 
 def rejection_mask(lr: str, m: str, option: str, low: float | None, high: float) -> Column:
-    """The mask with what the option rejects set to 0."""
+    """The mask with what the option rejects set to 0. A statistic equal to a bound is
+    kept. Statistics are sums of doubles: where a bound is a value that the data's sums can
+    have, the last bit of a sum decides, so choose bounds between such values."""
     if option not in OPTIONS:
         raise ValueError(f"rejection option {option}; known: {OPTIONS}")
     kind = option[-2:]

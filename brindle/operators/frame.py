@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.operators.selection import first_rows
 from brindle.sources.order import with_row_id
 
 
@@ -184,11 +185,12 @@ def dataset_split(df: DataFrame, parts: int, n_rows: int) -> DataFrame:
 
 
 def max_samples(df: DataFrame, n: int, shuffle: bool = False, seed: int = 0) -> DataFrame:
-    """The first n rows, or a seeded n of them, if n is positive and smaller."""
+    """The first n rows, or a seeded n of them, if n is positive and smaller, in any order.
+    The n-th place is found by counts, so that a large n doesn't pass through one task."""
     if n <= 0:
         return df
-    key = F.xxhash64(F.lit(seed), "row_id") if shuffle else F.col("row_id")
-    return df.orderBy(key, "row_id").limit(n)
+    key = [F.xxhash64(F.lit(seed), "row_id")] if shuffle else []
+    return first_rows(df, [*key, F.col("row_id")], n)
 
 
 def overlong_filter(df: DataFrame, length: Column, most: int) -> DataFrame:

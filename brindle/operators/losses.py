@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions import tokens as T
+from brindle.operators.selection import first_rows
 
 
 @dataclass(frozen=True)
@@ -171,13 +172,13 @@ def _centred(df: DataFrame) -> DataFrame:
 
 def chosen_by_covariance(df: DataFrame, k: Column, order: list[Column], where: Column) -> DataFrame:
     """Adds ``extra``: 1 at the k tokens that come first in ``order`` (columns row_id, p,
-    cov) among those that meet ``where``, else 0. Only candidate tokens are sorted, and
-    k is a small share of the tokens."""
+    cov, all numbers; none equal in all) among those that meet ``where``, else 0. Their
+    last place is found by counts over all tasks (``selection``), however large k is."""
     cov = F.transform(F.arrays_zip("a", "lp", "olp", "m"), lambda s: F.struct(((s["a"] - F.col("_ma")) * (s["lp"] - F.col("_ml"))).alias("cov"), s["a"].alias("a"), s["lp"].alias("lp"), s["olp"].alias("olp"), s["m"].alias("m")))
     rows = df.withColumn("_cov", cov)
     few = rows.select("row_id", "_n", F.posexplode("_cov").alias("p", "c")).select("row_id", "_n", "p", "c.*").where("m > 0").where(where)
     number = few.select(k.cast("int").alias("k")).limit(1).collect()
-    top = few.orderBy(*order).limit(number[0]["k"] if number else 0).groupBy("row_id").agg(F.collect_set("p").alias("_at"))
+    top = first_rows(few, order, number[0]["k"] if number else 0).groupBy("row_id").agg(F.collect_set("p").alias("_at"))
     rows = rows.join(top, "row_id", "left")
     return rows.withColumn("extra", F.transform("m", lambda m, i: F.when(F.coalesce(F.array_contains(F.col("_at"), i), F.lit(False)), 1.0).otherwise(0.0))).drop("_cov", "_at")
 
@@ -200,7 +201,7 @@ def clip_cov(df: DataFrame, o: Options = Options()) -> DataFrame:
 def kl_cov(df: DataFrame, o: Options = Options()) -> DataFrame:
     """Tokens of the highest covariance pay for their distance; ties by row and place."""
     few = F.greatest(F.floor(F.col("_n") * o.cov_ratio), F.lit(1))
-    rows = chosen_by_covariance(_centred(df), few, [F.col("cov").desc(), F.col("row_id"), F.col("p")], F.lit(True))
+    rows = chosen_by_covariance(_centred(df), few, [-F.col("cov"), F.col("row_id"), F.col("p")], F.lit(True))
 
     def loss(s: Column) -> Column:
         d = s["lp"] - s["olp"]

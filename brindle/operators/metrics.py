@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions import tokens as T
+from brindle.operators import selection
 from brindle.operators.losses import mean_of
+from brindle.sources.order import written
 
 
 def data_metrics(df: DataFrame, critic: bool = True) -> DataFrame:
@@ -113,9 +115,11 @@ def throughput(tokens: Column, seconds: Column, n_gpus: int) -> Column:
 
 
 def processing_stats(df: DataFrame, value: str) -> DataFrame:
-    """Average, extremes and exact linear percentiles."""
-    p = lambda q: F.percentile(value, q).alias(f"tp{int(q * 100)}")
-    return df.agg(F.avg(value).alias("avg"), F.max(value).alias("max"), F.min(value).alias("min"), p(0.5), p(0.95), p(0.99))
+    """Average, extremes and exact linear percentiles; nulls don't count. The percentiles
+    are found by refinement (``selection``), so no task holds the values."""
+    p = lambda q: F.max(F.when(F.col("share") == q, F.col("value"))).alias(f"tp{round(q * 100)}")
+    shares = selection.quantiles(df, value, [0.5, 0.95, 0.99]).agg(p(0.5), p(0.95), p(0.99))
+    return df.agg(F.avg(value).alias("avg"), F.max(value).alias("max"), F.min(value).alias("min")).join(F.broadcast(shares))  # a row each
 
 
 def slowest(df: DataFrame, value: str, key: str) -> DataFrame:
@@ -236,7 +240,12 @@ def flatten(df: DataFrame, sep: str = "/") -> DataFrame:
 
 
 def tail_ratio(df: DataFrame, value: str, key: list[str], q: float = 0.9) -> DataFrame:
-    """Mean of the values at or above a quantile over the mean of all, for each key."""
-    w = Window.partitionBy(*key)
-    rows = df.withColumn("_q", F.percentile(value, q).over(w))
+    """Mean of the values at or above a quantile over the mean of all, for each key (null
+    is a key like others). The quantiles are exact, and found without gathering a key's
+    rows; keys without values have no row."""
+    bounds = selection.quantiles(df, value, [q], key).select(*[F.col(c).alias(f"_b_{c}") for c in key], F.col("value").alias("_q"))
+    on = F.lit(True)
+    for c in key:
+        on = F.col(c).eqNullSafe(F.col(f"_b_{c}")) & on
+    rows = df.join(selection.small(written(bounds, "bounds")), on)
     return rows.groupBy(*key).agg(F.try_divide(F.avg(F.when(F.col(value) >= F.col("_q"), F.col(value))), F.avg(value)).alias("ratio"))

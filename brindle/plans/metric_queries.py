@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import tokens as T
 from brindle.operators import metrics as M
+from brindle.operators import selection as SE
 from brindle.plans.base import TOK, query, r, rr, table, trajectories
 
 
@@ -160,3 +161,23 @@ def metrics_flatten(spark, sf):
 @query("metrics_tail_ratio", f"WITH q AS (SELECT *, quantile_cont(value, 0.9) OVER (PARTITION BY event_type) AS q FROM events) SELECT event_type, {rr('avg(CASE WHEN value >= q THEN value END) / avg(value)')} AS ratio FROM q GROUP BY 1")
 def metrics_tail_ratio(spark, sf):
     return _rounded(M.tail_ratio(table(spark, sf, "events"), "value", ["event_type"]))
+
+
+@query("selection_quantiles", "SELECT event_type, unnest([0.25e0, 0.5e0, 0.99e0]) AS share, round(unnest(quantile_cont(value, [0.25, 0.5, 0.99])), 6) + 0e0 AS value FROM events GROUP BY event_type")
+def selection_quantiles(spark, sf):
+    """Small bins, so that refinement has work to do at any size."""
+    return _rounded(SE.quantiles(table(spark, sf, "events"), "value", [0.25, 0.5, 0.99], ["event_type"], bin_rows=64))
+
+
+@query("selection_places", "SELECT l_returnflag, place, value FROM (SELECT l_returnflag, l_quantity AS value, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) - 1 AS place FROM lineitem) WHERE place IN (0, 10, 500, 1000)")
+def selection_places(spark, sf):
+    """Values of many ties at given places of each group."""
+    li = table(spark, sf, "lineitem")
+    places = li.select("l_returnflag").distinct().withColumn("place", F.explode(F.array(*[F.lit(x).cast("long") for x in (0, 10, 500, 1000)])))
+    return SE.at_places(li, "l_quantity", places, ["l_returnflag"], bin_rows=50)
+
+
+@query("selection_first_rows", "SELECT l_orderkey, l_linenumber, l_discount FROM lineitem QUALIFY row_number() OVER (ORDER BY l_discount DESC, l_partkey, l_orderkey, l_linenumber, l_suppkey) <= 1500")
+def selection_first_rows(spark, sf):
+    order = [-F.col("l_discount"), F.col("l_partkey"), F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_suppkey")]
+    return SE.first_rows(table(spark, sf, "lineitem"), order, 1500, bin_rows=100).select("l_orderkey", "l_linenumber", "l_discount")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,6 +24,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: its lineage ends there, and what
+    is read several times is computed once."""
+    path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def with_row_id(df: DataFrame, *keys: Column | str, name: str = "row_id") -> DataFrame:
     """Adds the place of each row in the total order of ``keys``.
 

@@ -1,7 +1,8 @@
-"""Every query with an SQL twin gives the same rows in DuckDB on the smallest tables."""
+"""Every query with an SQL twin gives the same rows in DuckDB, on two sizes of the tables."""
 
 from __future__ import annotations
 
+import functools
 import os
 
 import duckdb
@@ -10,15 +11,15 @@ import pytest
 
 from brindle.plans import catalog
 
-SF = "/root/testdata/sf0.001"
+SIZES = ["/root/testdata/sf0.001", "/root/testdata/sf0.01"]
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-@pytest.fixture(scope="module")
-def duck():
+@functools.cache
+def duck(sf: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for t in TABLES:
-        path = f"{SF}/{t}.parquet"
+        path = f"{sf}/{t}.parquet"
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path}{'/*.parquet' if os.path.isdir(path) else ''}'")
     return con
 
@@ -28,11 +29,12 @@ def rows(df: pd.DataFrame) -> list[str]:
     return sorted(map(repr, df.where(df.notna(), None).itertuples(index=False, name=None)))
 
 
-@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+@pytest.mark.skipif(not os.path.isdir(SIZES[0]), reason="needs the driver's tables")
+@pytest.mark.parametrize("sf", SIZES)
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
-def test_oracle(spark, duck, name):
-    ours = catalog.QUERIES[name](spark, SF).toPandas()
-    theirs = duck.execute(catalog.ORACLES[name]).df()
+def test_oracle(spark, name, sf):
+    ours = catalog.QUERIES[name](spark, sf).toPandas()
+    theirs = duck(sf).execute(catalog.ORACLES[name]).df()
     assert sorted(ours.columns) == sorted(theirs.columns)
     assert rows(ours) == rows(theirs)
 
