@@ -7,14 +7,16 @@ the columns of documents. doc_id is the key of a document.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.llm.bpe import encode_documents
 from brindle.llm.common import maybe_broadcast, release, stage, staged, table
 from brindle.llm.jaccard import join_documents
 from brindle.llm.language import keep_identified, sample, train
-from brindle.llm.mixing import mix
+from brindle.llm.mixing import in_shard_order, mix
 from brindle.llm.pii import redact
 
 
@@ -24,17 +26,34 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_identified(docs, train(*sample(docs)))
 
 
+def row_key(docs: DataFrame, secret: int) -> Column:
+    """A 64-bit number of a row, from all its columns. Texts and other strings go in as
+    digests of 256 bits under a secret of the run, so that no two rows can be written to
+    get one number."""
+    digest = lambda c: F.sha2(F.concat(F.lit(f"{secret} "), F.col(c)).cast("binary"), 256)
+    return F.xxhash64(F.lit(secret), *[x for c, kind in docs.dtypes for x in (digest(c) if kind == "string" else F.col(c), F.col(c).isNull())])
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group that five-word n-gram similarity of 0.75 links: the one of
-    the smallest doc_id, nulls last, and of equal ones the one of the smallest row hash.
-    Rows are told apart by a hash of all columns, not by doc_id: repeated and null
-    doc_ids are rows like others, and of rows equal in all columns one stays. A row
-    without words is linked with nothing and stays, repeated or not."""
-    keyed = docs.withColumn("_row", F.xxhash64(*[x for c in docs.columns for x in (F.col(c), F.col(c).isNull())]))
+    the smallest doc_id, nulls last, and of equal ones the one of the smallest row number.
+    Rows are told apart by all their columns, not by doc_id: repeated and null doc_ids are
+    rows like others, and of rows equal in all columns one stays. A row without words is
+    linked with nothing and stays, repeated or not.
+
+    A row's number is a hash; rows of the same number are compared column by column, and
+    those that differ get numbers of their own."""
+    secret = secrets.randbits(63)
+    keyed = docs.withColumn("_row", row_key(docs, secret))
     twice = stage(keyed.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).groupBy("_row").count().where("count > 1").select("_row"), "twice", few=True)
     if not twice.isEmpty():
         some = maybe_broadcast(twice)
-        once = keyed.join(some, "_row", "left_semi").dropDuplicates(["_row"])
+        # Rows without words stay as they are; of the others one of each value.
+        same = keyed.join(some, "_row", "left_semi")
+        once = stage(same.dropDuplicates([*docs.columns, "_row"]), "values")
+        order = Window.partitionBy("_row").orderBy(*[F.col(c).asc_nulls_first() for c in docs.columns])
+        number = F.row_number().over(order)  # a few different rows that share a hash
+        once = once.withColumn("_k", number).withColumn("_row", F.when(F.col("_k") > 1, F.xxhash64(F.lit(secret), "_row", "_k")).otherwise(F.col("_row"))).drop("_k")
         keyed = stage(keyed.join(some, "_row", "left_anti").unionByName(once), "once")
     linked = join_documents(keyed.select(F.col("_row").alias("doc_id"), "text")).where("n_shingles > 0 AND doc_id != component_id")
     linked = stage(linked.select(F.col("doc_id").alias("_row"), "component_id"), "linked", few=True)
@@ -51,8 +70,9 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, as often as it takes them, in shard order."""
-    return mix(docs).repartitionByRange("mix_shard", "mix_order").sortWithinPartitions("mix_shard", "mix_order").select(*docs.columns)
+    """The documents that the mix takes, as often as it takes them, each block of a shard
+    in order."""
+    return in_shard_order(mix(docs)).select(*docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
