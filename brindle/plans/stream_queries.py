@@ -53,12 +53,12 @@ LEFT = "(consumed + dropped)"
       consumed + (op = 'put' AND waiting > 0 OR op = 'get' AND size > 0)::INT, dropped + (op = 'put' AND waiting = 0 AND size = 4)::INT,
       CASE op WHEN 'put' THEN fresh + 1 WHEN 'version' THEN 0 ELSE fresh END, {LEFT} FROM q JOIN ops ON ops.key = q.key AND ops.i = q.i + 1)
   SELECT q.key, ops.seq, CASE WHEN op = 'put' AND {LEFT} > before THEN CASE WHEN size = 4 THEN 'dropped' ELSE 'got' END WHEN op = 'get' THEN CASE WHEN {LEFT} > before THEN 'got' ELSE 'waits' END ELSE op END AS event,
-    puts.item, size, waiting, produced, consumed, dropped, size >= 4 OR fresh >= 6 AS paused
+    coalesce(puts.item, -1) AS item, size, waiting, produced, consumed, dropped, size >= 4 OR fresh >= 6 AS paused
   FROM q JOIN ops ON ops.key = q.key AND ops.i = q.i LEFT JOIN puts ON puts.key = q.key AND puts.k = {LEFT} AND {LEFT} > before""")
 def stream_queue(spark, sf):
     """Puts, gets and new versions on a queue of each user: what happens at each."""
     rows = lambda s: ST.queue_events(s, "user_id", F.col("event_id"), F.expr(OP), F.col("event_id"), 4, 6)
-    return _appended(spark, sf, rows, "queue")
+    return _appended(spark, sf, rows, "queue").na.fill(-1, ["item"])
 
 
 SAMPLE = "CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_type || event_id % 2 END"
