@@ -17,8 +17,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from brindle.functions.grading import olympiad
-from brindle.functions.latex import _balanced, final_answer, last_boxed, plain_latex
+from brindle.functions.grading import boxed_equal, contest, olympiad, verified
 
 CLIP = 300
 
@@ -65,29 +64,6 @@ def question_answer(solution: Column, targets: Column, part: bool = False, score
     return F.when(F.size(found) < 1, 0.0).when(hit & many, score / 4).when(hit, score).otherwise(format_score)
 
 
-def boxed_equal(solution: str | None, truth: str | None) -> float:
-    answer = last_boxed(solution) if solution is not None else None
-    if answer is None or truth is None:
-        return 0.0
-    return float(plain_latex(answer) == plain_latex(truth))
-
-
-def contest(solution: str | None, truth: str | None, strict_box: bool = False) -> tuple[float, bool, str | None]:
-    """(score +1 or -1, right, prediction) of the last "Answer:" line, or, strictly, of
-    the last box in the last 100 characters."""
-    solution, truth = (solution or "")[-CLIP:], truth or ""
-    if strict_box:
-        at = solution[-100:].rfind("\\boxed{")
-        whole = _balanced(solution[-100:], at) if at >= 0 else None
-        pred = whole[7:-1] if whole else None
-        right = pred == truth
-    else:
-        found = re.findall(r"(?i)Answer\s*:\s*([^\n]+)", solution)
-        pred = final_answer(found[-1] if found else "[INVALID]")
-        right = pred == final_answer(truth)
-    return (1.0 if right else -1.0), right, pred
-
-
 @F.pandas_udf(DoubleType())
 def math_score(solution: pd.Series, truth: pd.Series) -> pd.Series:
     return pd.Series([boxed_equal(s, t) for s, t in zip(solution, truth)], dtype=float)
@@ -104,6 +80,12 @@ def geometry_score(solution: pd.Series, truth: pd.Series) -> pd.Series:
     return pd.Series([geometry(s, t) for s, t in zip(solution, truth)], dtype=float)
 
 
+@F.pandas_udf(DoubleType())
+def verified_score(solution: pd.Series, truth: pd.Series) -> pd.Series:
+    """1 where the last formula is exactly the truth's."""
+    return pd.Series([verified(s, t) for s, t in zip(solution, truth)], dtype=float)
+
+
 @F.pandas_udf(DoubleType())
 def olympiad_score(solution: pd.Series, truth: pd.Series) -> pd.Series:
     return pd.Series([olympiad(s, t) for s, t in zip(solution, truth)], dtype=float)

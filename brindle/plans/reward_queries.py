@@ -4,7 +4,9 @@ named settings and dataset readers over the driver's tables."""
 from __future__ import annotations
 
 import math
+from string import Formatter
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from brindle.functions import scoring as S
@@ -38,6 +40,37 @@ def score_olympiad(spark, sf):
     return e.select("event_id", S.olympiad_score(said, n.cast("string")).alias("score"))
 
 
+# A right and a wrong answer for each form of formula, with the truth, of numbers n and m.
+FORMULAS = [
+    ("\\frac{{{n}}}{{{m}}}", "\\frac{{{n}}}{{{k}}}", "{n}/{m}"), ("\\sqrt{{{n}}}\\cdot\\sqrt{{{m}}}", "\\sqrt{{{n}}}+\\sqrt{{{m}}}", "\\sqrt{{{nm}}}"), ("(x+{n})^2", "(x-{n})^2", "x^2+{n}x+{n}x+{n}^2"),
+    ("\\begin{{pmatrix}} {n} & {m} \\\\ 0 & \\frac{{2}}{{2}} \\end{{pmatrix}}", "\\begin{{pmatrix}} {n} & {k} \\\\ 0 & 1 \\end{{pmatrix}}", "\\begin{{pmatrix}}{n}&{m}\\\\0&1\\end{{pmatrix}}"),
+    ("y={n}x+{m}", "y={n}x-{m}", "{n}x-y+{m}=0"), ("\\{{{n}, {m}\\}}", "\\{{{n}, {k}\\}}", "\\{{{m}, {n}\\}}"), ("[{n},\\infty)", "({n},\\infty)", "[{n}, \\infty)"), ("\\frac{{1}}{{\\sqrt{{{m}}}}}", "\\frac{{{m}}}{{\\sqrt{{{m}}}}}", "\\frac{{\\sqrt{{{m}}}}}{{{m}}}"),
+    ("{n}\\pi r", "{n}r", "r\\cdot {n}\\pi"), ("{n}^{{2}}\\cdot {n}^{{-1}}", "{n}^{{3}}+{n}^{{2}}", "{n}"), ("x \\le {n}", "x < {n}", "x \\leq {n}"), ("\\frac{{x^2-{n}^2}}{{x-{n}}}", "\\frac{{x^2+{n}^2}}{{x-{n}}}", "x+{n}"),
+]
+
+
+def _formula(template: str) -> Column:
+    """A template's text with n = user_id + 2, m = 7, k = 8 and nm = 7 n put in."""
+    n = F.col("user_id") + 2
+    number = {"n": n, "m": F.lit(7), "k": F.lit(8), "nm": n * 7}
+    parts = [(F.lit(text), number[field].cast("string") if field else F.lit("")) for text, field, *_ in Formatter().parse(template)]
+    return F.concat(*[c for pair in parts for c in pair])
+
+
+@query("score_formulas", f"SELECT event_id, event_id % 2 = 0 AS stated, event_id % 2 = 0 AS verified, event_id % {len(FORMULAS)} AS form FROM events")
+def score_formulas(spark, sf):
+    """Right answers of even events and near misses of odd ones, in each form."""
+    e = table(spark, sf, "events")
+    form = F.col("event_id") % len(FORMULAS)
+    said = truth = F.lit("")
+    for i, (right, wrong, true) in enumerate(FORMULAS):
+        said = F.when(form == i, F.when(F.col("event_id") % 2 == 0, _formula(right)).otherwise(_formula(wrong))).otherwise(said)
+        truth = F.when(form == i, _formula(true)).otherwise(truth)
+    boxed = F.concat(F.lit("So it is \\boxed{"), said, F.lit("}"))
+    rows = e.select("event_id", S.olympiad_score(boxed, truth).alias("s"), S.verified_score(boxed, truth).alias("v"), form.alias("form"))
+    return rows.select("event_id", (F.col("s") == 1).alias("stated"), (F.col("v") == 1).alias("verified"), "form")
+
+
 SOURCES = ["math", "numina_cn_k12", "searchR1_musique", "searchR1_2wikimultihopqa", "aime2025", "openai/gsm8k", "lighteval/MATH"]
 
 
