@@ -160,12 +160,13 @@ def chunks_of(raw: bytes) -> np.ndarray:
     return np.ndarray((max(0, len(raw) - 7),), dtype="<u8", buffer=raw, strides=(1,))
 
 
-def hash_words(texts: list[bytes], lower: bool = False, key: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def hash_words(texts: list[bytes], lower: bool = False, key: int = 0, separators: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """All words of some texts, at once: (64-bit hashes, first word of each text
     plus the end, starts, ends, the joined bytes and 16 more).
 
     Each 8 bytes go through a finaliser that is a bijection, so words of up to 8 bytes
-    and equal length never collide; longer ones do by chance. A ``key`` that the writer
+    and equal length never collide; longer ones do by chance. ``separators``: which bytes
+    stand between words (the end of a line must be one). A ``key`` that the writer
     of a text can't know keeps collisions from being made on purpose."""
     sizes = np.fromiter((len(t) for t in texts), dtype=np.int64, count=len(texts))
     raw = b"\n".join(texts) + b"\n" + bytes(16)
@@ -174,7 +175,7 @@ def hash_words(texts: list[bytes], lower: bool = False, key: int = 0) -> tuple[n
     data = np.frombuffer(raw, dtype=np.uint8)
     begins = np.zeros(len(texts) + 1, dtype=np.int64)
     np.cumsum(sizes + 1, out=begins[1:])
-    space = _SPACE[data[: len(raw) - 16]]
+    space = separators[data[: len(raw) - 16]]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     if not space[0]:
         edge = np.concatenate(([0], edge))

@@ -1,11 +1,12 @@
 r"""Operator 11: how the term distributions of the sources of a language diverge.
 
 Mergeable radix tries. A task counts the terms of its documents in one byte trie for each
-language: edges are labelled with byte strings, and a leaf holds the number of documents
-and a counter for each source. A traversal in byte order is UTF-8 order and yields the
-leaves as a stream. The streams of all tasks are merged by prefix range: the leaves are
-range-partitioned by (language, term) and sorted, so that neighbours of equal term are one
-leaf, and leaves of enough documents are kept. The kept leaves, again in prefix ranges, are
+language, whose leaf holds the number of documents and a counter for each source. Tries
+are held linearised: the leaves in byte order, which is UTF-8 order, so that two merge as
+sorted arrays and a traversal is a stream. Slices of text are counted by arrays (terms are
+compared by their bytes), then merged. The streams of all tasks are merged by prefix range:
+the leaves are range-partitioned by (language, term) and sorted, so that neighbours of equal
+term are one leaf, and leaves of enough documents are kept. The kept leaves, again in prefix ranges, are
 traversed once more against the totals of their language: each range sums the differences
 of all pairs of sources, and holds the first TOP terms of each group; as terms come in
 UTF-8 order, a stable choice by value breaks ties as asked. Sums of ranges are added.
@@ -13,9 +14,10 @@ UTF-8 order, a stable choice by value breaks ties as asked. Sums of ranges are a
 All arithmetic is on integers: floor(SCALE * (count + PRIOR) / total) by long division in
 64 bits, or on Python's integers where totals are too large for that.
 
-Bounds: a task holds HELD counters, then writes its tries and starts anew; a merging task
-holds one term's counters; a traversing task one block of BLOCK x BLOCK pairs of sources
-(a language of more sources sends its terms to each pair of blocks) and TOP terms a group.
+Bounds: a task holds HELD counters, then writes its tries and starts anew (a single text is
+a slice of its own); a merging task holds one term's counters; a traversing task one block
+of BLOCK x BLOCK pairs of sources (a language of more sources sends its terms to each pair
+of blocks) and TOP terms a group.
 What travels for each language are its sources and totals, once for each range. The result
 itself has all pairs of sources, so it grows with their square.
 
@@ -26,10 +28,7 @@ term has value 0 for all pairs, ranked by name. No documents give no rows.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
-from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -37,137 +36,132 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import SLICE_BYTES, byte_list, map_batches, slices, stage, table
+from brindle.llm.common import byte_list, hash_words, map_batches, slices, stage, table, word_ids
 
 #: Documents of a language that have a kept term, and terms listed for each group.
 LEAST_DOCS, TOP = 30, 50
 SCALE, PRIOR = 10**9, 5
 #: Counters that a task holds before it writes its tries.
-HELD = 1 << 18
-#: Kept terms of a range, and sources of a block, in the second traversal.
-RANGE_TERMS, BLOCK = 4096, 1024
+HELD = 1 << 21
+#: Sources of a block in the second traversal.
+BLOCK = 1024
 
-#: Bytes of a term: all but ASCII characters that are no letters.
-_TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
-_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+#: Bytes that separate terms: all ASCII characters that are no letters.
+_BETWEEN = np.zeros(256, dtype=bool)
+_BETWEEN[[b for b in range(128) if not chr(b).isalpha()]] = True
 _LEAVES = "lang string, term string, docs long, sources array<string>, counts array<long>"
 
 
-class Trie:
-    """A radix trie over bytes. A node is [label, children by first byte, leaf]; a leaf is a
-    counter by source, with the documents under None."""
+class Tries:
+    """One radix trie for each language, linearised: leaves are held in byte order, each with
+    its term, its documents and a counter for each source. What is added stays apart until
+    ``leaves``, which merges it: equal terms are one leaf, whose counters are added."""
 
     def __init__(self) -> None:
-        self.root: list = [b"", {}, None]
-
-    def leaf(self, term: bytes) -> dict:
-        """The leaf of a term, made if it isn't there."""
-        node, at = self.root, 0
-        while at < len(term):
-            kids = node[1]
-            child = kids.get(term[at])
-            if child is None:
-                child = kids[term[at]] = [term[at:], {}, None]
-            label = child[0]
-            if not term.startswith(label, at):
-                same = 1
-                while at + same < len(term) and term[at + same] == label[same]:
-                    same += 1
-                # The edge is cut where the term leaves it.
-                upper = [label[:same], {label[same]: child}, None]
-                child[0] = label[same:]
-                kids[term[at]] = child = upper
-            at += len(child[0])
-            node = child
-        if node[2] is None:
-            node[2] = {}
-        return node[2]
-
-    def add(self, counts: dict, source: str | None) -> None:
-        """Add the counts of terms to the counters of a source (None: of documents)."""
-        for term, n in counts.items():
-            leaf = self.leaf(term)
-            leaf[source] = leaf.get(source, 0) + n
-
-    def merge(self, other: Trie) -> None:
-        """Add all counters of another trie."""
-        for term, counts in other.walk():
-            leaf = self.leaf(term)
-            for source, n in counts.items():
-                leaf[source] = leaf.get(source, 0) + n
-
-    def walk(self) -> Iterator[tuple[bytes, dict]]:
-        """Terms and leaves in byte order."""
-        todo = [(b"", self.root)]
-        while todo:
-            prefix, node = todo.pop()
-            term = prefix + node[0]
-            if node[2] is not None:
-                yield term, node[2]
-            todo += [(term, node[1][k]) for k in sorted(node[1], reverse=True)]
-
-
-def terms_of(text: bytes) -> Iterator[list[bytes]]:
-    """The terms of a text, in lists of bounded size."""
-    text = text.translate(_LOWER)
-    if len(text) <= SLICE_BYTES:
-        yield _TERM.findall(text)
-    else:
-        yield from map(list, batched((m.group() for m in _TERM.finditer(text)), 1 << 16))
-
-
-def _leaf_rows(lang: str, leaves: Iterator[tuple[bytes, dict]]) -> Iterator[pa.RecordBatch]:
-    for some in batched(leaves, 1 << 14):
-        docs = [c.get(None, 0) for _, c in some]
-        sources = [[s for s in c if s is not None] for _, c in some]
-        counts = [[c[s] for s in own] for (_, c), own in zip(some, sources)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([lang] * len(some), pa.string()), pa.array([t for t, _ in some], pa.binary()).cast(pa.string()), pa.array(docs, pa.int64()), pa.array(sources, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int64()))],
-            ["lang", "term", "docs", "sources", "counts"],
-        )
+        self.groups: dict[tuple[str, str], int] = {}
+        self.langs: dict[str, int] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.terms: list[pa.Array] = []
+        self.docs: list[np.ndarray] = []  # place of the term, language, documents
+        self.counts: list[np.ndarray] = []  # place of the term, group, count
+        self.n_terms = self.held = 0
+
+    def add(self, texts: list[bytes], langs: list[str], sources: list[str]) -> None:
+        """Count the terms of some texts."""
+        h, firsts, starts, ends, data = hash_words(texts, lower=True, separators=_BETWEEN)
+        if not len(h):
+            return
+        word = word_ids(h, starts, ends, data)
+        _, example, word = np.unique(word, return_index=True, return_inverse=True)
+        n = len(example)
+        doc = np.repeat(np.arange(len(texts)), np.diff(firsts))
+        group = np.array([self.groups.setdefault(x, len(self.groups)) for x in zip(langs, sources)])
+        lang = np.array([self.langs.setdefault(x, len(self.langs)) for x in langs])
+        once = np.unique(doc * n + word)
+        self._count(self.docs, lang[once // n], once % n, n)
+        self._count(self.counts, group[doc], word, n)
+        raw = data.tobytes()
+        self.terms.append(pa.array([raw[i:j] for i, j in zip(starts[example].tolist(), ends[example].tolist())], pa.binary()))
+        self.n_terms += n
+
+    def _count(self, into: list[np.ndarray], owner: np.ndarray, word: np.ndarray, n: int) -> None:
+        pair, count = np.unique(owner * n + word, return_counts=True)
+        into.append(np.stack([self.n_terms + pair % n, pair // n, count]))
+        self.held += len(pair)
+
+    def merge(self, other: Tries) -> None:
+        """Add all counters of another set of tries."""
+        group = np.array([self.groups.setdefault(x, len(self.groups)) for x in other.groups], dtype=np.int64)
+        lang = np.array([self.langs.setdefault(x, len(self.langs)) for x in other.langs], dtype=np.int64)
+        self.docs += [np.stack([p + self.n_terms, lang[o], c]) for p, o, c in other.docs]
+        self.counts += [np.stack([p + self.n_terms, group[o], c]) for p, o, c in other.counts]
+        self.terms += other.terms
+        self.n_terms += other.n_terms
+        self.held += other.held
+
+    def leaves(self) -> Iterator[pa.RecordBatch]:
+        """The leaves of all tries, by language in byte order (_LEAVES), in batches."""
+        if not self.n_terms:
+            return
+        coded = pa.concat_arrays(self.terms).dictionary_encode()
+        order = pc.sort_indices(coded.dictionary).to_numpy()
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        place, width = rank[coded.indices.to_numpy()], len(order)
+        lang_of = np.array([self.langs[lang] for lang, _ in self.groups])
+        # Leaves are numbered by language and place; a counter has a group besides.
+        word, lang, n = np.concatenate(self.docs, axis=1)
+        leaf, docs = _summed(lang * width + place[word], n)
+        word, group, n = np.concatenate(self.counts, axis=1)
+        counter, counts = _summed((lang_of[group] * width + place[word]) * len(lang_of) + group, n)
+        lengths = np.bincount(np.searchsorted(leaf, counter // len(lang_of)), minlength=len(leaf))
+        names = pa.array([lang for lang, _ in sorted(self.langs.items(), key=lambda x: x[1])], pa.string())
+        sources = pa.array([source for _, source in self.groups], pa.string())
+        ends = np.concatenate(([0], np.cumsum(lengths)))
+        for a in range(0, len(leaf), 1 << 16):
+            some = leaf[a : a + (1 << 16)]
+            b = slice(ends[a], ends[a + len(some)])
+            offsets = pa.array(ends[a : a + len(some) + 1] - ends[a], pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [names.take(pa.array(some // width)), coded.dictionary.take(pa.array(order[some % width])).cast(pa.string()), pa.array(docs[a : a + len(some)]),
+                 pa.ListArray.from_arrays(offsets, sources.take(pa.array(counter[b] % len(lang_of)))), pa.ListArray.from_arrays(offsets, pa.array(counts[b]))],
+                ["lang", "term", "docs", "sources", "counts"],
+            )
+
+
+def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sums of n by them."""
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    return key[first], np.add.reduceat(n, first)
 
 
 def leaves(docs: DataFrame, held: int = HELD) -> DataFrame:
     """The leaves of each task's tries: lang, term, docs, sources, counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tries: dict[str, Trie] = {}
-        seen: dict[tuple[str, str | None], Counter] = {}
-        planted = 0
-
-        def plant() -> int:
-            n = 0
-            for (lang, source), counts in seen.items():
-                tries.setdefault(lang, Trie()).add(counts, source)
-                n += len(counts)
-            seen.clear()
-            return n
-
-        def write() -> Iterator[pa.RecordBatch]:
-            for lang in sorted(tries):
-                yield from _leaf_rows(lang, tries[lang].walk())
-            tries.clear()
-
+        tries = Tries()
         for whole in batches:
             for part in slices(whole):
-                langs, sources = part.column("lang").to_pylist(), part.column("source").to_pylist()
-                for text, lang, source in zip(byte_list(part), langs, sources):
-                    own, once = seen.setdefault((lang, source), Counter()), set()
-                    for terms in terms_of(text):
-                        own.update(terms)
-                        once.update(terms)
-                    seen.setdefault((lang, None), Counter()).update(once)
-                if sum(map(len, seen.values())) >= held:
-                    planted += plant()
-                    if planted >= held:
-                        yield from write()
-                        planted = 0
-        plant()
-        yield from write()
+                tries.add(byte_list(part), part.column("lang").to_pylist(), part.column("source").to_pylist())
+                if tries.held >= held:
+                    yield from tries.leaves()
+                    tries = Tries()
+        yield from tries.leaves()
 
     return map_batches(docs, run, _LEAVES)
 
 
+def _leaf_rows(lang: str, found: list[tuple[str, int, dict[str, int]]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([lang] * len(found), pa.string()), pa.array([t for t, _, _ in found], pa.string()), pa.array([n for _, n, _ in found], pa.int64()), pa.array([list(c) for _, _, c in found], pa.list_(pa.string())), pa.array([list(c.values()) for _, _, c in found], pa.list_(pa.int64()))],
+        ["lang", "term", "docs", "sources", "counts"],
+    )
+
+
 def _sum_counters(sources: pa.Array, counts: pa.Array, into: dict[str, int]) -> None:
     for s, n in zip(sources.to_pylist(), counts.to_pylist()):
         into[s] = into.get(s, 0) + n
@@ -195,14 +189,14 @@ def kept_leaves(rows: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
                 this = (langs[a].as_py(), terms[a].as_py())
                 if this != name:
                     if name is not None and docs >= least:
-                        out.setdefault(name[0], []).append((name[1].encode(), counters | {None: docs}))
+                        out.setdefault(name[0], []).append((name[1], docs, counters))
                     name, docs, counters = this, 0, {}
                 docs += int(total[k])
                 _sum_counters(batch.column("sources").slice(a, b - a).flatten(), batch.column("counts").slice(a, b - a).flatten(), counters)
             for lang, found in out.items():
-                yield from _leaf_rows(lang, iter(found))
+                yield _leaf_rows(lang, found)
         if name is not None and docs >= least:
-            yield from _leaf_rows(name[0], iter([(name[1].encode(), counters | {None: docs})]))
+            yield _leaf_rows(name[0], [(name[1], docs, counters)])
 
     # The ranges are of prefixes: leaves of a common prefix lie in one, or in neighbours.
     return map_batches(rows.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term"), run, _LEAVES)
@@ -286,12 +280,10 @@ class _Range:
             yield batch("term", self.names.take(pa.array(s + left[0])), self.terms.take(pa.array(t)), v)
 
 
-def _traverse(kept: DataFrame, langs: DataFrame, top: int, range_terms: int, block: int) -> DataFrame:
+def _traverse(kept: DataFrame, langs: DataFrame, top: int, block: int) -> DataFrame:
     """lang, source, part, item, value: of each prefix range and pair of blocks the sums of
-    the pairs and the first terms. langs: lang, names, totals, n_terms."""
-    many = max(1, -(-kept.count() // range_terms))
-    # The number of a range is written, so that a repeated task can't give another.
-    kept = stage(kept.repartitionByRange(many, "lang", "term").withColumn("part", F.spark_partition_id()), "ranges", few=True)
+    the pairs and the first terms. kept: rows of kept_leaves with part, the task that wrote
+    them; langs: lang, names, totals, n_terms."""
     blocks = F.ceil(F.size("names") / block).cast("int")
     pairs = F.flatten(F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: F.transform(F.sequence(i, blocks - 1), lambda j: F.struct(i.alias("i"), j.alias("j")))))
     meets = langs.select("lang", F.explode(pairs).alias("x")).select("lang", "x.i", "x.j")
@@ -325,12 +317,14 @@ def _traverse(kept: DataFrame, langs: DataFrame, top: int, range_terms: int, blo
     return map_batches(rows, run, "lang string, source string, part string, item string, value long")
 
 
-def audit(docs: DataFrame, least: int = LEAST_DOCS, top: int = TOP, held: int = HELD, range_terms: int = RANGE_TERMS, block: int = BLOCK) -> DataFrame:
-    """lang, source, part, item, value, rank. ``held``, ``range_terms`` and ``block`` (what
-    tasks hold) don't change the result."""
+def audit(docs: DataFrame, least: int = LEAST_DOCS, top: int = TOP, held: int = HELD, block: int = BLOCK) -> DataFrame:
+    """lang, source, part, item, value, rank. ``held`` and ``block`` (what tasks hold)
+    don't change the result."""
     rows = docs.select(*[F.coalesce(docs[c].cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")])
     groups = stage(rows.select("lang", "source").distinct(), "groups", few=True)
-    kept = stage(kept_leaves(stage(leaves(rows, held), "leaves"), least), "kept", few=True)
+    # The number of the task that writes it, which has prefix ranges, stays with a leaf.
+    kept = kept_leaves(stage(leaves(rows, held), "leaves"), least).coalesce(2 * docs.sparkSession.sparkContext.defaultParallelism)
+    kept = stage(kept.withColumn("part", F.spark_partition_id()), "kept")
     each = kept.select("lang", F.explode(F.arrays_zip("sources", "counts")).alias("x"))
     counted = each.groupBy("lang", F.col("x.sources").alias("source")).agg(F.sum("x.counts").alias("total"))
     counted = groups.join(counted, ["lang", "source"], "left").na.fill(0, ["total"])
@@ -338,16 +332,19 @@ def audit(docs: DataFrame, least: int = LEAST_DOCS, top: int = TOP, held: int =
     named = counted.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("source", "total"))).alias("x"))
     named = named.select("lang", F.col("x.source").alias("names"), F.col("x.total").alias("totals"))
     langs = stage(named.join(kept.groupBy("lang").agg(F.count("*").alias("n_terms")), "lang"), "langs", few=True)
-    found = _traverse(kept, langs, top, range_terms, block)
+    found = stage(_traverse(kept, langs, top, block), "sums", few=True)
     # Languages without kept terms.
     bare = groups.join(langs.select("lang"), "lang", "left_anti")
     zero = bare.join(bare.withColumnRenamed("source", "item"), "lang").where("source != item")
     zero = zero.select("lang", "source", F.lit("pair").alias("part"), "item", F.lit(0).cast("long").alias("value"))
     # A pair has a sum from each range; a term is in one range only.
-    found = found.unionByName(zero).groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
-    order = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")
-    ranked = found.withColumn("rank", F.row_number().over(order))
-    return ranked.where((F.col("part") == "pair") | (F.col("rank") <= top))
+    key = ["lang", "source", "part", "item"]
+    pairs = found.where("part = 'pair'").unionByName(zero).groupBy(*key).agg(F.sum("value").alias("value"))
+    order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
+    ranked = lambda rows: rows.withColumn("rank", F.row_number().over(order))
+    # By rank alone, so that ranges send TOP terms of a group at most.
+    terms = ranked(found.where("part = 'term'").select(*key, "value")).where(F.col("rank") <= top)
+    return ranked(pairs).unionByName(terms)
 
 
 def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,7 +74,7 @@ def test_audit_by_exact_counts(spark, rows):
     got = sorted(tuple(r) for r in DV.audit(docs).select("lang", "source", "part", "item", "value", "rank").collect())
     assert got == want
     # Small bounds of what tasks hold: the same rows.
-    got = sorted(tuple(r) for r in DV.audit(docs, held=50, range_terms=7, block=8).select("lang", "source", "part", "item", "value", "rank").collect())
+    got = sorted(tuple(r) for r in DV.audit(docs, held=50, block=8).select("lang", "source", "part", "item", "value", "rank").collect())
     assert got == want
 
 
@@ -95,17 +95,26 @@ def test_audit_of_no_rows_and_clashing_columns(spark, rows):
 
 def test_tries_merge_and_walk_in_byte_order():
     rng = random.Random(2)
-    terms = {bytes(rng.choices([0xC3, 0xA4, 97, 98, 255], k=rng.randint(1, 6))) for _ in range(300)} | {b"a", b"ab", b"abc"}
-    one, two, want = DV.Trie(), DV.Trie(), defaultdict(Counter)
-    for t in sorted(terms, key=lambda _: rng.random()):
-        for trie in (one, two):
-            counts = {t: rng.randint(1, 9)}
-            source = rng.choice(["x", "y", None])
-            trie.add(counts, source)
-            want[t][source] += counts[t]
+    words = ["a", "ab", "abc", "ä", "äb", "日本", "Ab", "zz"] + ["".join(rng.choices("abäß日", k=rng.randint(1, 6))) for _ in range(200)]
+    one, two, rows = DV.Tries(), DV.Tries(), []
+    for k in range(60):
+        some = [(" ".join(rng.choices(words, k=rng.randint(0, 30))), rng.choice(["x", "y", ""]), rng.choice("pqr")) for _ in range(3)]
+        rows += some
+        (one if k % 2 else two).add([t.encode() for t, _, _ in some], [x for _, x, _ in some], [s for _, _, s in some])
     one.merge(two)
-    found = list(one.walk())
-    assert [t for t, _ in found] == sorted(terms) and all(Counter(leaf) == want[t] for t, leaf in found)
+    found = [r for batch in one.leaves() for r in batch.to_pylist()]
+    docs, counts = defaultdict(int), defaultdict(Counter)
+    for text, lang, source in rows:
+        terms = TERM.findall(text.translate(LOWER))
+        for t in set(terms):
+            docs[lang, t] += 1
+        for t in terms:
+            counts[lang, t][source] += 1
+    assert {(r["lang"], r["term"]): r["docs"] for r in found} == docs
+    assert {(r["lang"], r["term"]): dict(zip(r["sources"], r["counts"])) for r in found} == counts
+    for lang in "xy":
+        terms = [r["term"].encode() for r in found if r["lang"] == lang]
+        assert terms == sorted(terms)
 
 
 def test_shares_are_exact():
