@@ -53,6 +53,24 @@ def gather(df: DataFrame, idx: DataFrame) -> DataFrame:
     return idx.join(df, "row_id").drop("row_id").withColumnRenamed("pos", "row_id")
 
 
+def row_at(df: DataFrame, index: int, n_rows: int) -> DataFrame:
+    """The row of one index; a negative one counts from the end, one outside raises."""
+    if not -n_rows <= index < n_rows:
+        raise IndexError(f"row {index} of {n_rows}")
+    return df.where(F.col("row_id") == index % n_rows).withColumn("row_id", F.lit(0).cast("long"))
+
+
+def python_slice(df: DataFrame, part: slice, n_rows: int) -> DataFrame:
+    """Rows of a slice as of a list: negative bounds count from the end, and a negative step
+    goes backwards."""
+    at = range(*part.indices(n_rows))
+    if not at:
+        return df.where("false")
+    low, high = min(at[0], at[-1]), max(at[0], at[-1])
+    inside = (F.col("row_id") >= low) & (F.col("row_id") <= high) & (F.pmod(F.col("row_id") - at.start, F.lit(abs(at.step))) == 0)
+    return df.where(inside).withColumn("row_id", ((F.col("row_id") - at.start) / at.step).cast("long"))
+
+
 def slice_rows(df: DataFrame, start: int = 0, end: int | None = None, step: int = 1) -> DataFrame:
     where = F.col("row_id") >= start
     if end is not None:

@@ -12,7 +12,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, MapType, StringType, StructField, StructType
 
 from brindle.functions import tokens as T
 from brindle.sources.order import with_row_id
@@ -72,7 +72,24 @@ def overlong(df: DataFrame, score: str, mask: str, longest: int, buffer: int, fa
     return df.withColumns({"overlong_reward": penalty, "rewards": on_last_token(F.col(score) + penalty, mask)})
 
 
-MANAGERS: dict[str, Callable[..., DataFrame]] = {"naive": naive, "batch": naive, "prime": naive, "dapo": overlong}
+def by_dimension(df: DataFrame, score: str, mask: str, sequence: tuple[str, str] | None = None) -> DataFrame:
+    """``score`` is a map of named rewards, with their whole under "score", or a number. Adds
+    rewards (the whole on the last valid token) and info, the map of all named ones (a
+    number's under "acc"), from which each dimension can be normalised on its own.
+    ``sequence``: (sample, order) columns of samples of several sequences, of which only the
+    last one's row stays."""
+    if sequence:
+        sample, order = sequence
+        last = df.groupBy(sample).agg(F.max(order).alias("_last"))
+        df = df.join(last, sample).where(F.col(order) == F.col("_last")).drop("_last")
+    named = isinstance(df.schema[score].dataType, MapType)
+    whole = F.try_element_at(score, F.lit("score")) if named else F.col(score)
+    missing = F.raise_error(F.lit("a map of rewards without score")).cast("double")
+    info = F.col(score) if named else F.create_map(F.lit("acc"), F.col(score).cast("double"))
+    return df.withColumns({"rewards": on_last_token(F.coalesce(whole.cast("double"), missing), mask), "info": info})
+
+
+MANAGERS: dict[str, Callable[..., DataFrame]] = {"naive": naive, "batch": naive, "prime": naive, "dapo": overlong, "gdpo": by_dimension}
 
 
 def register(name: str, manager: Callable[..., DataFrame]) -> None:

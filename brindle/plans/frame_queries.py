@@ -191,3 +191,15 @@ def filter_varied_groups(spark, sf):
 @query("view_search", "SELECT conv_id, turn, role FROM conversations WHERE contains(text, 'the') OR contains(role, 'the')")
 def view_search(spark, sf):
     return B.search(table(spark, sf, "conversations"), "the", ["text", "role"], [F.col("conv_id"), F.col("turn")]).select("conv_id", "turn", "role")
+
+
+@query("batch_row_at", _sql("SELECT 0::BIGINT AS row_id, k, q FROM b WHERE row_id = (SELECT n - 3 FROM n)"))
+def batch_row_at(spark, sf):
+    rows, n = _rows(spark, sf)
+    return B.row_at(rows, -3, n).select("row_id", "k", "q")
+
+
+@query("batch_python_slice", _sql("SELECT ((n - 10 - row_id) // 3)::BIGINT AS row_id, k FROM b, n WHERE row_id <= n - 10 AND row_id > n - 500 AND (n - 10 - row_id) % 3 = 0"))
+def batch_python_slice(spark, sf):
+    rows, n = _rows(spark, sf)
+    return B.python_slice(rows, slice(-10, -500, -3), n).select("row_id", "k")

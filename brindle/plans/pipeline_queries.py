@@ -277,3 +277,50 @@ def stream_replay_buffer(spark, sf):
 def stream_kl_controller(spark, sf):
     e = table(spark, sf, "events").withColumn("n", F.lit(64))
     return Q.adaptive_coefficient(e, "user_id", "event_id", "value", 0.1, 50.0, 10000, "n").select("event_id", r("coefficient", 8).alias("coefficient"))
+
+
+@query("io_steps_indexed", "SELECT event_id, user_id % 4 AS step, row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) - 1 AS place FROM events")
+def io_steps_indexed(spark, sf):
+    """Files of steps in order of event_id, read back with the place of each line."""
+    e = table(spark, sf, "events").select("event_id", (F.col("user_id") % 4).alias("step")).orderBy("event_id")
+    return IO.load_steps(spark, IO.dump_steps(e, IO.scratch(spark, "dump")), "event_id long, step long", index="place").select("event_id", "step", "place")
+
+
+@query("io_first_samples", "SELECT conv_id::VARCHAR AS prompt, turn::VARCHAR AS chosen, role AS rejected FROM (SELECT *, row_number() OVER (ORDER BY conv_id, turn) AS k FROM conversations) WHERE k <= 150")
+def io_first_samples(spark, sf):
+    """The first rows of files in order of their names."""
+    path = IO.scratch(spark, "ordered")
+    c = table(spark, sf, "conversations").select(F.col("conv_id").alias("a"), F.col("turn").alias("b"), F.col("role").alias("c"))
+    c.orderBy("a", "b").write.parquet(f"{path}/p.parquet")
+    return IO.read_preferences(spark, [f"{path}/p.parquet"], ("a", "b", "c"), max_samples=150)
+
+
+@query("io_whole_lists", "WITH l AS (SELECT user_id, list(value ORDER BY event_id) AS v, list(event_id ORDER BY event_id) FILTER (user_id % 2 = 0 OR event_id % 2 = 0) AS i FROM events GROUP BY user_id) SELECT user_id, k - 1 AS place, v[k] AS value, CASE WHEN len(i) = len(v) THEN i[k] ELSE -1 END AS id FROM (SELECT *, unnest(range(1, len(v) + 1)) AS k FROM l)")
+def io_whole_lists(spark, sf):
+    """Lists of a step as rows; one of another length is left out."""
+    e = table(spark, sf, "events")
+    some = F.array_sort(F.collect_list(F.when((F.col("user_id") % 2 == 0) | (F.col("event_id") % 2 == 0), F.col("event_id")))).alias("id")
+    lists = e.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda x: x["value"]).alias("value"), some)
+    rows = IO.whole_lists(lists, "value", ["id"], "user_id")
+    return rows.select("user_id", "place", "value", F.coalesce("id", F.lit(-1)).alias("id"))
+
+
+@query("io_step_repeat", "SELECT event_id, value FROM events WHERE user_id % 3 = 1")
+def io_step_repeat(spark, sf):
+    """Three recorded steps played again and again: the fifth is the second."""
+    cache = IO.StepCache(spark, IO.scratch(spark, "rollouts"))
+    e = table(spark, sf, "events")
+    for step in range(3):
+        cache.record(e.where(F.col("user_id") % 3 == step).select("event_id", "value"), step + 10)
+    return cache.replay(5, repeat=True).select("event_id", "value")
+
+
+@query("io_sized", "SELECT event_id, octet_length(encode('{\"event_id\":' || event_id || ',\"event_type\":\"' || event_type || '\"}')) AS bytes FROM events")
+def io_sized(spark, sf):
+    e = table(spark, sf, "events").select("event_id", "event_type")
+    return e.select("event_id", IO.sized(e).cast("long").alias("bytes"))
+
+
+@query("fn_clip_by_value", "SELECT event_id, greatest(least(value, user_id * 2e0), 20e0) AS clipped FROM events")
+def fn_clip_by_value(spark, sf):
+    return table(spark, sf, "events").select("event_id", T.clip_by_value(F.col("value"), F.lit(20.0), F.col("user_id") * 2.0).alias("clipped"))

@@ -213,13 +213,19 @@ def correction_presets(spark, sf):
     return out
 
 
-@query("metrics_derived", """SELECT * FROM (VALUES ('global_seqlen/max', 9e0), ('global_seqlen/min', 4e0), ('global_seqlen/minmax_diff', 5e0), ('perf/throughput', 12.5e0), ('perf/total_num_tokens', 400e0),
-  ('perf/time_per_step', 8e0), ('timing_s/gen', 6e0), ('timing_s/step', 8e0), ('fully_async/trainer/idle_ratio', 0.75e0)) AS v(key, value)""")
+DERIVED = {"perf/total_num_tokens": "sum(user_id + 1)", "perf/time_per_step": "sum(value)", "timing_s/gen": "sum(value) FILTER (WHERE event_type = 'click')", "timing_s/step": "sum(value)", "global_seqlen/max": "max(user_id)", "global_seqlen/min": "min(user_id)", "global_seqlen/minmax_diff": "max(user_id) * 0", "perf/throughput": "max(user_id) * 0"}
+
+
+@query("metrics_derived", f"""WITH s AS (SELECT event_id // 100 AS step, {", ".join(f'{e} AS "{k}"' for k, e in DERIVED.items())} FROM events GROUP BY 1),
+  a AS (SELECT sum("perf/total_num_tokens") * 1e0 AS tokens, sum("perf/time_per_step") * 1e0 AS seconds, sum("timing_s/gen") * 1e0 AS gen, sum("timing_s/step") * 1e0 AS step, max("global_seqlen/max") * 1e0 AS hi, min("global_seqlen/min") * 1e0 AS lo FROM s)
+  SELECT key, {rr("value")} AS value FROM (SELECT unnest(['perf/total_num_tokens', 'perf/time_per_step', 'timing_s/gen', 'timing_s/step', 'global_seqlen/max', 'global_seqlen/min', 'global_seqlen/minmax_diff', 'perf/throughput', 'fully_async/trainer/idle_ratio']) AS key,
+    unnest([tokens, seconds, gen, step, hi, lo, hi - lo, tokens / (seconds * 4), gen / step]) AS value FROM a)""")
 def metrics_derived(spark, sf):
-    """Two steps of figures, some of which follow from others at the end."""
-    rows = [("global_seqlen/max", (9, 7)), ("global_seqlen/min", (5, 4)), ("global_seqlen/minmax_diff", (4, 3)), ("perf/throughput", (1, 2)), ("perf/total_num_tokens", (150, 250)), ("perf/time_per_step", (3, 5)), ("timing_s/gen", (2, 4)), ("timing_s/step", (3, 5))]
-    steps = spark.createDataFrame([(s, k, float(v[s]), 1.0) for k, v in rows for s in (0, 1)], "step int, key string, value double, weight double")
-    return M.derived_metrics(M.aggregate_steps(steps), gpus=4)
+    """Figures of steps of 100 events, some of which follow from others at the end."""
+    e = table(spark, sf, "events")
+    steps = e.groupBy(F.expr("event_id div 100").alias("step")).agg(*[F.expr(x).cast("double").alias(k) for k, x in DERIVED.items()])
+    rows = steps.select("step", F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(f"`{k}`").alias("value")) for k in DERIVED])).alias("x"), F.lit(1.0).alias("weight")).select("step", "x.key", "x.value", "weight")
+    return M.derived_metrics(M.aggregate_steps(rows.where("value IS NOT NULL")), gpus=4).select("key", r("value").alias("value"))
 
 
 @query("io_chats", "SELECT conv_id, count(*) AS n, first(role ORDER BY turn) AS first_role, conv_id % 2 = 0 AS enable_thinking FROM conversations GROUP BY conv_id")
@@ -254,3 +260,14 @@ def text_call_formats(spark, sf):
 def text_position_ids(spark, sf):
     rows = trajectories(spark, sf).withColumn("p", X.position_ids("m"))
     return rows.select("row_id", F.posexplode("p").alias("i", "x")).select("row_id", (F.col("i") + 1).cast("long").alias("t"), F.col("x").cast("long").alias("pos"))
+
+
+@query("reward_dimensions", f"""WITH {TOK}, x AS (SELECT row_id, t, m, {LAST} AS last FROM tok), s AS (SELECT row_id, max(row_id) OVER (PARTITION BY row_id // 8) AS newest FROM (SELECT DISTINCT row_id FROM tok))
+  SELECT row_id, t, CASE WHEN t = last THEN (row_id % 5) * 1e0 ELSE 0e0 END AS reward, (row_id % 3) * 1e0 AS format FROM x JOIN s USING (row_id) WHERE row_id = newest""")
+def reward_dimensions(spark, sf):
+    """Named rewards of the last sequence of each sample."""
+    rows = trajectories(spark, sf).select("row_id", "m", F.expr("row_id div 8").alias("sample"))
+    score = F.create_map(F.lit("score"), (F.col("row_id") % 5) * 1.0, F.lit("format"), (F.col("row_id") % 3) * 1.0)
+    done = R.manager("gdpo")(rows.withColumn("s", score), "s", "m", sequence=("sample", "row_id"))
+    each = done.select("row_id", F.posexplode("rewards").alias("p", "reward"), F.try_element_at("info", F.lit("format")).alias("format"))
+    return each.select("row_id", (F.col("p") + 1).cast("long").alias("t"), "reward", "format")
