@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from brindle.functions import tokens as T
 from brindle.operators import selection
 from brindle.operators.losses import mean_of
-from brindle.sources.order import written
+from brindle.sources.order import with_place, written
 
 
 def data_metrics(df: DataFrame, critic: bool = True) -> DataFrame:
@@ -141,6 +141,29 @@ def bootstrap(values: np.ndarray, size: int, reduce_fn, n: int = 1000, seed: int
     return float(np.mean(found)), float(np.std(found))
 
 
+def bootstrap_by(df: DataFrame, by: list[str], order: str, value: str, size: int, how: str = "max", draws: int = 1000, seed: int = 42) -> DataFrame:
+    """by.., mean, std of ``how`` (max, min, avg) over seeded draws of ``size`` rows of each
+    group with replacement: the draws of ``bootstrap`` over the group's rows in ``order``.
+    A draw names places of rows, ``draws`` x ``size`` a group however large it is; only these
+    rows are joined, and a group's rows stay spread over tasks."""
+    keys = [f"_k{i}" for i in range(len(by))]
+    placed = written(with_place(df.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], F.col(order).alias("_o"), F.col(value).alias("_v")), keys, "_o", name="_place"), "placed")
+
+    def picks(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = [(*r[:-1], d, int(p)) for r in pdf.itertuples(index=False) for d, row in enumerate(np.random.RandomState(seed).choice(int(r[-1]), size=(draws, size), replace=True)) for p in row]
+        return pd.DataFrame(out, columns=[*keys, "_draw", "_place"])
+
+    kinds = dict(placed.dtypes)
+    groups = placed.groupBy(*keys).agg(F.count("*").alias("_n"))
+    drawn = groups.groupBy(*keys).applyInPandas(picks, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", _draw long, _place long")
+    on = F.col("_place") == F.col("_at")
+    for k in keys:
+        on = F.col(k).eqNullSafe(F.col(f"_r{k}")) & on
+    rows = drawn.join(placed.select(*[F.col(k).alias(f"_r{k}") for k in keys], F.col("_place").alias("_at"), "_v"), on)
+    each = rows.groupBy(*keys, "_draw").agg(getattr(F, how)("_v").alias("_x"))
+    return each.groupBy(*keys).agg(F.avg("_x").alias("mean"), F.stddev_pop("_x").alias("std")).withColumnsRenamed(dict(zip(keys, by)))
+
+
 def drawn_majority(votes: np.ndarray, values: np.ndarray, picks: np.ndarray) -> np.ndarray:
     """For each draw the value of its first row of the most frequent vote; ties to the
     vote seen first in the draw."""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from brindle.functions import tokens as T
@@ -113,13 +112,7 @@ def metrics_validation_means(spark, sf):
 
 @query("metrics_bootstrap", None)
 def metrics_bootstrap(spark, sf):
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("event_id")["value"].to_numpy()
-        mean, std = M.bootstrap(x, 8, lambda a: a.max(axis=1), 200)
-        return pd.DataFrame({"event_type": pdf["event_type"].iloc[:1], "mean": [mean], "std": [std]})
-
-    rows = table(spark, sf, "events").select("event_type", "event_id", "value")
-    return _rounded(rows.groupBy("event_type").applyInPandas(one, "event_type string, mean double, std double"))
+    return _rounded(M.bootstrap_by(table(spark, sf, "events"), ["event_type"], "event_id", "value", 8, draws=200))
 
 
 @query("metrics_section", """SELECT DISTINCT CASE WHEN role = 'user' THEN 'val-core' ELSE 'val-aux' END || '/' || role || '/' || CASE WHEN role = 'user' THEN 'acc' ELSE 'len' END || '/mean@' || (turn % 4) AS name FROM conversations""")

@@ -32,6 +32,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_place(df: DataFrame, by: list[str], *keys: Column | str, name: str = "place", size: str | None = None) -> DataFrame:
+    """Adds the place, from 0, of each row in its group ``by`` in order of ``keys`` (and, as
+    ``size``, the rows of its group). All groups are numbered together over range partitions
+    and a group's first number is taken off, so a group of any size is spread over tasks.
+    Null is a group like others."""
+    rows = with_row_id(df, *by, *keys, name="_at")
+    # The numbers are of sorted rows that are written, so both sides see the same.
+    groups = rows.groupBy(*[F.col(c).alias(f"_g_{c}") for c in by]).agg(F.min("_at").alias("_first"), F.count("*").alias("_size"))
+    on = F.lit(True)
+    for c in by:
+        on = F.col(c).eqNullSafe(F.col(f"_g_{c}")) & on
+    out = rows.join(groups, on).withColumn(name, F.col("_at") - F.col("_first"))
+    return (out.withColumn(size, F.col("_size")) if size else out).drop("_at", "_first", "_size", *[f"_g_{c}" for c in by])
+
+
 def with_row_id(df: DataFrame, *keys: Column | str, name: str = "row_id") -> DataFrame:
     """Adds the place of each row in the total order of ``keys``.
 

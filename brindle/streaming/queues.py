@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from brindle.sources.order import with_place
+
 STATE = "items array<long>, produced long, dropped long"
 REPORT = "key long, produced long, dropped long, size long, oldest long, newest long"
 
@@ -59,9 +61,9 @@ def most_required(required: int, staleness_threshold: float, sync_step: int) ->
 
 def staleness(df: DataFrame, version: str, order: str, required: int, threshold: float, sync_step: int) -> DataFrame:
     """Adds produced (samples of the version so far) and paused (production should have
-    stopped). A version is the group, so a stream of many versions is spread out."""
-    w = Window.partitionBy(version).orderBy(order)
-    rows = df.withColumn("produced", F.row_number().over(w).cast("long"))
+    stopped). Rows of all versions are numbered over range partitions, whatever the size
+    of a version."""
+    rows = with_place(df, [version], order, name="_place").withColumn("produced", (F.col("_place") + 1).cast("long")).drop("_place")
     return rows.withColumn("paused", F.col("produced") > most_required(required, threshold, sync_step))
 
 
@@ -71,9 +73,8 @@ def stale(version: Column, current: Column) -> Column:
 
 def collect_batches(df: DataFrame, group: str, order: str, size: int) -> DataFrame:
     """Adds batch for full batches of ``size`` samples in order; what is over waits."""
-    w = Window.partitionBy(group)
-    rows = df.withColumns({"_at": F.row_number().over(w.orderBy(order)) - 1, "_n": F.count("*").over(w)})
-    return rows.where(F.col("_at") < F.col("_n") - F.col("_n") % size).withColumn("batch", (F.col("_at") / size).cast("long")).drop("_at", "_n")
+    rows = with_place(df, [group], order, name="_place", size="_n")
+    return rows.where(F.col("_place") < F.col("_n") - F.col("_n") % size).withColumn("batch", (F.col("_place") / size).cast("long")).drop("_place", "_n")
 
 
 def replay_buffer(tags: DataFrame, key: list[str], step: str, status: str, order: str) -> DataFrame:

@@ -62,3 +62,16 @@ def test_first_rows_of_hashes_and_large_numbers(spark):
     for order, key in (([F.col("h")], lambda r: r["h"]), ([F.col("near"), F.col("id")], lambda r: (r["near"], r["id"]))):
         got = {r["id"] for r in SE.first_rows(df, order, 1234, bin_rows=11).collect()}
         assert got == {r["id"] for r in sorted(rows, key=key)[:1234]}
+
+
+def test_bootstrap_of_groups(spark):
+    from brindle.operators import metrics as M
+
+    rng = random.Random(2)
+    rows = [(k, i, rng.random()) for k, n in (("a", 300), ("b", 5), (None, 40)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k string, i int, v double").repartition(4)
+    for how, fn in (("max", np.max), ("min", np.min), ("avg", np.mean)):
+        got = {r["k"]: (r["mean"], r["std"]) for r in M.bootstrap_by(df, ["k"], "i", "v", 6, how, 50).collect()}
+        for key in ("a", "b", None):
+            x = np.array([v for k, _, v in rows if k == key])
+            assert got[key] == pytest.approx(M.bootstrap(x, 6, lambda a, fn=fn: fn(a, axis=1), 50))
