@@ -53,6 +53,23 @@ def gather(df: DataFrame, idx: DataFrame) -> DataFrame:
     return idx.join(df, "row_id").drop("row_id").withColumnRenamed("pos", "row_id")
 
 
+def fetch(keys: DataFrame, store: DataFrame, key: str) -> DataFrame:
+    """The payload of each key, in the rows of ``keys``; a key that the store lacks raises,
+    and one that it has twice comes twice."""
+    here = store.withColumn("_there", F.lit(True))
+    missing = F.raise_error(F.concat(F.lit("no payload for key "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast("boolean")
+    rows = keys.join(here, key, "left").withColumn("_there", F.coalesce("_there", missing))
+    return rows.where("_there").drop("_there")
+
+
+def data_info(df: DataFrame) -> DataFrame:
+    """column, kind, rows, nulls and the longest value (elements of an array, characters of
+    a string, else 1; null without values): a row for each column, of one aggregation."""
+    longest = lambda c, kind: F.max(F.size(c)) if kind.startswith("array") else F.max(F.length(c)) if kind == "string" else F.max(F.when(F.col(c).isNotNull(), 1))
+    each = [F.struct(F.lit(c).alias("column"), F.lit(kind).alias("kind"), F.count("*").alias("rows"), F.sum(F.when(F.col(c).isNull(), 1).otherwise(0)).cast("long").alias("nulls"), longest(c, kind).cast("long").alias("longest")) for c, kind in df.dtypes]
+    return df.agg(F.array(*each).alias("x")).select(F.inline("x"))
+
+
 def row_at(df: DataFrame, index: int, n_rows: int) -> DataFrame:
     """The row of one index; a negative one counts from the end, one outside raises."""
     if not -n_rows <= index < n_rows:

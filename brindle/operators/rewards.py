@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, MapType, StringType, StructField, StructType
 
 from brindle.functions import tokens as T
+from brindle.operators.limits import token_bucket
 from brindle.sources.order import with_row_id
 
 #: (source, solution, truth, extra as JSON) -> number, or dict with "score".
@@ -89,7 +90,13 @@ def by_dimension(df: DataFrame, score: str, mask: str, sequence: tuple[str, str]
     return df.withColumns({"rewards": on_last_token(F.coalesce(whole.cast("double"), missing), mask), "info": info})
 
 
-MANAGERS: dict[str, Callable[..., DataFrame]] = {"naive": naive, "batch": naive, "prime": naive, "dapo": overlong, "gdpo": by_dimension}
+def rate_limited(df: DataFrame, score: str, mask: str, arrival: str, tokens: str, rate: float, most: float | None = None, order: list[str] | None = None) -> DataFrame:
+    """As naive, with started and waited: when a limit of ``rate`` tokens a second would have
+    let the request for each row's score through (``limits.token_bucket``)."""
+    return naive(token_bucket(df, arrival, tokens, rate, most, order), score, mask)
+
+
+MANAGERS: dict[str, Callable[..., DataFrame]] = {"naive": naive, "batch": naive, "prime": naive, "dapo": overlong, "gdpo": by_dimension, "rate_limited": rate_limited}
 
 
 def register(name: str, manager: Callable[..., DataFrame]) -> None:

@@ -203,3 +203,17 @@ def batch_row_at(spark, sf):
 def batch_python_slice(spark, sf):
     rows, n = _rows(spark, sf)
     return B.python_slice(rows, slice(-10, -500, -3), n).select("row_id", "k")
+
+
+@query("batch_fetch", "SELECT l_orderkey, l_linenumber, o_totalprice FROM lineitem JOIN orders ON o_orderkey = l_orderkey")
+def batch_fetch(spark, sf):
+    """The payload of each line's order."""
+    store = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_totalprice")
+    return B.fetch(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber"), store, "l_orderkey")
+
+
+@query("batch_data_info", """SELECT unnest(['event_id', 'event_type', 'value']) AS "column", unnest(['bigint', 'string', 'double']) AS kind, unnest([count(*), count(*), count(*)]) AS rows, unnest([count(*) - count(event_id), count(*) - count(event_type), count(*) - count(value)]) AS nulls,
+  unnest([1, max(length(event_type)), 1])::BIGINT AS longest FROM (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_type END AS event_type, CASE WHEN user_id % 3 = 0 THEN NULL ELSE value END AS value FROM events)""")
+def batch_data_info(spark, sf):
+    e = table(spark, sf, "events")
+    return B.data_info(e.select("event_id", F.when(F.col("event_id") % 7 != 0, F.col("event_type")).alias("event_type"), F.when(F.col("user_id") % 3 != 0, F.col("value")).alias("value")))

@@ -134,6 +134,13 @@ def loss_bypass_reinforce(spark, sf):
     return _rounded(L.bypass_mode(_wide(spark, sf), kind="reinforce", rejection={"token_k1": (0.9, 1.3)}))
 
 
+@query("loss_bypass_ppo_clip", _loss_sql(VANILLA, **VANILLA_METRICS).replace(
+    " FROM lineitem)", " FROM lineitem), all_tok AS (SELECT * FROM tok)").replace("FROM tok", "FROM kept").replace("all_tok AS (SELECT * FROM kept)", "kept AS (SELECT * REPLACE (m * CASE WHEN olp - lp BETWEEN ln(0.9e0) AND ln(1.3e0) THEN 1 ELSE 0 END AS m) FROM tok)"))
+def loss_bypass_ppo_clip(spark, sf):
+    """Clipped ratios to the rollout's policy, without weights, on what isn't rejected."""
+    return _rounded(L.bypass_mode(_wide(spark, sf), kind="ppo_clip", rejection={"token_k1": (0.9, 1.3)}))
+
+
 VC = "least(greatest(lp, v - 0.5e0), v + 0.5e0)"
 
 

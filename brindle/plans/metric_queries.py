@@ -174,3 +174,12 @@ def selection_places(spark, sf):
 def selection_first_rows(spark, sf):
     order = [-F.col("l_discount"), F.col("l_partkey"), F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_suppkey")]
     return SE.first_rows(table(spark, sf, "lineitem"), order, 1500, bin_rows=100).select("l_orderkey", "l_linenumber", "l_discount")
+
+
+@query("metrics_validation_exact", f"""WITH u AS (SELECT event_type AS source, user_id, count(*) AS n, avg(value) AS mean, stddev_pop(value) AS std FROM events GROUP BY ALL)
+  SELECT source, metric, {rr("avg(value)")} AS value FROM (SELECT source, 'mean@' || n AS metric, mean AS value FROM u UNION ALL SELECT source, 'std@' || n, std FROM u WHERE n > 1) GROUP BY source, metric""")
+def metrics_validation_exact(spark, sf):
+    """Those figures of ``validation_metrics`` that aren't drawn."""
+    rows = table(spark, sf, "events").selectExpr("event_type AS source", "CAST(user_id AS STRING) AS uid", "event_id AS row_id", "value")
+    found = M.validation_metrics(rows, draws=2)
+    return _rounded(found.where(F.col("metric").startswith("mean@") | F.col("metric").startswith("std@")))

@@ -271,3 +271,14 @@ def reward_dimensions(spark, sf):
     done = R.manager("gdpo")(rows.withColumn("s", score), "s", "m", sequence=("sample", "row_id"))
     each = done.select("row_id", F.posexplode("rewards").alias("p", "reward"), F.try_element_at("info", F.lit("format")).alias("format"))
     return each.select("row_id", (F.col("p") + 1).cast("long").alias("t"), "reward", "format")
+
+
+@query("reward_rate_limited", f"""WITH RECURSIVE {TOK}, q AS (SELECT row_id, row_number() OVER (ORDER BY row_id) AS i, row_id * 0.5e0 AS a, count(*) * 1e0 AS c, sum(m) AS n FROM tok GROUP BY row_id),
+  s AS (SELECT 0::BIGINT AS i, 0::BIGINT AS row_id, 0e0 AS started, -1e300 AS v, 0e0 AS n UNION ALL
+    SELECT q.i, q.row_id, greatest(q.a, greatest(s.v, q.a) - (8 - q.c) / 4e0), greatest(s.v, q.a) + q.c / 4e0, q.n FROM s JOIN q ON q.i = s.i + 1)
+  SELECT row_id, {rr("started")} AS started, CASE WHEN n > 0 THEN 0.5e0 ELSE 0e0 END AS reward FROM s WHERE i > 0""")
+def reward_rate_limited(spark, sf):
+    """Trajectories scored under a limit of four tokens a second."""
+    rows = trajectories(spark, sf).select("row_id", "m", (F.col("row_id") * 0.5).alias("a"), F.size("m").alias("c"), F.lit(0.5).alias("s"))
+    done = R.manager("rate_limited")(rows, "s", "m", "a", "c", 4.0, 8.0, ["row_id"])
+    return done.select("row_id", r("started").alias("started"), T.total(F.col("rewards")).alias("reward"))

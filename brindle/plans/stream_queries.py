@@ -45,22 +45,35 @@ OP = "CASE WHEN event_id % 29 = 0 THEN 'version' WHEN event_id % 5 IN (0, 2) THE
 LEFT = "(consumed + dropped)"
 
 
-@query("stream_queue", f"""WITH RECURSIVE ops AS (SELECT user_id AS key, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, {OP} AS op FROM events),
+def _queue_sql(capacity: int, most: int) -> str:
+    """A replay of all operations. Items leave in the order they came in, so the k-th that
+    leaves is the k-th put."""
+    return f"""WITH RECURSIVE ops AS (SELECT user_id AS key, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, {OP} AS op FROM events),
   puts AS (SELECT key, seq AS item, row_number() OVER (PARTITION BY key ORDER BY seq) AS k FROM ops WHERE op = 'put'),
   q AS (SELECT DISTINCT key, 0::BIGINT AS i, 0::BIGINT AS size, 0::BIGINT AS waiting, 0::BIGINT AS produced, 0::BIGINT AS consumed, 0::BIGINT AS dropped, 0::BIGINT AS fresh, 0::BIGINT AS before FROM ops
-    UNION ALL SELECT q.key, ops.i, CASE WHEN op = 'put' AND waiting = 0 THEN least(size + 1, 4) WHEN op = 'get' AND size > 0 THEN size - 1 ELSE size END,
+    UNION ALL SELECT q.key, ops.i, CASE WHEN op = 'put' AND waiting = 0 THEN least(size + 1, {capacity}) WHEN op = 'get' AND size > 0 THEN size - 1 ELSE size END,
       CASE WHEN op = 'put' AND waiting > 0 THEN waiting - 1 WHEN op = 'get' AND size = 0 THEN waiting + 1 ELSE waiting END, produced + (op = 'put')::INT,
-      consumed + (op = 'put' AND waiting > 0 OR op = 'get' AND size > 0)::INT, dropped + (op = 'put' AND waiting = 0 AND size = 4)::INT,
+      consumed + (op = 'put' AND waiting > 0 OR op = 'get' AND size > 0)::INT, dropped + (op = 'put' AND waiting = 0 AND size = {capacity})::INT,
       CASE op WHEN 'put' THEN fresh + 1 WHEN 'version' THEN 0 ELSE fresh END, {LEFT} FROM q JOIN ops ON ops.key = q.key AND ops.i = q.i + 1)
-  SELECT q.key, ops.seq, CASE WHEN op = 'put' AND {LEFT} > before THEN CASE WHEN size = 4 THEN 'dropped' ELSE 'got' END WHEN op = 'get' THEN CASE WHEN {LEFT} > before THEN 'got' ELSE 'waits' END ELSE op END AS event,
-    coalesce(puts.item, -1) AS item, size, waiting, produced, consumed, dropped, size >= 4 OR fresh >= 6 AS paused
-  FROM q JOIN ops ON ops.key = q.key AND ops.i = q.i LEFT JOIN puts ON puts.key = q.key AND puts.k = {LEFT} AND {LEFT} > before""")
+  SELECT q.key, ops.seq, CASE WHEN op = 'put' AND {LEFT} > before THEN CASE WHEN size = {capacity} THEN 'dropped' ELSE 'got' END WHEN op = 'get' THEN CASE WHEN {LEFT} > before THEN 'got' ELSE 'waits' END ELSE op END AS event,
+    coalesce(puts.item, -1) AS item, size, waiting, produced, consumed, dropped, size >= {capacity} OR fresh >= {most} AS paused
+  FROM q JOIN ops ON ops.key = q.key AND ops.i = q.i LEFT JOIN puts ON puts.key = q.key AND puts.k = {LEFT} AND {LEFT} > before"""
+
+
+@query("stream_queue", _queue_sql(4, 6))
 def stream_queue(spark, sf):
     """Puts, gets and new versions on a queue of each user: what happens at each."""
     rows = lambda s: ST.queue_events(s, "user_id", F.col("event_id"), F.expr(OP), F.col("event_id"), 4, 6)
     return _appended(spark, sf, rows, "queue").na.fill(-1, ["item"])
 
 
+@query("stream_validation_queue", _queue_sql(10**9, 10**9))
+def stream_validation_queue(spark, sf):
+    """The same on a queue without a bound, where nothing is dropped and nothing pauses."""
+    rows = lambda s: ST.queue_events(s, "user_id", F.col("event_id"), F.expr(OP), F.col("event_id"), None)
+    return _appended(spark, sf, rows, "queue").na.fill(-1, ["item"])
+
+
 SAMPLE = "CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_type || event_id % 2 END"
 STATUS = "CASE WHEN event_id % 3 = 0 THEN 'running' WHEN event_id % 4 = 1 THEN 'failed' ELSE 'success' END"
 

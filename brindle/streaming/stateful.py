@@ -48,9 +48,12 @@ class _Queue(StatefulProcessor):
     when full the oldest goes. get: the oldest, else it waits. clear: all go, uncounted.
     close: waiting gets end empty, and so do later ones that find nothing."""
 
-    def __init__(self, capacity: int, most_produced: int | None):
+    def __init__(self, capacity: int | None, most_produced: int | None):
         self.capacity, self.most_produced = capacity, most_produced
 
+    def _full(self, items: list) -> bool:
+        return self.capacity is not None and len(items) >= self.capacity
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.items = handle.getListState("items", "item long")
         self.figures = handle.getValueState("figures", "last long, waiting long, produced long, consumed long, dropped long, fresh long, closed boolean")
@@ -66,7 +69,7 @@ class _Queue(StatefulProcessor):
                 if waiting:
                     waiting, consumed, event, item = waiting - 1, consumed + 1, "got", int(r["item"])
                 else:
-                    if len(items) >= self.capacity:
+                    if self._full(items):
                         dropped, event, item = dropped + 1, "dropped", items.pop(0)
                     items.append(int(r["item"]))
             elif op == "get":
@@ -84,7 +87,7 @@ class _Queue(StatefulProcessor):
                 fresh = 0  # a new version of the parameters: what was made before isn't counted
             else:
                 raise ValueError(f"operation {op}")
-            paused = len(items) >= self.capacity or self.most_produced is not None and fresh >= self.most_produced
+            paused = self._full(items) or self.most_produced is not None and fresh >= self.most_produced
             out.append((key[0], last, event, item, len(items), waiting, produced, consumed, dropped, paused))
         if items:
             self.items.put([(x,) for x in items])
@@ -100,13 +103,14 @@ class _Queue(StatefulProcessor):
         pass
 
 
-def queue_events(stream: DataFrame, key: str, seq: Column, op: Column, item: Column, capacity: int, most_produced: int | None = None) -> DataFrame:
+def queue_events(stream: DataFrame, key: str, seq: Column, op: Column, item: Column, capacity: int | None, most_produced: int | None = None) -> DataFrame:
     """A row for each operation on the queue of a key: what happened (put, got, dropped,
     waits, ended, clear, close, version), the item that left, and the queue after it.
 
     ``paused`` asks producers to stop: the queue is full, or since the last "version"
     as many items as ``most_produced`` came. A queue is at most ``capacity`` items and six
-    numbers of state."""
+    numbers of state; without a capacity (a queue of validation results) it holds all that
+    wasn't got yet."""
     _session(stream.sparkSession)
     rows = stream.select(F.col(key).alias("key"), seq.cast("long").alias("seq"), op.alias("op"), F.coalesce(item.cast("long"), F.lit(0)).alias("item"))
     schema = QUEUE_SCHEMA.format(key=rows.schema["key"].dataType.simpleString())
