@@ -13,8 +13,8 @@ run at a smaller lag, and is left to it.
 Work: all lags of n words take about n log n probes; a text whose probes all agree by
 chance costs the n^2 / (2 min_exp) comparisons of the plain scan. A text of more than
 min_exp * LAGS words is dealt over the machines by ranges of lags, each a row of its own,
-at most RANGES of them; its runs meet again in one row. All other texts stay where they
-are read: nothing shuffles.
+at most RANGES of them; its runs meet again in one row. All other texts are done where
+they are read: nothing of them shuffles.
 
 Nulls and texts without words have no words and no runs. Rows of equal or null doc_id are
 rows of their own. Other columns are not looked at. No rows give no rows.
@@ -91,7 +91,8 @@ def find_runs(words: np.ndarray, firsts: np.ndarray, lo: np.ndarray, hi: np.ndar
     rows = [words[firsts[t] : firsts[t + 1]].astype(np.int64) * n_texts + k for k, t in enumerate(texts.tolist())]
     x = np.concatenate(rows)
     begin = np.concatenate(([0], np.cumsum(sizes[texts])))
-    tops, known = most[texts], [[] for _ in rows]
+    tops = most[texts]
+    known: list[dict[tuple[int, int, int], None]] = [{} for _ in rows]
     for q in range(int(lo[texts].min()), int(tops[-1]) + 1):
         m = max(least - q, (min_exp - 1) * q)
         step = max(1, m // PROBES)
@@ -129,8 +130,7 @@ def find_runs(words: np.ndarray, firsts: np.ndarray, lo: np.ndarray, hi: np.ndar
                 run = (s, s + length + q, root)
                 if root == q:
                     out[texts[k]].append((s, length + q, q))
-                if run not in known[k]:
-                    known[k].append(run)
+                known[k][run] = None
     return out
 
 
@@ -176,20 +176,27 @@ def _numbered(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
     return word_ids(h, starts, ends, data), firsts, starts, ends, data
 
 
-def _scan_whole(docs: DataFrame, least: int, min_exp: int) -> DataFrame:
+def _scan_whole(docs: DataFrame, least: int, min_exp: int, most: int) -> DataFrame:
+    """The rows of SCHEMA; of texts of more than ``most`` words only doc_id and text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for part in slices(whole):
                 ids, firsts, *where = _numbered(part)
                 n = np.diff(firsts)
-                yield _figures(part.column(0), find_runs(ids, firsts, np.ones_like(n), n + 1, least, min_exp), firsts, *where)
+                long = n > most
+                made = _figures(part.column(0), find_runs(ids, firsts, np.ones_like(n), np.where(long, 0, n + 1), least, min_exp), firsts, *where)
+                places = pa.array(np.where(long, -1, np.arange(len(n))), mask=long)
+                columns = [c.take(places) for c in made.columns[1:]]
+                text = part.column(1).take(pa.array(np.arange(len(n)), mask=~long))
+                yield pa.RecordBatch.from_arrays([made.column(0), *columns, text], [*made.schema.names, "text"])
 
-    return map_batches(docs.select("doc_id", "text"), run, SCHEMA)
+    return map_batches(docs, run, SCHEMA + ", text string")
 
 
-def _scan_ranges(docs: DataFrame, least: int, min_exp: int, lags: int, ranges: int) -> DataFrame:
-    """The same for long texts: each range of lags is a row, and goes to any task."""
-    long = stage(docs.withColumn("row", F.monotonically_increasing_id()), "long")
+def _scan_ranges(long: DataFrame, least: int, min_exp: int, lags: int, ranges: int) -> DataFrame:
+    """The same for long texts (row, doc_id, text, n): each range of lags is a row, and
+    goes to any task."""
     top = F.floor(F.col("n") / min_exp)
     step = F.greatest(F.lit(lags), F.ceil(top / ranges))
     each = long.withColumn("step", step).withColumn("lo", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(top, F.lit(1)), F.col("step"))))
@@ -225,13 +232,11 @@ def periodic_runs(docs: DataFrame, least: int = LEAST, min_exp: int = MIN_EXP, l
     if least < 1 or min_exp < 3:
         raise ValueError("runs have at least one word and three periods")
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
-    # A text of n words has 2 n - 1 bytes at least, so words are counted in long texts only.
-    most = min_exp * lags
-    n = F.when(F.octet_length("text") >= 2 * most + 1, word_count("text")).otherwise(0).alias("n")
-    sized = texts.select("doc_id", "text", n)
-    long = sized.where(F.col("n") > most)
-    short = _scan_whole(sized.where(F.col("n") <= most), least, min_exp)
-    return short.unionByName(_scan_ranges(long, least, min_exp, lags, ranges))
+    # Texts are read once; the long ones are written with what is found in the others.
+    scanned = stage(_scan_whole(texts, least, min_exp, min_exp * lags), "scanned")
+    long = scanned.where("text IS NOT NULL").select("doc_id", "text", word_count("text").alias("n"))
+    long = stage(long.withColumn("row", F.monotonically_increasing_id()), "long")
+    return scanned.where("text IS NULL").drop("text").unionByName(_scan_ranges(long, least, min_exp, lags, ranges))
 
 
 def planted(docs: DataFrame) -> DataFrame:

@@ -104,6 +104,17 @@ def test_runs_of_the_given_documents(spark):
     assert len(got) == docs.count() and [got[r["doc_id"]] for r in want] == want
 
 
+def test_slices_of_a_larger_table(spark):
+    """Several slices of a batch, with and without long texts."""
+    sf = "/root/testdata/sf0.01"
+    got = {r.doc_id: r.asDict() for r in RN.op12_runs(spark, sf).collect()}
+    docs = RN.planted(spark.read.parquet(f"{sf}/documents.parquet"))
+    dealt = {r.doc_id: r.asDict() for r in RN.periodic_runs(docs, lags=100).collect()}
+    assert len(got) == 1000 and got == dealt
+    some = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id % 20 = 0 AND length(text) < 3000").collect()
+    assert all(got[r.doc_id] == brute(r.doc_id, r.text) for r in some)
+
+
 def test_long_texts_are_dealt_and_counted_alike(spark):
     rng = random.Random(3)
     unit = [f"w{rng.randrange(10**6)}" for _ in range(5003)]
