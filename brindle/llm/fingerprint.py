@@ -211,10 +211,11 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     firsts = sorted((r["part"], r["doc_id"]) for r in firsts if r["doc_id"] is not None)
     before = {firsts[i][1]: firsts[i - 1][0] for i in range(1, len(firsts))} | ({firsts[0][1]: firsts[-1][0]} if len(firsts) > 1 else {})
     if before:
-        ids, parts = F.array(*[F.lit(k) for k in before]), F.array(*[F.lit(v) for v in before.values()])
-        guest = F.get(parts, F.array_position(ids, F.col("doc_id")).cast("int") - 1)
+        guests = docs.sparkSession.createDataFrame(list(before.items()), "doc_id long, before int")
+        rows = rows.join(F.broadcast(guests), "doc_id", "left")  # a row for each range, MOST_RANGES at most
         home = F.struct(F.col("part").alias("part"), F.lit(0).alias("guest"))
-        rows = rows.withColumn("to", F.explode(F.when(F.col("doc_id").isin(list(before)), F.array(home, F.struct(guest.alias("part"), F.lit(1).alias("guest")))).otherwise(F.array(home))))
+        away = F.struct(F.col("before").alias("part"), F.lit(1).alias("guest"))
+        rows = rows.withColumn("to", F.explode(F.when(F.col("before").isNotNull(), F.array(home, away)).otherwise(F.array(home))))
         rows = rows.select("doc_id", "text", "to.part", "to.guest")
     else:
         rows = rows.withColumn("guest", F.lit(0))

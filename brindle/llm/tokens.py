@@ -23,6 +23,7 @@ after repeats in a task are dropped; ids and offsets go by doc_id ranges.
 from __future__ import annotations
 
 import hashlib
+import math
 import os
 import zlib
 from collections.abc import Iterator
@@ -42,6 +43,8 @@ LEAST, MEAN, MOST, REACH = 64, 512, 4096, 8
 CACHE_PIECES = 1_500_000
 #: Documents in a range of doc_id (a manifest row), and ranges at most.
 RANGE_DOCS, MOST_RANGES = 50_000, 4096
+#: Documents whose roots meet in one row.
+RUN_DOCS = 4096
 
 _GEAR = seeded(1 << 16, 23)
 
@@ -256,10 +259,20 @@ def id_ranges(rows: DataFrame, per_range: int = RANGE_DOCS, most: int = MOST_RAN
     Bounds come from quantiles of doc_id; only those (at most ``most``) reach the driver."""
     n = max(1, min(most, -(-rows.count() // per_range)))
     bounds = sorted(set(rows.where("doc_id IS NOT NULL").stat.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n))) if n > 1 else []
-    col = F.lit(0)
-    if bounds:
-        col = F.size(F.filter(F.array(*[F.lit(int(b)) for b in bounds]), lambda b: b < F.col("doc_id")))
-    return F.when(F.col("doc_id").isNull(), F.lit(len(bounds))).otherwise(col).cast("int"), len(bounds) + 1
+    return F.when(F.col("doc_id").isNull(), F.lit(len(bounds))).otherwise(place_of(F.col("doc_id"), [int(b) for b in bounds])).cast("int"), len(bounds) + 1
+
+
+def place_of(value: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are under a value, looked up in two steps: in every
+    so many-th bound, then in the run that follows it."""
+    if not bounds:
+        return F.lit(0)
+    step = max(1, math.isqrt(len(bounds)))
+    longs = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs]) if xs else F.array().cast("array<bigint>")
+    under = lambda some: F.size(F.filter(some, lambda b: b < value))
+    coarse = under(longs(bounds[step - 1 :: step]))
+    runs = F.array(*[longs(bounds[a : a + step]) for a in range(0, len(bounds) + step, step)])
+    return coarse * step + under(F.get(runs, coarse))
 
 
 def write_store(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id: int = END_ID) -> str:
@@ -279,24 +292,35 @@ def write_store(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id
     rows = rows.repartitionByRange(n_parts, "part")
     order = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_last(), "root")
     start = F.coalesce(F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.get(F.array(*[F.lit(b).cast("long") for b in before]), F.col("part"))
-    rows.select("doc_id", start.cast("long").alias("start"), "n_tokens", "hashes", "root", "part").write.option("compression", "zstd").parquet(f"{path}/recipes")
+    place = (F.row_number().over(order) - 1).cast("long")
+    rows.select("doc_id", start.cast("long").alias("start"), "n_tokens", "hashes", "root", "part", place.alias("place")).write.option("compression", "zstd").parquet(f"{path}/recipes")
     manifest(spark.read.parquet(f"{path}/recipes")).write.option("compression", "zstd").parquet(f"{path}/manifest")
     return path
 
 
 def manifest(recipes: DataFrame) -> DataFrame:
-    """part, first and last doc_id, documents, tokens, Merkle root over its documents.
+    """part, first and last doc_id, documents, tokens, Merkle root of each part.
+
+    The tree of a part is cut: its documents in order, RUN_DOCS at a time, have a root
+    each, and the part's is over those. So RUN_DOCS roots meet in a row, and of a part of any
+    size one for RUN_DOCS documents."""
+    run = F.floor(F.col("place") / RUN_DOCS).cast("long")
+    figures = lambda docs: [F.min("first_doc").alias("first_doc"), F.max("last_doc").alias("last_doc"), F.sum(docs).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("place", "root"))).alias("rows")]
+    one = recipes.select("part", run.alias("run"), "place", "root", "n_tokens", F.col("doc_id").alias("first_doc"), F.col("doc_id").alias("last_doc"), F.lit(1).cast("long").alias("n_docs"))
+    runs = _roots(one.groupBy("part", "run").agg(*figures("n_docs")), "part int, run long")
+    return _roots(runs.withColumnRenamed("run", "place").groupBy("part").agg(*figures("n_docs")), "part int")
+
 
-    The roots of a part (at most about RANGE_DOCS, 16 bytes each) meet in a task."""
-    joined = F.array_sort(F.collect_list(F.struct(F.coalesce("start", F.lit(0)).alias("start"), "root")))
-    parts = recipes.groupBy("part").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), joined.alias("rows"))
+def _roots(rows: DataFrame, keys: str) -> DataFrame:
+    """``rows`` with the Merkle root of their lists ``rows`` (place, root)."""
+    names = [k.split()[0] for k in keys.split(", ")] + ["first_doc", "last_doc", "n_docs", "n_tokens", "root"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            roots = [merkle([x["root"] for x in xs]) for xs in b.column(5).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(roots, pa.binary())], ["part", "first_doc", "last_doc", "n_docs", "n_tokens", "root"])
+            roots = [merkle([x["root"] for x in xs]) for xs in b.column(len(names) - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names) - 1], pa.array(roots, pa.binary())], names)
 
-    return map_batches(parts, run, "part int, first_doc long, last_doc long, n_docs long, n_tokens long, root binary")
+    return map_batches(rows, run, f"{keys}, first_doc long, last_doc long, n_docs long, n_tokens long, root binary")
 
 
 def _numbers(raw: bytes, n: int) -> np.ndarray:
