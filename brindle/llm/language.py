@@ -166,14 +166,19 @@ class Model:
         return z / z.sum(axis=1, keepdims=True), familiarity
 
 
-def bag(text: bytes, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct pieces of a text and their shares."""
+def piece_counts(text: bytes, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pieces of a text and their counts."""
     _, _, starts, ends, data = hash_words([text], lower=True)
     if not len(starts):
-        return np.zeros(0, np.int64), np.zeros(0)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     pieces, _ = word_pieces(data, starts, ends, buckets)
-    ids, counts = np.unique(pieces, return_counts=True)
-    return ids, counts / counts.sum()
+    return np.unique(pieces, return_counts=True)
+
+
+def bag(text: bytes, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pieces of a text and their shares."""
+    ids, counts = piece_counts(text, buckets)
+    return ids, counts / max(1, counts.sum())
 
 
 def train(texts: list[bytes], labels: list[str], buckets: int = BUCKETS, seed: int = 5) -> Model:
@@ -183,9 +188,23 @@ def train(texts: list[bytes], labels: list[str], buckets: int = BUCKETS, seed: i
     if not languages:
         return Model([], np.zeros((buckets, 0)), np.zeros(0), np.zeros((buckets, 0)))
     rng = np.random.default_rng(seed)
-    bags = [bag(t, buckets) for t in texts]
+    # Pieces and counts of all texts in two arrays: thousands of small ones would stay with
+    # the process.
+    sizes, ids_of, counts_of = [], [], []
+    for at in range(0, len(texts), 64):
+        some = [piece_counts(t, buckets) for t in texts[at : at + 64]]
+        sizes += [len(ids) for ids, _ in some]
+        ids_of.append(np.concatenate([ids for ids, _ in some]).astype(np.int32))
+        counts_of.append(np.concatenate([c for _, c in some]).astype(np.int32))
+    ends = np.cumsum(sizes)
+    ids_of, counts_of = np.concatenate(ids_of), np.concatenate(counts_of)
+
+    def pieces_of(i: int) -> tuple[np.ndarray, np.ndarray]:
+        part = slice(ends[i] - sizes[i], ends[i])
+        return ids_of[part], counts_of[part]
+
     target = np.array([languages.index(x) for x in labels])
-    usable = [i for i, (ids, _) in enumerate(bags) if len(ids)]
+    usable = [i for i, n in enumerate(sizes) if n]
     fit = [i for k, i in enumerate(usable) if k % KEPT_BACK or len(usable) < 2 * KEPT_BACK]
     embed = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (buckets, DIMENSIONS))
     weight, bias = np.zeros((DIMENSIONS, len(languages))), np.zeros(len(languages))
@@ -194,7 +213,8 @@ def train(texts: list[bytes], labels: list[str], buckets: int = BUCKETS, seed: i
         for i in rng.permutation(fit):
             rate = RATE * (1 - done / steps)
             done += 1
-            ids, share = bags[i]
+            ids, share = pieces_of(i)
+            share = share / share.sum()
             mean = share @ embed[ids]
             z = mean @ weight + bias
             p = np.exp(z - z.max())
@@ -207,8 +227,8 @@ def train(texts: list[bytes], labels: list[str], buckets: int = BUCKETS, seed: i
             embed[ids] -= rate * 20 * np.outer(share, back)
     counts = np.full((buckets, len(languages)), 0.5)
     for i in fit:
-        ids, share = bags[i]
-        counts[ids, target[i]] += share * piece_count(texts[i])
+        ids, times = pieces_of(i)
+        counts[ids, target[i]] += times
     model = Model(languages, embed @ weight, bias, np.log(counts / counts.sum(axis=0)))
     fitted = set(fit)
     rest = [i for i in usable if i not in fitted] or fit
@@ -216,9 +236,14 @@ def train(texts: list[bytes], labels: list[str], buckets: int = BUCKETS, seed: i
     return model
 
 
-def piece_count(text: bytes) -> int:
-    _, _, starts, ends, _ = hash_words([text])
-    return int(sum(np.maximum(0, ends - starts + 3 - n).sum() for n in PIECES))
+def _by_parts(model: Model, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """``scores`` of a few texts at a time, so that little memory is held at once."""
+    found = []
+    for at in range(0, len(texts), 16):
+        model.clear()
+        found.append(model.scores(texts[at : at + 16]))
+    model.clear()
+    return np.concatenate([p for p, _ in found]), np.concatenate([f for _, f in found])
 
 
 def shuffled(text: str, rng: random.Random) -> bytes:
@@ -233,7 +258,7 @@ def calibrate(model: Model, texts: list[bytes], target: np.ndarray) -> None:
     """Choose the temperature of the least log loss, then the bounds of rejection."""
     if not texts:
         return
-    z = np.log(np.maximum(np.concatenate([model.probabilities([t]) for t in texts]), 1e-300))
+    z = np.log(np.maximum(_by_parts(model, texts)[0], 1e-300))
     best = (np.inf, 1.0)
     for t in np.geomspace(0.05, 4, 40):
         s = z / t
@@ -244,7 +269,7 @@ def calibrate(model: Model, texts: list[bytes], target: np.ndarray) -> None:
     model.clear()
     if len(texts) < LEAST_KEPT:
         return
-    p, own = model.scores(texts)
+    p, own = _by_parts(model, texts)
     right = p.max(axis=1)[p.argmax(axis=1) == target]
     model.threshold = float(np.quantile(right, REJECT_SHARE)) / 2 if len(right) else 0.0
     rng = random.Random(17)
@@ -256,8 +281,8 @@ def calibrate(model: Model, texts: list[bytes], target: np.ndarray) -> None:
             windows.append(b" ".join(words[at : at + WINDOW_WORDS]))
         noise.append(shuffled(t.decode("utf-8", "replace")[:2000], rng))
     low = lambda x: float(np.quantile(x, REJECT_SHARE, method="lower"))
-    clean = min(low(own), low(model.scores(windows)[1]) if windows else np.inf)
-    other = float(np.quantile(model.scores(noise)[1], 1 - NOISE_SHARE, method="lower"))
+    clean = min(low(own), low(_by_parts(model, windows)[1]) if windows else np.inf)
+    other = float(np.quantile(_by_parts(model, noise)[1], 1 - NOISE_SHARE, method="lower"))
     if np.isfinite(clean):
         model.familiar = (clean + other) / 2 if other < clean else clean
     model.clear()
@@ -279,9 +304,8 @@ def sample(docs: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[bytes], list[s
         lowest = able.select("_hash").where(F.col("_hash") <= cut).distinct().orderBy("_hash").limit(rows).collect()
         if len(lowest) == rows:
             break
-    got = able.where(F.col("_hash") <= lowest[-1][0]).dropDuplicates(["_hash"]).collect()  # ``rows`` at most
-    got.sort(key=lambda r: r["_hash"])
-    return [r["text"].encode() for r in got], [r["lang"] for r in got]
+    got = able.where(F.col("_hash") <= lowest[-1][0]).dropDuplicates(["_hash"]).select("_hash", "text", "lang").toArrow().sort_by("_hash")  # ``rows`` at most
+    return got.column("text").cast(pa.binary()).to_pylist(), got.column("lang").to_pylist()
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
