@@ -16,9 +16,11 @@ above: that is the chance that a link is lost that no other member of its group
 
 Equal sets are one class from the start. A band value that several classes have makes a
 bucket, found by an aggregation and a join (both split where a value is hot), and bands of
-the same classes are one bucket. A class is first tried against the member that it shares
-most bands with; buckets that still span several components are then compared across them
-in blocks, as in operator 3. Parity sketches of whole sets reject what can't link, and
+the same classes are one bucket. The hub of a bucket is the member that stands in the
+most and largest buckets: in a group of edited copies that is the text they were made of,
+or one near it, which all may link with. A class is first tried against the hub that it
+shares most bands with; buckets that still span several components are then compared
+across them in blocks, as in operator 3. Parity sketches of whole sets reject what can't link, and
 every link is confirmed on the whole sets.
 
 Nulls and texts without words have the empty set and are linked with nothing; fewer than
@@ -115,14 +117,24 @@ def summaries(docs: DataFrame, key: int = 0, rule: Rule = RULE, rows: int = ROWS
 
 
 def buckets(rows: DataFrame) -> DataFrame:
-    """bucket, key, hub, lanes: of the bands (lane, key) that several classes have, those of
-    the same classes as one bucket, with its first class and how many bands it stands for."""
+    """bucket, key, lanes, many: of the bands (lane, key) that several classes have, those of
+    the same classes as one bucket, with how many bands it stands for and how many classes."""
     mark = F.pmod(F.xxhash64("key"), F.lit(1 << 31))
-    hubs = rows.groupBy("lane").agg(F.min("key").alias("hub"), F.count("*").alias("many"), F.sum(mark).alias("marks"), F.expr("bit_xor(xxhash64(key, 7L))").alias("others"))
-    hubs = hubs.where("many > 1").select("lane", "hub", F.xxhash64("hub", "many", "marks", "others").alias("bucket"))
+    hot = rows.groupBy("lane").agg(F.min("key").alias("least"), F.count("*").alias("many"), F.sum(mark).alias("marks"), F.expr("bit_xor(xxhash64(key, 7L))").alias("others"))
+    hot = hot.where("many > 1").select("lane", "many", F.xxhash64("least", "many", "marks", "others").alias("bucket"))
     # Written first: a join of two shuffles is one that Spark splits where a lane is hot.
-    hubs = stage(hubs, "hubs", few=True)
-    return rows.join(maybe_broadcast(hubs, 32), "lane").groupBy("bucket", "key", "hub").agg(F.count("*").alias("lanes"))
+    hot = stage(hot, "shared", few=True)
+    return rows.join(maybe_broadcast(hot, 32), "lane").groupBy("bucket", "key", "many").agg(F.count("*").alias("lanes"))
+
+
+def partners(members: DataFrame) -> DataFrame:
+    """a, b: of each class b the hub, of all its buckets, that it shares most bands with."""
+    weights = members.groupBy("key").agg(F.sum(F.col("lanes") * F.col("many")).alias("weight"))
+    weighed = members.join(maybe_broadcast(stage(weights, "weights", few=True), 32), "key")
+    hubs = stage(weighed.groupBy("bucket").agg(F.max_by("key", F.struct("weight", "key")).alias("hub")), "hubs", few=True)
+    ties = members.join(maybe_broadcast(hubs, 32), "bucket").where("key != hub").groupBy("key", "hub").agg(F.sum("lanes").alias("lanes"))
+    best = ties.groupBy("key").agg(F.max_by("hub", F.struct("lanes", "hub")).alias("hub"))
+    return best.select(F.col("hub").alias("a"), F.col("key").alias("b"))
 
 
 def link(docs: DataFrame, rule: Rule = RULE, rows: int = ROWS, groups: int = GROUPS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
@@ -133,10 +145,7 @@ def link(docs: DataFrame, rule: Rule = RULE, rows: int = ROWS, groups: int = GRO
     each = both.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch", ignorenulls=True).alias("sketch"), F.first("bands", ignorenulls=True).alias("bands"))
     classes = stage(each, "classes")
     members = stage(buckets(classes.select(F.explode("bands").alias("lane"), "key")), "members", few=True)
-    ties = members.where("key != hub").groupBy("key", "hub").agg(F.sum("lanes").alias("lanes"))
-    best = ties.groupBy("key").agg(F.max_by("hub", F.struct("lanes", "hub")).alias("hub"))
-    first = best.select(F.col("hub").alias("a"), F.col("key").alias("b"))
-    return both.select("doc_id", "n", "key"), settle(first, members, docs, classes.drop("bands"), key, block, rule)
+    return both.select("doc_id", "n", "key"), settle(partners(members), members, docs, classes.drop("bands"), key, block, rule)
 
 
 def near_duplicates(docs: DataFrame, rule: Rule = RULE, rows: int = ROWS, groups: int = GROUPS, block: int = BLOCK) -> DataFrame:
