@@ -53,10 +53,11 @@ SMALL, SPREAD = 32, 4
 LANES = 0.6
 #: Counters of the table of lane frequencies, and the rows it travels in.
 COUNTERS, COUNTER_ROWS = 1 << 20, 16
-#: Bits of a sketch at least.
-SKETCH_BITS = 256
+#: Bits of a sketch at least, and for each n-gram (up to a power of two): so many that few
+#: n-grams of a difference meet on a bit, and almost only what links passes.
+SKETCH_BITS, SKETCH_SPREAD = 512, 4
 #: Members of a bucket that meet in one task at once.
-BLOCK = 512
+BLOCK = 2048
 #: Rows of a lane that a task takes at most, by the counts; more go to several tasks.
 HOT = 1 << 16
 #: One bucket in so many takes part in the forest round.
@@ -90,7 +91,6 @@ RULE = Rule()
 
 _U = np.uint64
 _GRAM = seeded(16, 53) | _U(1)
-_ORDER = np.array([bin(i).count("1") for i in range(1 << 16)], dtype=np.uint8)
 
 
 def gram_sets(texts: list[bytes], words: int = WORDS, key: int = 0) -> list[np.ndarray]:
@@ -124,9 +124,9 @@ def set_key(grams: np.ndarray) -> int:
 
 def bit_sketch(grams: np.ndarray) -> np.ndarray:
     """Parity of the n-grams that fall on each bit, as 64-bit words: a power of two of at
-    least a bit for an n-gram, so that sets that differ by more than half of their
-    n-grams are told apart. A sketch XORed half on half is the sketch of half its bits."""
-    bits = max(SKETCH_BITS, 1 << int(max(1, len(grams)) - 1).bit_length())
+    least SKETCH_SPREAD bits for an n-gram. A sketch XORed half on half is the sketch of
+    half its bits."""
+    bits = max(SKETCH_BITS, SKETCH_SPREAD << int(max(1, len(grams)) - 1).bit_length())
     at = (mix(grams ^ _GRAM[11]) & _U(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).view(np.int64)
 
@@ -373,7 +373,8 @@ def _with_component(rows: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _apart(x: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    return _ORDER[(rows ^ x).view(np.uint16)].sum(axis=1, dtype=np.int64)
+    # Of unsigned words: numpy counts the bits of a signed number's absolute value.
+    return np.bitwise_count((rows ^ x).view(np.uint64)).sum(axis=1, dtype=np.int64)
 
 
 def _halved(rows: np.ndarray) -> np.ndarray:

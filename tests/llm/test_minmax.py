@@ -8,6 +8,7 @@ import re
 import numpy as np
 import pytest
 
+from brindle.llm import jaccard as J
 from brindle.llm import minmax as MM
 from brindle.llm.jaccard import gram_sets
 from tests.llm.test_llm_operators import SCHEMA, corpus, prose
@@ -129,6 +130,13 @@ def test_no_rows_clashing_columns_and_hot_groups(spark):
     assert got(MM.near_duplicates(docs)) == brute(rows)
 
 
+def test_distance_of_sketches():
+    rng = np.random.default_rng(3)
+    rows = rng.integers(-(1 << 63), (1 << 63) - 1, (40, 8))
+    want = [sum(bin((int(a) ^ int(b)) & (1 << 64) - 1).count("1") for a, b in zip(r, rows[0])) for r in rows]
+    assert J._apart(rows[0], rows).tolist() == want and any(int(a) ^ int(rows[0][0]) < 0 for a in rows[:, 0])
+
+
 def test_sets_are_those_of_the_contract():
     texts = ["A b A B", "One", "", " \t", "x  y\nz", "É é"]
     assert [len(s) for s in gram_sets([t.encode() for t in texts], 2)] == [len(shingles(t)) for t in texts] == [2, 1, 0, 0, 2, 1]
