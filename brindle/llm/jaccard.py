@@ -53,9 +53,8 @@ SMALL, SPREAD = 32, 4
 LANES = 0.6
 #: Counters of the table of lane frequencies, and the rows it travels in.
 COUNTERS, COUNTER_ROWS = 1 << 20, 16
-#: Bits of a sketch at least, and for each n-gram (up to a power of two): so many that few
-#: n-grams of a difference meet on a bit, and almost only what links passes.
-SKETCH_BITS, SKETCH_SPREAD = 512, 4
+#: Bits of a sketch at least, and for each n-gram (up to a power of two).
+SKETCH_BITS, SKETCH_SPREAD = 256, 1
 #: Members of a bucket that meet in one task at once.
 BLOCK = 2048
 #: Rows of a lane that a task takes at most, by the counts; more go to several tasks.
@@ -122,11 +121,12 @@ def set_key(grams: np.ndarray) -> int:
         return int(mix(np.array([mix(grams * _GRAM[9]).sum() ^ (_U(len(grams)) * _GRAM[10])], dtype=_U)).view(np.int64)[0])
 
 
-def bit_sketch(grams: np.ndarray) -> np.ndarray:
+def bit_sketch(grams: np.ndarray, least: int = SKETCH_BITS, spread: int = SKETCH_SPREAD) -> np.ndarray:
     """Parity of the n-grams that fall on each bit, as 64-bit words: a power of two of at
-    least SKETCH_SPREAD bits for an n-gram. A sketch XORed half on half is the sketch of
-    half its bits."""
-    bits = max(SKETCH_BITS, SKETCH_SPREAD << int(max(1, len(grams)) - 1).bit_length())
+    least ``spread`` (a power of two) bits for an n-gram: the more, the fewer n-grams of a
+    difference meet on a bit, and the more shuffles. A sketch XORed half on half is the
+    sketch of half its bits."""
+    bits = max(least, spread << int(max(1, len(grams)) - 1).bit_length())
     at = (mix(grams ^ _GRAM[11]) & _U(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).view(np.int64)
 

@@ -44,6 +44,8 @@ from brindle.llm.jaccard import BLOCK, Rule, _texts, bit_sketch, gram_sets, labe
 #: Link from 100 * intersection >= 80 * union on; permutations of a band, pairs of bands.
 RULE = Rule(words=2, numerator=4, denominator=5)
 ROWS, GROUPS = 6, 35
+#: Bits of a sketch at least, and for each shingle: almost only what links passes them.
+SKETCH_BITS, SKETCH_SPREAD = 512, 4
 
 _U = np.uint64
 _ODD = _U(0x9E3779B97F4A7C15)
@@ -109,7 +111,7 @@ def summaries(docs: DataFrame, key: int = 0, rule: Rule = RULE, rows: int = ROWS
                 lanes: list = [None] * len(sets)
                 if fresh:
                     for i, own in zip(fresh, bands(*signatures([sets[i] for i in fresh], rows * groups, key), rows).view(np.int64)):
-                        sketch[i], lanes[i] = bit_sketch(sets[i]), own
+                        sketch[i], lanes[i] = bit_sketch(sets[i], SKETCH_BITS, SKETCH_SPREAD), own
                 longs = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), pa.array(sketch, longs), pa.array(lanes, longs)], ["doc_id", "n", "key", "sketch", "bands"])
 
