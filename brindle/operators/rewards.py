@@ -22,6 +22,16 @@ from brindle.sources.order import with_row_id
 ScoreFunction = Callable[[str, str, str, "str | None"], "float | dict"]
 
 
+def scored_once(df: DataFrame, solution: str, truth: str, **scores: Callable[[Column, Column], Column]) -> DataFrame:
+    """Adds a column for each score of (solution, truth). Each distinct pair is scored once,
+    and the pairs are dealt evenly over tasks, however few partitions the rows are read in."""
+    sc = df.sparkSession.sparkContext
+    tasks = max(4 * sc.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    pairs = df.select(F.col(solution).alias("_s"), F.col(truth).alias("_t")).distinct().repartition(tasks)
+    pairs = pairs.select("_s", "_t", *[fn(F.col("_s"), F.col("_t")).alias(name) for name, fn in scores.items()])
+    return df.join(pairs, F.col(solution).eqNullSafe(F.col("_s")) & F.col(truth).eqNullSafe(F.col("_t")), "left").drop("_s", "_t")
+
+
 def load_function(path: str, name: str = "compute_score", **fixed) -> Callable:
     """A function of a user's file, with some arguments fixed. The file is run, as the user
     asks; it must be on every executor, as it is loaded there."""
