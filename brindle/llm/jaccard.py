@@ -396,11 +396,12 @@ class _Meeting:
             self.where[at] = np.arange(len(at))
         self.halves: dict[int, np.ndarray] = {}
 
-    def near(self, x: int, y: np.ndarray) -> np.ndarray:
-        """Those of y whose sizes and sketches allow a link with x."""
-        n, key = self.n, self.key
+    def near(self, x: int, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of y whose sizes and sketches allow a link with x, in order, and the share of
+        both sizes by which the sketches are apart."""
+        n = self.n
         y = y[self.rule.sizes(n[y], n[x], np.minimum, np.maximum)]
-        out = []
+        out, shares = [], []
         w = int(self.words[x])
         mine = self.rows[w][self.where[x]]
         for v in (w // 2, w, 2 * w):
@@ -410,29 +411,53 @@ class _Meeting:
                     self.halves[v] = _halved(self.rows[v])
                 rows = (self.halves[v] if v == 2 * w else self.rows[v])[self.where[part]]
                 far = _apart(_halved(mine) if v < w else mine, rows)
-                out.append(part[self.rule.near(far, n[part] + n[x])])
-        return np.sort(np.concatenate(out)) if out else y[:0]
+                ok = self.rule.near(far, n[part] + n[x])
+                out.append(part[ok])
+                shares.append(far[ok] / (n[part[ok]] + n[x]))
+        if not out:
+            return y[:0], np.zeros(0)
+        found, share = np.concatenate(out), np.concatenate(shares)
+        order = np.argsort(found)
+        return found[order], share[order]
+
+    def tree(self) -> list[tuple[int, int]]:
+        """A spanning forest of the pairs that sketches allow, the nearest first (Prim's), so
+        that copies of one text meet that text before each other. Members of a component
+        are joined already."""
+        n = len(self.key)
+        best, partner = np.full(n, np.inf), np.full(n, -1)
+        left = np.ones(n, dtype=bool)
+        out = []
+        for _ in range(n):
+            x = int(np.argmin(np.where(left, best, np.inf)))
+            if not left[x] or best[x] == np.inf:
+                x = int(np.argmax(left))
+            elif partner[x] >= 0:
+                out.append((int(partner[x]), x))
+            left[x] = False
+            rest = np.flatnonzero(left)
+            same = rest[self.component[rest] == self.component[x]]
+            best[same], partner[same] = -1.0, -1
+            rest = rest[self.component[rest] != self.component[x]]
+            if self.mine is not None:
+                rest = rest[self.mine[rest] != self.mine[x]]
+            if len(rest):
+                y, share = self.near(x, rest)
+                closer = share < best[y]
+                best[y[closer]], partner[y[closer]] = share[closer], x
+        return out
 
     def pairs(self, forest: bool) -> list[tuple[int, int]]:
         """Pairs across components; of a forest only such as join what no other pair of
         the meeting has joined."""
-        group = self.component.copy()
-        out = []
-        for x in range(len(self.key) - 1):
+        out = self.tree() if forest else []
+        for x in range(0 if forest else len(self.key) - 1):
             y = np.arange(x + 1, len(self.key))
             if self.mine is not None:
                 y = y[self.mine[y] != self.mine[x]]
-            y = y[(group if forest else self.component)[y] != (group if forest else self.component)[x]]
-            if not len(y):
-                continue
-            y = self.near(x, y)
-            if forest:
-                for i in y.tolist():
-                    if group[i] != group[x]:
-                        out.append((x, i))
-                        group[group == group[i]] = group[x]
-            else:
-                out += [(x, i) for i in y.tolist()]
+            y = y[self.component[y] != self.component[x]]
+            if len(y):
+                out += [(x, i) for i in self.near(x, y)[0].tolist()]
         return [(min(self.key[a], self.key[b]), max(self.key[a], self.key[b])) for a, b in out]
 
 
