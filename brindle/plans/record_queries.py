@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pyarrow.dataset as DS
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
@@ -81,23 +82,16 @@ class RowGroups:
 
     def schema(self) -> StructType:
         kinds = {"int64": LongType(), "double": DoubleType(), "string": StringType()}
-        return StructType([StructField(f.name, kinds[str(f.type)]) for f in pq.read_schema(self.path) if str(f.type) in kinds])
+        return StructType([StructField(f.name, kinds[str(f.type)]) for f in DS.dataset(self.path, format="parquet").schema if str(f.type) in kinds])
 
     def partitions(self) -> list:
-        # Runs of rows, as small files have one row group.
-        rows = pq.ParquetFile(self.path).metadata.num_rows
-        return [(a, min(rows, a + 500)) for a in range(0, rows, 500)]
+        # A row group is read once, from its start, so work follows the rows however many there are.
+        return [(f.path, g.id) for f in DS.dataset(self.path, format="parquet").get_fragments() for g in f.row_groups]
 
     def read(self, partition, columns, filters) -> Iterator:
-        a, b = partition
-        at = 0
-        for batch in pq.ParquetFile(self.path).iter_batches(batch_size=500, columns=columns):
-            lo, hi = max(a, at), min(b, at + batch.num_rows)
-            if lo < hi:
-                yield batch.slice(lo - at, hi - lo).select(columns)
-            at += batch.num_rows
-            if at >= b:
-                break
+        path, group = partition
+        for batch in pq.ParquetFile(path).iter_batches(row_groups=[group], columns=columns):
+            yield batch.select(columns)
 
 
 @query("custom_dataset", "SELECT event_id, user_id, value FROM events WHERE value > 100")
