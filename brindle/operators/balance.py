@@ -1,17 +1,24 @@
 """Balanced partitions of samples by workload.
 
-Only (id, workload) pairs of one batch meet on the driver, as every method here is a
-global, sequential one; a batch of more than MOST_ITEMS raises. Results go back as a
-column. Reports and permutations stay DataFrame operations."""
+A table of more than BLOCK items is balanced by differencing in two steps: blocks of it in
+tasks, then the blocks' sums, a row for each part of a block, on the driver. Greedy and
+grouped partitions are global, sequential methods: their (id, workload) pairs meet on the
+driver, and more than MOST_ITEMS raise. Results go back as a column. Reports and permutations
+stay DataFrame operations."""
 
 from __future__ import annotations
 
 import heapq
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brindle.sources.order import with_row_id, written
+
 MOST_ITEMS = 5_000_000
+#: Items that are balanced in one task.
+BLOCK = 1 << 15
 
 
 def workload(length: Column) -> Column:
@@ -47,6 +54,12 @@ def largest_differencing(loads: list[int], k: int, equal_size: bool = False) ->
         states = [_Split([(loads[i], [i]) for i in order[at : at + k]]) for at in range(0, len(order), k)]
     else:
         states = [_Split([(loads[i], [i]), *[(0, []) for _ in range(k - 1)]]) for i in order]
+    return _merged(states)
+
+
+def _merged(states: list[_Split]) -> list[list[int]]:
+    """The subsets left when the two partial solutions of the widest spread are joined until
+    one is left."""
     heap = [(-s.spread, n, s) for n, s in enumerate(states)]
     heapq.heapify(heap)
     n = len(heap)
@@ -94,8 +107,44 @@ def collect_loads(df: DataFrame, key: str, load: str) -> tuple[list, list[int]]:
     return [r[0] for r in rows], [int(r[1]) for r in rows]
 
 
+def in_blocks(df: DataFrame, key: str, load: str, k: int, n: int, equal_size: bool = False, block: int = BLOCK) -> DataFrame:
+    """key, part of n rows by differencing in blocks of about ``block`` items. Items are dealt
+    to blocks by a hash of the key, k at a time, so blocks are alike and only the last may
+    not be a multiple of k. A block's parts are joined to those of others as partial
+    solutions, largest with smallest: the spread of the whole is at most that of one block."""
+    if n < k or equal_size and n % k:
+        raise ValueError(f"{n} items can't make {k} {'equal ' if equal_size else ''}parts")
+    blocks = max(1, n // max(block, k))
+    rows = with_row_id(df.select(F.col(key).alias("_key"), F.col(load).cast("long").alias("_load")), F.xxhash64("_key"), "_key", name="_at")
+    rows = rows.select("_key", "_load", (F.floor(F.col("_at") / k) % blocks).alias("_block"))
+    kind = rows.schema["_key"].dataType.simpleString()
+
+    def split(group: pa.Table) -> pa.Table:
+        group = group.sort_by("_key")
+        loads = group.column("_load").to_pylist()
+        subset = [0] * len(loads)
+        for p, items in enumerate(checked(largest_differencing(loads, k, equal_size), len(loads), equal_size)):
+            for i in items:
+                subset[i] = p
+        return group.append_column("_subset", pa.array(subset, pa.int32()))
+
+    rows = written(rows.groupBy("_block").applyInArrow(split, f"_key {kind}, _load long, _block long, _subset int"), "blocks")
+    sums = rows.groupBy("_block", "_subset").agg(F.sum("_load").alias("load")).orderBy("_block", "_subset").collect()  # k rows a block
+    states: dict[int, list] = {}
+    for i, r in enumerate(sums):
+        states.setdefault(r["_block"], []).append((r["load"], [i]))
+    parts = _merged([_Split(s) for s in states.values()])
+    places = [(sums[i]["_block"], sums[i]["_subset"], p) for p, items in enumerate(parts) for i in items]
+    places = df.sparkSession.createDataFrame(places, "_block long, _subset int, part int")
+    return rows.join(F.broadcast(places), ["_block", "_subset"]).select(F.col("_key").alias(key), "part")
+
+
 def assign(df: DataFrame, key: str, load: str, k: int, equal_size: bool = False, method=largest_differencing) -> DataFrame:
     """Adds part, 0..k-1, for rows of distinct keys."""
+    if method is largest_differencing:
+        n = df.count()
+        if n > BLOCK:
+            return df.join(in_blocks(df, key, load, k, n, equal_size), key)
     keys, loads = collect_loads(df, key, load)
     parts = checked(method(loads, k, equal_size), len(loads), equal_size)
     pairs = [(keys[i], p) for p, items in enumerate(parts) for i in items]
