@@ -12,7 +12,9 @@ counted over all documents in a table of fixed size, so that what many documents
 (lines, passages) comes last and seldom joins anything.
 
 Documents that share a lane are candidates. Equal sets are one class from the start, and
-lanes of the same classes are one bucket. A member of a bucket is first checked against
+lanes of the same classes are one bucket, as are lanes of much the same classes with the
+same first one (the hub), so that two near copies meet once and not in each lane they
+share. A member of a bucket is first checked against
 the one partner it shares most with, and links make components. A bucket that still spans
 several components is compared across them: its members meet in blocks of bounded size and
 of sizes that may link, where parity sketches of whole sets (their Hamming distance bounds
@@ -61,6 +63,8 @@ BLOCK = 2048
 HOT = 1 << 16
 #: One bucket in so many takes part in the forest round.
 FOREST_SHARE = 8
+#: Buckets of a hub are one where that makes at most so many times the pairs they make apart.
+TOGETHER = 4
 #: The low bits of a lane: 0, or for a lane of more tasks their number and 1.
 SALT = 0xFFFF
 #: Tables of counters that meet in a task at once.
@@ -303,6 +307,18 @@ def shared_lanes(rows: DataFrame) -> DataFrame:
     return near.groupBy("bucket", "key", "hub").agg(F.count("*").alias("lanes"), F.bool_or(salted).alias("salted"))
 
 
+def by_hub(members: DataFrame, together: float = TOGETHER) -> DataFrame:
+    """bucket, key: the buckets of a hub as one, of all their classes, if that makes at most
+    ``together`` times the pairs that they make apart; all others and salted ones as they are.
+    What shares a bucket still does."""
+    plain = members.where("NOT salted")
+    apart = plain.groupBy("hub", "bucket").agg(F.count("*").alias("c")).groupBy("hub").agg(F.sum(F.col("c") * (F.col("c") - 1)).alias("apart"), F.count("*").alias("buckets"))
+    whole = plain.select("hub", "key").distinct().groupBy("hub").agg(F.count("*").alias("c"))
+    hubs = apart.where("buckets > 1").join(whole, "hub").where(F.col("c") * (F.col("c") - 1) <= together * F.col("apart")).select("hub", F.xxhash64("hub", F.lit(5)).alias("whole"))
+    rows = members.join(maybe_broadcast(stage(hubs, "hubs", few=True)), "hub", "left")
+    return rows.select(F.when(F.col("salted"), F.col("bucket")).otherwise(F.coalesce("whole", "bucket")).alias("bucket"), "key").distinct()
+
+
 def able(pairs: DataFrame, classes: DataFrame, rule: Rule = RULE) -> DataFrame:
     """Those pairs (a, b) whose sizes and bit sketches allow a link."""
     left = classes.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
@@ -461,18 +477,18 @@ class _Meeting:
         return [(min(self.key[a], self.key[b]), max(self.key[a], self.key[b])) for a, b in out]
 
 
-def across(members: DataFrame, classes: DataFrame, found: DataFrame, forest: bool, block: int = BLOCK, rule: Rule = RULE) -> DataFrame:
+def across(members: DataFrame, classes: DataFrame, found: DataFrame, forest: bool, block: int = BLOCK, rule: Rule = RULE, share: int = FOREST_SHARE) -> DataFrame:
     """Pairs (a, b) of classes in different components that share a bucket and whose
     sizes and bit sketches allow a link. members: bucket, key. With ``forest`` a share of
     the buckets meets, and a meeting gives no more pairs than it has components, enough to join all that sketches take
-    for linked; without, all pairs.
+    for linked; without, all pairs. ``share``: one bucket in so many.
 
     Members of a bucket are dealt by size class (of a factor of the threshold) and hash into blocks;
     a block meets those of its own size class and of the next."""
     rows = members.select("bucket", "key")
-    if forest:
+    if forest and share > 1:
         # A fixed share of the buckets, the same for all, joins what is alike already.
-        rows = rows.where(F.pmod(F.xxhash64("bucket"), F.lit(FOREST_SHARE)) == 0)
+        rows = rows.where(F.pmod(F.xxhash64("bucket"), F.lit(share)) == 0)
     rows = _with_component(rows, found)
     spans = rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
     rows = rows.join(maybe_broadcast(stage(spans, "spans", few=True)), "bucket").join(classes.select("key", "n", "sketch"), "key")
@@ -545,16 +561,16 @@ def link(docs: DataFrame, block: int = BLOCK, hot: int = HOT) -> tuple[DataFrame
     tops = members.where("salted").select("bucket", "hub").distinct()
     tops = tops.join(tops.groupBy("bucket").agg(F.min("hub").alias("top")), "bucket").where("hub != top").select(F.col("top").alias("hub"), F.col("hub").alias("key"))
     first = best.select(F.col("hub").alias("a"), F.col("key").alias("b")).unionByName(tops.select(F.col("hub").alias("a"), F.col("key").alias("b"))).distinct()
-    return rows.select("doc_id", "n", "key"), settle(first, members, docs, classes, key, block)
+    return rows.select("doc_id", "n", "key"), settle(first, stage(by_hub(members), "buckets", few=True), docs, classes, key, block, share=1)
 
 
-def settle(first: DataFrame, members: DataFrame, docs: DataFrame, classes: DataFrame, key: int, block: int = BLOCK, rule: Rule = RULE) -> DataFrame:
+def settle(first: DataFrame, members: DataFrame, docs: DataFrame, classes: DataFrame, key: int, block: int = BLOCK, rule: Rule = RULE, share: int = FOREST_SHARE) -> DataFrame:
     """node, component of the classes (key, n, sketch, doc_id) that are linked with another,
     from pairs to try first (a, b) and all buckets (members: bucket, key)."""
     links = stage(verify(first, docs, classes, key, rule), "links", few=True)
     found = components(links)
     for forest in (True, False):
-        more = stage(across(members, classes, found, forest, block, rule), "pairs", few=True)
+        more = stage(across(members, classes, found, forest, block, rule, share), "pairs", few=True)
         fresh = stage(verify(more, docs, classes, key, rule), "links", few=True)
         if not fresh.isEmpty():
             links = stage(links.unionByName(fresh), "links", few=True)
