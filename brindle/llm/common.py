@@ -9,6 +9,7 @@ import hashlib
 import threading
 import uuid
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +54,13 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
     the number of rows, 10,000 long texts would be gigabytes, so it is set for it."""
     if df.sparkSession.conf.get(BATCH_SETTING, None) is None:
         df.sparkSession.conf.set(BATCH_SETTING, str(BATCH_BYTES))
-    return df.mapInArrow(run, schema)
+
+    @wraps(run)
+    def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()  # a worker stays for the next tasks
+
+    return df.mapInArrow(freed, schema)
 
 
 def stage(df: DataFrame, name: str, few: bool = False) -> DataFrame:
