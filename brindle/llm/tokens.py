@@ -27,9 +27,11 @@ import math
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +43,8 @@ END_ID = 2
 LEAST, MEAN, MOST, REACH = 64, 512, 4096, 8
 #: Distinct pieces that a worker remembers (about 40 bytes each).
 CACHE_PIECES = 1_500_000
+#: Pieces that go to the library as one text.
+JOINED = 64
 #: Documents in a range of doc_id (a manifest row), and ranges at most.
 RANGE_DOCS, MOST_RANGES = 50_000, 4096
 #: Documents whose roots meet in one row.
@@ -65,7 +69,12 @@ class ByteBpe:
 
         self.library = tokenizers.Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        names = self.library.get_vocab()
         self.wide = self.library.get_vocab_size() > 1 << 16
+        # By separator: which ids begin with it, as byte-level files write it.
+        self.begins = np.zeros((len(LEADS), 1 + max(names.values())), dtype=bool)
+        for name, i in names.items():
+            self.begins[1, i], self.begins[2, i] = name.startswith("Ġ"), name.startswith("Ċ")
         self.clear()
 
     def clear(self) -> None:
@@ -81,13 +90,31 @@ class ByteBpe:
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _pieces(self, words: list[bytes], lead: int) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each of some pieces with one separator has, and the ids joined.
+
+        JOINED pieces go to the library as one text, at the cost of the merges alone; an id
+        that begins with the separator begins a piece. Where a text has not as many of these
+        as pieces (white space beyond ASCII beside a separator), each piece goes alone."""
+        texts = [(LEADS[lead] + w).decode("utf-8", "replace") for w in words]
+        runs = [texts[i : i + JOINED] for i in range(0, len(texts), JOINED)]
+        if lead:
+            ids, ends = _flat(self.whole(["".join(r) for r in runs]))
+            at = np.flatnonzero(self.begins[lead][ids])
+            if np.array_equal(np.searchsorted(at, ends), np.cumsum([len(r) for r in runs])):
+                return np.diff(at, append=len(ids)), ids
+        ids, ends = _flat(self.whole(texts))
+        return np.diff(ends, prepend=0), ids
+
     def _learn(self, keys: np.ndarray, words: list[bytes], leads: np.ndarray) -> None:
-        found = self.whole([(LEADS[k] + w).decode("utf-8", "replace") for k, w in zip(leads.tolist(), words)])
+        order = np.argsort(leads, kind="stable")
+        keys, leads, words = keys[order], leads[order], [words[i] for i in order.tolist()]
+        ends = np.searchsorted(leads, np.arange(len(LEADS) + 1))
+        found = [self._pieces(words[ends[k] : ends[k + 1]], k) for k in range(len(LEADS))]
+        size, ids = (np.concatenate(x) for x in zip(*found))
         length = np.fromiter((len(w) for w in words), dtype=np.int64, count=len(words))
         word = len(self.raw) - 16 + np.cumsum(length) - length
         self.raw = np.frombuffer(self.raw[:-16].tobytes() + b"".join(words) + bytes(16), dtype=np.uint8)
-        size = np.array([len(x) for x in found], dtype=np.int64)
-        ids = np.fromiter((i for x in found for i in x), dtype=np.uint32, count=int(size.sum()))
         at = len(self.ids) + np.cumsum(size) - size
         keys = np.concatenate((self.keys, keys))
         order = np.argsort(keys, kind="stable")
@@ -164,6 +191,12 @@ _KIND = seeded(3, 29)
 LEADS = (b"", b" ", b"\n")
 
 
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of ids joined, and where each ends."""
+    ends = np.cumsum([len(x) for x in lists], dtype=np.int64)
+    return np.fromiter(chain.from_iterable(lists), dtype=np.uint32, count=int(ends[-1]) if len(ends) else 0), ends
+
+
 _encoders: dict[str, ByteBpe] = {}
 
 
@@ -281,7 +314,8 @@ def write_store(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id
     coded = stage(encode_chunks(docs, vocabulary, end_id), "ids")
     chunks = coded.select(F.explode(F.arrays_zip("hashes", "sizes", "fresh")).alias("c")).where("c.fresh IS NOT NULL")
     chunks = chunks.select(F.col("c.hashes").alias("hash"), F.col("c.sizes").alias("n"), F.col("c.fresh").alias("ids"))
-    chunks.dropDuplicates(["hash"]).write.option("compression", "zstd").parquet(f"{path}/chunks")
+    # Tasks have dropped their own repeats; dealt out first, rows aren't sorted before the shuffle.
+    chunks.repartition("hash").dropDuplicates(["hash"]).write.option("compression", "zstd").parquet(f"{path}/chunks")
     part, n_parts = id_ranges(coded.select("doc_id"))
     rows = coded.select("doc_id", "n_tokens", "hashes", "root", part.alias("part"))
     totals = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}  # at most MOST_RANGES rows
@@ -401,10 +435,13 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             crcs, right = [], []
-            for n, root, xs in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist()):
-                whole = all(x["right"] for x in xs)
-                crcs.append(crc_joined([(x["crc"], 4 * x["n"]) for x in xs]) if whole else None)
-                right.append(whole and sum(x["n"] for x in xs) == n and merkle([x["hash"] for x in xs]) == root)
+            parts = b.column(4)
+            ends = np.cumsum(pc.list_value_length(parts).to_numpy()).tolist()
+            ns, crc, sound, hashes = (x.to_pylist() for x in parts.flatten().flatten()[1:])  # after seq
+            for n, root, i, j in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), [0, *ends], ends):
+                whole = all(sound[i:j])
+                crcs.append(crc_joined([(c, 4 * k) for c, k in zip(crc[i:j], ns[i:j])]) if whole else None)
+                right.append(whole and sum(ns[i:j]) == n and merkle(hashes[i:j]) == root)
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(crcs, pa.int64()), pa.array(right, pa.bool_())], ["doc_id", "start", "n_tokens", "ids_crc32", "verified"])
 
     return map_batches(rows, combine, "doc_id long, start long, n_tokens long, ids_crc32 long, verified boolean")
