@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm.common import byte_list, map_batches, ragged, slices, table, vocabulary_path
+from brindle.llm.common import byte_list, map_batches, ragged, remembered, slices, table, vocabulary_path
 
 VOCABULARY = "word_bpe_49k.json"
 #: Distinct pieces that a worker remembers, and their bytes.
@@ -75,6 +75,9 @@ class WordBpe:
         self.none = len(keys)
         self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + WHITE + r"\p{L}\p{N}]+")
         self.specials = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
+        self.clear()
+
+    def clear(self) -> None:
         self.pieces: dict[bytes, tuple[bytes, bytes]] = {}
         self.known: dict[str, tuple[bytes, bytes]] = {}
         self.held = 0
@@ -216,7 +219,7 @@ class WordBpe:
         return out + whole[at:].encode().split()
 
 
-_codecs: dict[str, WordBpe] = {}
+_codecs: dict[str, WordBpe] = remembered(__name__)
 
 
 def codec(name: str) -> WordBpe:
@@ -253,6 +256,7 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, emit: str =
                     cols = [pa.array([np.frombuffer(a, "<u4").astype(np.int32) for a, _ in both], pa.list_(pa.int32())), pa.array([b.decode() for _, b in both], pa.string())]
                     names = ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays([part.column(0), *cols], ["doc_id", *names])
+        bpe.clear()  # the pieces of a task's texts are learned soon; idle workers needn't hold them
 
     return map_batches(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]), run, schema)
 

@@ -5,6 +5,8 @@ Nothing here swallows errors or keeps state on a machine-local disk of a cluster
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import threading
 import uuid
@@ -49,6 +51,32 @@ def staged() -> list[str]:
     return _LOCAL.folders
 
 
+#: What a Python worker remembers from task to task, by module.
+_REMEMBERED: dict[str, dict] = {}
+
+
+def remembered(module: str) -> dict:
+    """A table that a worker keeps for the tasks of a module's operators."""
+    return _REMEMBERED.setdefault(module, {})
+
+
+def forget(but: str) -> None:
+    """Drop what is remembered for other modules than ``but``: a worker stays for the tasks of
+    later stages, whose memory it would take."""
+    others = [kept for module, kept in _REMEMBERED.items() if module != but and kept]
+    for kept in others:
+        kept.clear()
+    if others:
+        gc.collect()
+        trim()
+
+
+def trim() -> None:
+    """Freed memory goes back to the system, where the C library can do that."""
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """mapInArrow with batches of bounded bytes. Where the session leaves the bound to
     the number of rows, 10,000 long texts would be gigabytes, so it is set for it."""
@@ -57,8 +85,10 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
 
     @wraps(run)
     def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(run.__module__)
         yield from run(batches)
         pa.default_memory_pool().release_unused()  # a worker stays for the next tasks
+        trim()
 
     return df.mapInArrow(freed, schema)
 

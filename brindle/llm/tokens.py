@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import byte_list, equal_words, hash_words, map_batches, seeded, slices, stage, stage_path, table, vocabulary_path
+from brindle.llm.common import byte_list, equal_words, hash_words, map_batches, remembered, seeded, slices, stage, stage_path, table, vocabulary_path
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
@@ -197,7 +197,7 @@ def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(chain.from_iterable(lists), dtype=np.uint32, count=int(ends[-1]) if len(ends) else 0), ends
 
 
-_encoders: dict[str, ByteBpe] = {}
+_encoders: dict[str, ByteBpe] = remembered(__name__)
 
 
 def encoder(name: str) -> ByteBpe:
